@@ -1,9 +1,11 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
+from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op9_cover_dedup": op9_cover_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
