@@ -1,9 +1,13 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
+from outbreak_spark.llm.packing import op5_pack_sum_of_squares
 from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
+from outbreak_spark.llm.tokenio import op6_token_files
 
 QUERIES = {
+    "op5_pack_sum_of_squares": op5_pack_sum_of_squares,
+    "op6_token_files": op6_token_files,
     "op9_cover_dedup": op9_cover_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
