@@ -66,11 +66,12 @@ class Workspace:
             fs, path = self._fs(name)
             fs.delete(path, True)
 
-    def attach(self, docs: DataFrame, name: str, side: DataFrame, on: str, how: str) -> DataFrame:
-        """Join documents with a table of this workspace, broadcast only if its measured size allows; else a shuffled join."""
-        if self.bytes(name) <= BROADCAST_BYTES:
-            side = F.broadcast(side)
-        return docs.join(side, on, how)
+    def attach(self, docs: DataFrame, name: str, side: DataFrame, on: str, how: str, small: bool = True) -> DataFrame:
+        """Join documents with a table of this workspace. Broadcast only if it's meant to be small and its measured
+        size allows; else a shuffled join."""
+        if small and self.bytes(name) <= BROADCAST_BYTES:
+            return docs.join(F.broadcast(side), on, how)
+        return docs.join(side.hint("merge"), on, how)
 
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:

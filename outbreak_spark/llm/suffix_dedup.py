@@ -207,7 +207,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         new = np.flatnonzero(np.r_[True, (lo[1:] > np.maximum.accumulate(hi)[:-1]) | (np.diff(doc) != 0)])
         return doc_ranges(keys, starts, lo[new], np.maximum.reduceat(hi, new))
 
-    picked = work.attach(rows, "anchors", found, KEY, "inner").select(KEY, "text", "marks")
+    picked = work.attach(rows, "anchors", found, KEY, "inner", small=False).select(KEY, "text", "marks")
     found = picked.mapInArrow(segments, SENT).groupBy("bucket").applyInArrow(radix_sort, SENT).groupBy("flush").applyInArrow(covered, f"{KEY} long, ranges binary")
     return one_per_key(work.write(found, "covered"))
 
