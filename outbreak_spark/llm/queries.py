@@ -1,12 +1,14 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
+from outbreak_spark.llm.langid import op1_language_id
 from outbreak_spark.llm.mixing import op7_pivotal_mix
 from outbreak_spark.llm.packing import op5_pack_sum_of_squares
 from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
 from outbreak_spark.llm.tokenio import op6_token_files
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op5_pack_sum_of_squares": op5_pack_sum_of_squares,
     "op6_token_files": op6_token_files,
     "op7_pivotal_mix": op7_pivotal_mix,
