@@ -1,15 +1,25 @@
-"""Token ids of whole texts by a public tokenizer, each distinct piece encoded once.
+"""Token ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
-Both vocabularies split a text into words before they merge, and never across a single space between two other
-characters. So a text is cut at its spaces, each distinct piece goes through the tokenizers library once, and a
-text's ids are gathered with numpy. A text in which a space stands beside another white space character or at an
-end is encoded whole where that matters. The table of pieces is a cache: it is emptied when it grows.
+Both vocabularies split a text by a pattern (words, numbers, marks) and never merge over its bounds. So a text is
+split alike here, each distinct piece goes through the library once, and a text's ids are gathered with numpy. That is
+done where the split is certain: texts with letters or digits beyond Latin, or for the byte vocabulary with runs of
+white space, go through the library whole. The table of pieces is a cache: it is emptied when it grows.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from itertools import chain
+
 import numpy as np
 
+_LATIN = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
+_WITH_SPACE = re.compile(rf"'[{_LATIN}]+| ?[{_LATIN}]+| ?[0-9]+| ?[^{_LATIN}0-9\s]+|\s")
+_NO_SPACE = re.compile(rf"'[{_LATIN}]+|[{_LATIN}]+|[0-9]+|[^{_LATIN}0-9\s]+")
+_ODD = re.compile(rf"[^\W_{_LATIN}0-9]|[\x1c-\x1f]")
+_TWO_SPACES = re.compile(r"\s\s")
+
 
 class _Pieces(dict):
     def __init__(self):
@@ -23,9 +33,9 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """ids(texts) -> (all ids, number of each text's ids). space_in_word: a piece takes the space before it along."""
+    """ids(texts) -> (all ids, number of each text's ids)."""
 
-    MOST_PIECES = 250_000
+    MOST_PIECES = 400_000
 
     def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
@@ -33,63 +43,78 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
-        # A vocabulary that drops white space encodes a piece alike with or without its space.
-        self.space_in_word = one(" a b") != one("a") + one("b")
+        self.spaced = one("a b") != one("a") + one("b")  # else white space is dropped, and case too if so:
+        self.lower = one("Ab É") == one("ab é")
         self._clear()
 
     def _clear(self) -> None:
         self.pieces, self.flat = _Pieces(), np.empty(0, np.uint32)
-        self.offset, self.length, self.whole = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+        self.offset, self.length = np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        length = np.array([len(x) for x in got], np.int32)
+        return np.fromiter((i for x in got for i in x), np.uint32, int(length.sum())), length
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of letters only: encoded in one text, as each is one unit of the library's split."""
+        got = self.tokenizer.encode("".join(words) if self.spaced else " ".join(words), add_special_tokens=False)
+        unit = np.array(got.word_ids, np.int64)
+        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.empty(0, np.int64)
+        if len(first) != len(words):
+            return self._encode(words)
+        return np.array(got.ids, np.uint32), np.diff(np.r_[first, len(unit)]).astype(np.int32)
 
     def _learn(self) -> None:
-        new = self.pieces.new
+        new, begin = self.pieces.new, len(self.length)
         if not new:
             return
-        got = [e.ids for e in self.tokenizer.encode_batch([" " + p for p in new] if self.space_in_word else new, add_special_tokens=False)]
-        length = np.array([len(x) for x in got], np.int64)
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(length.sum()))
-        self.offset = np.r_[self.offset, len(self.flat) + np.cumsum(length) - length]
-        self.flat, self.length = np.r_[self.flat, flat], np.r_[self.length, length]
-        self.whole = np.r_[self.whole, np.array([self.space_in_word and (not p or p[0].isspace() or p[-1].isspace()) for p in new], bool)]
         self.pieces.new = []
+        word = np.array([p[0] == " " and p[1:].isalpha() if self.spaced else p.isalpha() for p in new], bool)
+        length, offset, at = np.empty(len(new), np.int32), np.empty(len(new), np.int64), len(self.flat)
+        chunks = [self.flat]
+        for some, encode in ((np.flatnonzero(word), self._words), (np.flatnonzero(~word), self._encode)):
+            for k in range(0, len(some), 20_000):
+                part = some[k : k + 20_000]
+                ids, n = encode([new[x] for x in part])
+                chunks.append(ids)
+                length[part], offset[part] = n, at + np.cumsum(n) - n
+                at += len(ids)
+        self.flat = np.concatenate(chunks)
+        self.length, self.offset = np.r_[self.length, length], np.r_[self.offset, offset]
+        assert len(self.length) == begin + len(new)
+
+    def _certain(self, text: str) -> bool:
+        if self.spaced and _TWO_SPACES.search(text):
+            return False
+        if text.isascii():
+            return not any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return not _ODD.search(text) and (self.spaced or unicodedata.is_normalized("NFC", text))
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.pieces) > self.MOST_PIECES:
             self._clear()
-        alone: dict[int, np.ndarray] = {}
-        heads: list[str] = []
-        parts = [t.split(" ") for t in texts]
-        if self.space_in_word:  # the first piece has no space before it
-            heads = [p[0] for p in parts]
-            parts = [p[1:] for p in parts]
+        split = (_WITH_SPACE if self.spaced else _NO_SPACE).findall
+        sure = [self._certain(t) for t in texts]
+        parts = [split(t.lower() if self.lower else t) if s else [] for t, s in zip(texts, sure, strict=True)]
         count = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((k for p in parts for k in map(self.pieces.__getitem__, p)), np.int64, int(count.sum()))
+        at = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int32, int(count.sum()))
         self._learn()
-        bounds = np.r_[0, np.cumsum(count)]
         length = self.length[at]
-        total = np.diff(np.r_[0, np.cumsum(length)][bounds])
-        if not self.space_in_word:
-            return self._gather(at, length), total
-        first = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(heads, add_special_tokens=False)]
-        odd = np.r_[0, np.cumsum(self.whole[at])][bounds]
-        odd = odd[1:] > odd[:-1]
-        for k, h in enumerate(heads):
-            if odd[k] or (h and (h[-1].isspace() or h[0].isspace())) or (not h and texts[k]):
-                alone[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        body, ends = self._gather(at, length), np.r_[0, np.cumsum(total)]
-        chunks: list[np.ndarray] = []
-        for k, f in enumerate(first):
-            chunks += [alone[k]] if k in alone else [f, body[ends[k] : ends[k + 1]]]
-        sizes = np.array([len(alone[k]) if k in alone else len(f) + total[k] for k, f in enumerate(first)], np.int64)
-        return np.concatenate(chunks) if chunks else body, sizes
-
-    def _gather(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        place = np.repeat(self.offset[at] - (np.cumsum(length) - length), length)
+        sizes = np.diff(np.r_[0, np.cumsum(length, dtype=np.int64)][np.r_[0, np.cumsum(count)]])
+        ends = np.cumsum(length, dtype=np.int64)
+        place = np.repeat(self.offset[at] - ends + length, length)
         place += np.arange(len(place))
-        return self.flat[place]
+        body = self.flat[place].astype(np.uint32)
+        if all(sure):
+            return body, sizes
+        whole = iter(e.ids for e in self.tokenizer.encode_batch_fast([t for t, s in zip(texts, sure, strict=True) if not s], add_special_tokens=False))
+        bounds = np.r_[0, np.cumsum(sizes)]
+        chunks = [body[bounds[k] : bounds[k + 1]] if s else np.array(next(whole), np.uint32) for k, s in enumerate(sure)]
+        return np.concatenate(chunks), np.array([len(c) for c in chunks], np.int64)
 
 
-def text_groups(texts: list[str], limit: int = 1 << 20):
+def text_groups(texts: list[str], limit: int = 2 << 20):
     """Slices of the list with about so many characters each."""
     begin, size = 0, 0
     for k, t in enumerate(texts):
