@@ -1,19 +1,23 @@
 """Queries of the training-data operators, and SQL for those that SQL can express."""
 
+from outbreak_spark.llm.ann import op8_anisotropic_ann
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
 from outbreak_spark.llm.langid import op1_language_id
 from outbreak_spark.llm.mixing import op7_pivotal_mix
 from outbreak_spark.llm.packing import op5_pack_sum_of_squares
 from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
 from outbreak_spark.llm.tokenio import op6_token_files
+from outbreak_spark.llm.topk import OP3_SQL, op3_cover_tree_top_k
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_cover_tree_top_k": op3_cover_tree_top_k,
     "op5_pack_sum_of_squares": op5_pack_sum_of_squares,
     "op6_token_files": op6_token_files,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op8_anisotropic_ann": op8_anisotropic_ann,
     "op9_cover_dedup": op9_cover_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}
