@@ -2,6 +2,7 @@
 
 from outbreak_spark.llm.ann import op8_anisotropic_ann
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
+from outbreak_spark.llm.jaccard import op2_grouped_prefix_join
 from outbreak_spark.llm.langid import op1_language_id
 from outbreak_spark.llm.mixing import op7_pivotal_mix
 from outbreak_spark.llm.packing import op5_pack_sum_of_squares
@@ -11,6 +12,7 @@ from outbreak_spark.llm.topk import OP3_SQL, op3_cover_tree_top_k
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_grouped_prefix_join": op2_grouped_prefix_join,
     "op3_cover_tree_top_k": op3_cover_tree_top_k,
     "op5_pack_sum_of_squares": op5_pack_sum_of_squares,
     "op6_token_files": op6_token_files,
