@@ -4,6 +4,7 @@ from outbreak_spark.llm.ann import op8_anisotropic_ann
 from outbreak_spark.llm.cover_dedup import op9_cover_dedup
 from outbreak_spark.llm.jaccard import op2_grouped_prefix_join
 from outbreak_spark.llm.langid import op1_language_id
+from outbreak_spark.llm.lblm import op4_log_bilinear_lm
 from outbreak_spark.llm.mixing import op7_pivotal_mix
 from outbreak_spark.llm.packing import op5_pack_sum_of_squares
 from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_grouped_prefix_join": op2_grouped_prefix_join,
     "op3_cover_tree_top_k": op3_cover_tree_top_k,
+    "op4_log_bilinear_lm": op4_log_bilinear_lm,
     "op5_pack_sum_of_squares": op5_pack_sum_of_squares,
     "op6_token_files": op6_token_files,
     "op7_pivotal_mix": op7_pivotal_mix,
