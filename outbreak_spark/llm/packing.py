@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.tokens import Encoder, text_groups
+from outbreak_spark.llm.tokens import shared_encoder, text_groups
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
         raise ValueError("size must be a power of two")
 
     def packed(batches):
-        encoder, levels = Encoder(tokenizer), SumOfSquares(size)
+        encoder, levels = shared_encoder(tokenizer), SumOfSquares(size)
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         weight = 0
@@ -95,9 +95,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) ->
             sequence += 1
 
         for batch in batches:
-            names, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in text_groups(texts):
-                ids, count = encoder.ids(texts[i:j])
+            names = batch.column("doc_id").to_pylist()
+            for i, j, texts in text_groups(batch.column("text")):
+                ids, count = encoder.ids(texts)
                 ends = np.cumsum(count)
                 for name, lo, hi in zip(names[i:j], ends - count, ends, strict=True):
                     own = np.r_[ids[lo:hi], np.uint32(end_id)].astype("<u4").tobytes()

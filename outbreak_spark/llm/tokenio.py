@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outbreak_spark.llm.common import Workspace
-from outbreak_spark.llm.tokens import Encoder, text_groups
+from outbreak_spark.llm.tokens import shared_encoder, text_groups
 
 MAGIC = 0x31464554_4B4F5431
 SAMPLE = 256
@@ -133,7 +133,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = shared_encoder(tokenizer), TaskContext.get().partitionId()
         width = 2 if max(encoder.tokenizer.get_vocab_size(with_added_tokens=True) - 1, end_id) < 1 << 16 else 4
         sink, path, names, lengths, nulls = None, f"{folder}/tokens-{shard:06d}-{uuid.uuid4().hex[:8]}.bin", [], [], 0
         for batch in batches:
@@ -141,11 +141,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
                 where, local = _open(path)
                 where.create_dir(local.rpartition("/")[0], recursive=True)
                 sink = where.open_output_stream(local)
-            own, texts = batch.column("doc_id"), batch.column("text").to_pylist()
+            own = batch.column("doc_id")
             nulls += own.null_count
             names.append(own.drop_null().to_numpy())
-            for i, j in text_groups(texts):
-                ids, count = encoder.ids(texts[i:j])
+            for _, _, texts in text_groups(batch.column("text")):
+                ids, count = encoder.ids(texts)
                 lengths.append(count + 1)
                 sink.write(np.insert(ids, np.cumsum(count), end_id).astype(f"<u{width}").tobytes())
         if sink is None:

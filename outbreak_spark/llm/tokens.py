@@ -13,6 +13,7 @@ import unicodedata
 from itertools import chain
 
 import numpy as np
+import pyarrow.compute as pc
 
 _LATIN = "a-zA-ZÀ-ÖØ-öø-įı-ɏ"
 _WITH_SPACE = re.compile(rf"'[{_LATIN}]+| ?[{_LATIN}]+| ?[0-9]+| ?[^{_LATIN}0-9\s]+|\s")
@@ -21,6 +22,11 @@ _ODD = re.compile(rf"[^\W_{_LATIN}0-9]|[\x1c-\x1f]")
 _TWO_SPACES = re.compile(r"\s\s")
 
 
+_KEPT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Byte-level vocabularies write a byte as the character of that number if it can be seen, else as one from 256 on.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
+
+
 class _Pieces(dict):
     def __init__(self):
         super().__init__()
@@ -35,7 +41,7 @@ class _Pieces(dict):
 class Encoder:
     """ids(texts) -> (all ids, number of each text's ids)."""
 
-    MOST_PIECES = 400_000
+    MOST_PIECES = 500_000
 
     def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
@@ -45,6 +51,9 @@ class Encoder:
         one = lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
         self.spaced = one("a b") != one("a") + one("b")  # else white space is dropped, and case too if so:
         self.lower = one("Ab É") == one("ab é")
+        words = [(" " if self.spaced else "") + w for w in ("word", "île", "straße", "zz")]
+        if self._words(words)[0].tolist() != self._encode(words)[0].tolist():  # another kind of vocabulary
+            self._words = self._encode
         self._clear()
 
     def _clear(self) -> None:
@@ -57,13 +66,11 @@ class Encoder:
         return np.fromiter((i for x in got for i in x), np.uint32, int(length.sum())), length
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of letters only: encoded in one text, as each is one unit of the library's split."""
-        got = self.tokenizer.encode("".join(words) if self.spaced else " ".join(words), add_special_tokens=False)
-        unit = np.array(got.word_ids, np.int64)
-        first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]]) if len(unit) else np.empty(0, np.int64)
-        if len(first) != len(words):
-            return self._encode(words)
-        return np.array(got.ids, np.uint32), np.diff(np.r_[first, len(unit)]).astype(np.int32)
+        """Words of letters only go to the library's merges at once: each is one unit of its split."""
+        merge = self.tokenizer.model.tokenize
+        got = [merge(w.translate(_BYTES) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)) for w in words]
+        length = np.fromiter(map(len, got), np.int32, len(got))
+        return np.fromiter((t.id for x in got for t in x), np.uint32, int(length.sum())), length
 
     def _learn(self) -> None:
         new, begin = self.pieces.new, len(self.length)
@@ -74,8 +81,8 @@ class Encoder:
         length, offset, at = np.empty(len(new), np.int32), np.empty(len(new), np.int64), len(self.flat)
         chunks = [self.flat]
         for some, encode in ((np.flatnonzero(word), self._words), (np.flatnonzero(~word), self._encode)):
-            for k in range(0, len(some), 20_000):
-                part = some[k : k + 20_000]
+            for k in range(0, len(some), 1000):
+                part = some[k : k + 1000]
                 ids, n = encode([new[x] for x in part])
                 chunks.append(ids)
                 length[part], offset[part] = n, at + np.cumsum(n) - n
@@ -114,13 +121,22 @@ class Encoder:
         return np.concatenate(chunks), np.array([len(c) for c in chunks], np.int64)
 
 
-def text_groups(texts: list[str], limit: int = 2 << 20):
-    """Slices of the list with about so many characters each."""
-    begin, size = 0, 0
-    for k, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield begin, k + 1
-            begin, size = k + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+_SHARED: dict[str, Encoder] = {}
+
+
+def shared_encoder(path: str) -> Encoder:
+    """One per worker process: later tasks need not learn their pieces again."""
+    if path not in _SHARED:
+        _SHARED.clear()
+        _SHARED[path] = Encoder(path)
+    return _SHARED[path]
+
+
+def text_groups(column, limit: int = 2 << 20):
+    """Slices (from, to, texts) of an Arrow text column with about so many bytes each."""
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)).tolist()
+    begin, done = 0, 0
+    for k, size in enumerate(sizes):
+        if size - done >= limit or k + 1 == len(sizes):
+            yield begin, k + 1, column.slice(begin, k + 1 - begin).to_pylist()
+            begin, done = k + 1, size
