@@ -5,7 +5,8 @@ all sets use (rare shingles first works best). Documents with the same set are o
 bucket lists the classes that have it in their prefix; equal lists are collapsed to one group with a count, which is
 the number of prefix shingles that its members share. Groups give pairs of classes:
 
-1. each class is verified against its most promising partner only, and linked classes become components;
+1. each class is verified against its most promising partner only, then members of large groups against a few more of
+   them in some rounds, and linked classes become components;
 2. pairs of a group that are still in different components are counted exactly over all groups, left out where the
    shared prefix and all that may follow it can't reach the threshold, and the rest are verified on their whole sets.
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from outbreak_spark.llm.common import KEY, U64, WordHashes, Workspace, buckets_for, flush_key, flushes, keyed, mix, split_by, window_hashes
@@ -29,6 +30,8 @@ from outbreak_spark.llm.components import components
 SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 1_000_000
 #: Groups of at most so many classes give all their pairs at once.
 SMALL = 12
+#: Rounds in which members of large groups try so many partners each, as long as there are FEW pairs to try.
+TRIES, FEW = (3, 8, 24), 200
 SET_BITS = U64(0xFFFFFFFFFFFF)
 
 
@@ -165,54 +168,93 @@ def similar_classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> t
     lists = found.where("sig is not null").groupBy("sig", "m").agg(F.sum("cnt").alias("cnt"), F.first("classes").alias("classes"), F.first("sizes").alias("sizes"))
     lists = work.write(lists, "lists")
 
-    close = lambda x, y: 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+    up = lambda c: F.ceil(F.lit(percent) * c / 100)
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    # Of the overlap, at most the shared prefix and what follows the prefix of one set (2 for hashes cut to 32 bits).
+    least_shared = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent)) - F.greatest(up(F.col("na")), up(F.col("nb"))) - 1
 
     def pairs_of(batches):
         for batch in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(5)]
             for classes, sizes, cnt in zip(batch.column("classes").to_pylist(), batch.column("sizes").to_pylist(), batch.column("cnt").to_pylist(), strict=True):
                 cls, size = np.array(classes), np.array(sizes)
-                n = len(cls)
-                if n <= SMALL:
-                    i, j = np.triu_indices(n, 1)
-                else:  # to the least member, and each to the next by size
-                    i, j = np.r_[np.full(n, cls.argmin()), np.arange(n - 1)], np.r_[np.arange(n), np.arange(1, n)]
-                ok = close(size[i], size[j]) & (i != j)
-                i, j = i[ok], j[ok]
-                swap = cls[i] > cls[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                for col, x in zip(cols, (cls[i], cls[j], size[i], size[j], np.full(len(i), cnt if n <= SMALL else -cnt)), strict=True):
-                    col.append(x)
+                order = np.argsort(cls)
+                i, j = (order[x] for x in np.triu_indices(len(cls), 1))
+                ok = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
+                for col, x in zip(cols, (cls[i], cls[j], size[i], size[j], np.full(len(i), cnt)), strict=True):
+                    col.append(x[ok])
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in cols], ["a", "b", "na", "nb", "c"])
 
-    pairs = lists.select("classes", "sizes", "cnt").mapInArrow(pairs_of, "a long, b long, na long, nb long, c long")
-    # c: shared prefix shingles seen in small groups; d: seen in large ones, where not all pairs are
-    pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.sum(F.greatest("c", F.lit(0))).alias("c"), F.sum(-F.least("c", F.lit(0))).alias("d"))
-    pairs = work.write(pairs, "pairs")
-    up = lambda c: F.ceil(F.lit(percent) * c / 100)
-    # Of the overlap, at most the shared prefix and what follows the prefix of one set (2 for hashes cut to 32 bits).
-    may = F.col("c") + F.greatest(up(F.col("na")), up(F.col("nb"))) + 1 >= F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
-    hopeful = pairs.where((F.col("d") > 0) | may)
-    ends = hopeful.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), (F.col("c") + F.col("d")).alias("c"))
+    few = lists.where(F.col("m") <= SMALL)
+    pairs = few.select("classes", "sizes", "cnt").mapInArrow(pairs_of, "a long, b long, na long, nb long, c long")
+    pairs = work.write(pairs.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")), "pairs")
+    # A class's shared prefix, with anyone: no pair shares more.
+    shared = lists.select("cnt", F.explode("classes").alias("class")).groupBy("class").agg(F.sum("cnt").alias("t"))
+    shared = work.write(shared, "shared")
+    big = lists.where(F.col("m") > SMALL)
+    each = big.select("sig", "m", "cnt", "classes", "sizes", F.explode(F.arrays_zip("classes", "sizes")).alias("e"))
+    each = each.select("sig", "m", "cnt", F.col("e.classes").alias("a"), F.col("e.sizes").alias("na"), "classes", "sizes")
+
+    hopeful = pairs.where(F.col("c") >= least_shared)
+    ends = hopeful.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "c")
     best = ends.groupBy("e.x").agg(F.max_by("e.y", F.struct("c", -F.col("e.y"))).alias("y"))
     tried = work.write(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "tried")
     links = verify(tried, rows, table, k, percent, work, "first")
     comp = work.write(components(links, work, "one-"), "one")
 
-    named = lambda df, x: df.join(comp.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
-    across = named(named(pairs.select("a", "b", "na", "nb", "c"), "a"), "b").where("ca <> cb").select("a", "b", "na", "nb", "c")
-    big = lists.where(F.col("m") > SMALL)
-    each = named(big.select("sig", "cnt", F.explode(F.arrays_zip("classes", "sizes")).alias("e")).select("sig", "cnt", F.col("e.classes").alias("a"), F.col("e.sizes").alias("na")), "a")
-    most = each.groupBy("sig", "ca").count().groupBy("sig").agg(F.max_by("ca", "count").alias("most"))
-    each = work.write(each.join(most, "sig"), "each")
-    rest = each.where("ca <> most")
-    other = each.select("sig", F.col("a").alias("b"), F.col("na").alias("nb"), F.col("ca").alias("cb"), "most")
-    met = rest.select("sig", "cnt", "a", "na", "ca").join(other, "sig").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))))
-    met = met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"), F.col("cnt").alias("c"))
-    left = across.unionByName(met).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c")).where(may).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    left = work.write(left, "left")
+    def named(df: DataFrame, x: str) -> DataFrame:
+        return df.join(comp.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+
+    for step, tries in enumerate(TRIES):
+        # Members of large groups that share enough with them try some others of their groups, drawn by hash.
+        draws = each.select("a", "na", "cnt", F.explode(F.array(*(F.xxhash64("a", "sig", F.lit(2 * step + x)) for x in (0, 1)))).alias("h"), "m", "classes", "sizes")
+        at = (F.pmod("h", "m") + 1).cast("int")
+        draws = draws.select("a", "na", "cnt", "h", F.element_at("classes", at).alias("b"), F.element_at("sizes", at).alias("nb")).where(alike & (F.col("a") != F.col("b")))
+        draws = draws.groupBy("a", "na").agg(F.sum("cnt").alias("c"), F.collect_set(F.struct("h", "b")).alias("d"))  # at most two per prefix shingle
+        draws = draws.where(F.col("c") / 2 >= F.ceil(F.lit(2 * percent) * F.col("na") / (100 + percent)) - up(F.col("na")) - 1)
+        draws = named(named(draws.select("a", F.explode(F.slice(F.array_sort("d"), 1, tries)).alias("e")).select("a", F.col("e.b").alias("b")), "a"), "b").where("ca <> cb")
+        more = draws.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = work.write(more, f"tried{step}")
+        if more.count() < FEW:
+            break
+        tried = tried.unionByName(more)
+        links = links.unionByName(verify(more, rows, table, k, percent, work, f"round{step}"))
+        comp = work.write(components(links, work, f"step{step}-"), f"step{step}")
+
+    # Every pair across components is counted with its member of the smaller component.
+    size = comp.groupBy("c").count()
+
+    def ranked(df: DataFrame, x: str) -> DataFrame:
+        df = named(df, x).join(size.select(F.col("c").alias(f"c{x}"), F.col("count").alias(f"z{x}")), f"c{x}", "left")
+        df = df.join(shared.select(F.col("class").alias(x), F.col("t").alias(f"t{x}")), x)
+        return df.withColumn(f"z{x}", F.coalesce(f"z{x}", F.lit(1)))
+
+    each = work.write(ranked(each.select("sig", "cnt", "a", "na"), "a"), "each")
+    last = each.groupBy("sig").agg(F.max(F.struct("za", "ca")).alias("last"))
+    whole = each.groupBy("sig").agg(F.collect_list(F.struct("a", "na", "za", "ca", "ta")).alias("w"))
+    whole = whole.select("sig", *(F.col(f"w.{x}a").alias(f"{x}b") for x in ("n", "z", "c", "t")), F.col("w.a").alias("b"))
+    rest = each.join(last, "sig").where(F.struct("za", "ca") < F.col("last")).drop("last").join(whole, "sig").drop("sig")
+    across = ranked(ranked(pairs, "a"), "b").where("ca <> cb")
+    swap = F.struct("za", "ca") > F.struct("zb", "cb")
+    one = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    across = across.select(F.col("c").alias("cnt"), *(one(f"{x}a", f"{x}b").alias(f"{x}a") for x in ("", "n", "z", "c", "t")), *(F.array(one(f"{x}b", f"{x}a")).alias(f"{x}b") for x in ("", "n", "z", "c", "t")))
+
+    def counted(key, table):
+        na, za, ca, ta = (table.column(x)[0].as_py() for x in ("na", "za", "ca", "ta"))
+        lens = np.array([len(x) for x in table.column("b").to_pylist()])
+        b, nb, zb, cb, tb = (table.column(x).combine_chunks().flatten().to_numpy() for x in ("b", "nb", "zb", "cb", "tb"))
+        cnt = np.repeat(table.column("cnt").to_numpy(), lens)
+        least = -(-percent * (na + nb) // (100 + percent)) - np.maximum(needed(percent, na), needed(percent, nb)) - 1
+        ok = ((zb > za) | (zb == za) & (cb > ca)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(ta, tb) >= least)
+        who, first, at = np.unique(b[ok], return_index=True, return_inverse=True)
+        who = who[np.bincount(at, cnt[ok], len(who)) >= least[ok][first]] if len(who) else who
+        a = np.full(len(who), key[0].as_py())
+        return pa.table({"a": pa.array(np.minimum(a, who), pa.int64()), "b": pa.array(np.maximum(a, who), pa.int64())})
+
+    columns = ["a", "cnt", "na", "za", "ca", "ta", "b", "nb", "zb", "cb", "tb"]
+    left = rest.select(columns).unionByName(across.select(columns)).groupBy("a").applyInArrow(counted, "a long, b long")
+    left = work.write(left.join(tried, ["a", "b"], "left_anti"), "left")
     more = verify(left, rows, table, k, percent, work, "second")
     comp = work.write(components(links.unionByName(more), work, "two-"), "two")
     return table.drop(KEY), comp
@@ -232,7 +274,7 @@ def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(out, pa.binary())], ["class", "s"])
 
     found = work.attach(rows, f"{name}-one", one, KEY, "inner").select("class", "text").mapInArrow(sets, "class long, s binary")
-    found = work.write(found, f"{name}-sets").groupBy("class").agg(F.first("s").alias("s"))
+    found = work.write(found, f"{name}-sets").groupBy("class").agg(F.max("s").alias("s"))
 
     def values(s: bytes) -> np.ndarray:
         wide = np.zeros((len(s) // 6, 8), np.uint8)
