@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -74,11 +74,14 @@ class Workspace:
         return docs.join(side.hint("merge"), on, how)
 
 
-def keyed(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, text as bytes, and a row key that equal rows share: doc_id may be null or repeat with another text."""
-    text = F.col("text").cast("string")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), F.coalesce(text, F.lit("")))
-    return docs.select(key.alias(KEY), *columns, F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+def row_key() -> Column:
+    """A key that equal rows share; doc_id may be null or repeat with another text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame, *columns) -> DataFrame:
+    """Row key, the columns, and text as bytes, empty if null."""
+    return docs.select(row_key().alias(KEY), *columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
 def buckets_for(docs: DataFrame, per_bucket: int, least: int = 8) -> int:

@@ -84,7 +84,7 @@ GROUPS = "flush long, a binary, b binary, c binary, d binary, sig long, m int, c
 
 
 def similar_classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, class) of each document, and (v, c): the component of each class that has a link."""
+    """(doc_id, row key, n, class) of each document, and (v, c): the component of each class that has a link."""
     spark = docs.sparkSession
     rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
     buckets = buckets_for(docs, 24 << 20)
@@ -257,7 +257,7 @@ def similar_classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> t
     left = work.write(left.join(tried, ["a", "b"], "left_anti"), "left")
     more = verify(left, rows, table, k, percent, work, "second")
     comp = work.write(components(links.unionByName(more), work, "two-"), "two")
-    return table.drop(KEY), comp
+    return table, comp
 
 
 def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent: int, work: Workspace, name: str) -> DataFrame:
@@ -293,11 +293,14 @@ def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     joined = pairs.join(found.withColumnRenamed("class", "a"), "a").join(found.select(F.col("class").alias("b"), F.col("s").alias("t")), "b")
-    return work.write(joined.select("a", "b", "s", "t").mapInArrow(link, "a long, b long"), f"{name}-links")
+    links = work.write(joined.select("a", "b", "s", "t").mapInArrow(link, "a long, b long"), f"{name}-links")
+    work.drop(f"{name}-sets", f"{name}-one")
+    return links
 
 
 def similarity_components(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id reachable by links) of each document.
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links), group (a number for the component, null
+    without shingles) and row_key (a hash of doc_id and text) of each document.
 
     docs needs doc_id and text; other columns are ignored. Documents link when 100 * intersection >= percent * union of
     their sets of distinct k-word shingles (A-Z lowered; fewer words: the whole sequence). Without words (null, empty,
@@ -310,9 +313,11 @@ def similarity_components(docs: DataFrame, k: int = 5, percent: int = 75) -> Dat
     table = table.withColumn("c", F.coalesce("c", "class"))
     full = table.where("n > 0")
     least = full.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = full.join(least, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionByName(table.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("c").alias("group"), F.col(KEY).alias("row_key")]
+    empty = table.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("c", F.lit(None).cast("long"))
+    return full.join(least, "c").select(columns).unionByName(empty.select(columns))
 
 
 def op2_grouped_prefix_join(spark, sf_dir: str) -> DataFrame:
-    return similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = similarity_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")

@@ -245,12 +245,13 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("letters", "long"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = "text" if "text" in columns else "__text"
 
     def run(batches):
         own = shared.value
         scorer = Scorer(own.lm) if own else None
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
+            texts = [t or "" for t in batch.column(place).to_pylist()]
             n = len(texts)
             if own:
                 names = np.array(own.lm.languages, object)
@@ -267,7 +268,8 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
                 pred, score, least, letters, rejected = [NONE] * n, np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first.names), pa.array(list(pred), pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64()), pa.array(letters, pa.int64()), pa.array(rejected, pa.bool_())], schema.names)
 
-    return docs.select("doc_id", *columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text")).mapInArrow(run, schema)
+    text = [] if "text" in columns else [F.col("text").cast("string").alias(place)]
+    return docs.select("doc_id", *columns, *text).mapInArrow(run, schema)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:
