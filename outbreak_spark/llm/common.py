@@ -10,6 +10,9 @@ What a bucket finds goes back to its flush as one more blob, and there becomes r
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -140,15 +143,26 @@ def flushes(batches, columns: list[str], limit: int = FLUSH_BYTES):
     held: list[list] = [[] for _ in columns]
     at = columns.index("text")
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-            for have, x in zip(held, row, strict=True):
-                have.append(x)
-            size += len(row[at])
-            if size >= limit:
-                yield (part << 24) | seq, held
-                held, size, seq = [[] for _ in columns], 0, seq + 1
+        for k in range(0, len(batch), 1024):
+            for row in zip(*(batch.column(c).slice(k, 1024).to_pylist() for c in columns), strict=True):
+                for have, x in zip(held, row, strict=True):
+                    have.append(x)
+                size += len(row[at])
+                if size >= limit:
+                    yield (part << 24) | seq, held
+                    held, size, seq = [[] for _ in columns], 0, seq + 1
     if held[0]:
         yield (part << 24) | seq, held
+    held = []
+    release()
+
+
+def release() -> None:
+    """Hands a worker's free memory back to the system: workers are used again, and executors have hard limits."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 SENT = "bucket long, flush long, a binary, b binary, c binary"

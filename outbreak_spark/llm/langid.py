@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import U64, mix
+from outbreak_spark.llm.common import U64, mix, release
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -267,6 +267,8 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
             else:
                 pred, score, least, letters, rejected = [NONE] * n, np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.ones(n, bool)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in first.names), pa.array(list(pred), pa.string()), pa.array(score, pa.float64()), pa.array(least, pa.float64()), pa.array(letters, pa.int64()), pa.array(rejected, pa.bool_())], schema.names)
+        scorer = None
+        release()
 
     text = [] if "text" in columns else [F.col("text").cast("string").alias(place)]
     return docs.select("doc_id", *columns, *text).mapInArrow(run, schema)

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, SENT, U64, Workspace, buckets_for, doc_ranges, find_repeats, flush_key, flushes, keyed, mix, one_per_key, send_hashes, sent, split_by
+from outbreak_spark.llm.common import KEY, SENT, U64, Workspace, buckets_for, doc_ranges, find_repeats, flush_key, flushes, keyed, mix, one_per_key, release, send_hashes, sent, split_by
 
 #: Start positions that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Text bytes of a flush: segments of one are held at once.
+FLUSH = 10 << 20
 MARKS = f"{KEY} long, marks binary"
 
 
@@ -125,7 +127,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     rows = keyed(docs)
 
     def anchors(batches):
-        for flush, (keys, texts) in flushes(batches, [KEY, "text"]):
+        for flush, (keys, texts) in flushes(batches, [KEY, "text"], FLUSH):
             starts = bounds(texts)
             lo, _, _, h = anchor_runs(b"".join(texts) + bytes(8), starts, window, gram)
             yield send_hashes(flush, h, lo, (np.array(keys, "<i8").tobytes(), starts.astype("<i8").tobytes()), buckets, wide=False)
@@ -146,7 +148,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
     found = work.write(found, "anchors").groupBy(KEY).agg(F.max("marks").alias("marks"))
 
     def segments(batches):
-        for flush, (keys, texts, marks) in flushes(batches, [KEY, "text", "marks"]):
+        for flush, (keys, texts, marks) in flushes(batches, [KEY, "text", "marks"], FLUSH):
             starts = bounds(texts)
             buf = b"".join(texts) + bytes(8)
             lo, hi, anchor, h = anchor_runs(buf, starts, window, gram)
@@ -190,6 +192,9 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
             new = np.flatnonzero(np.r_[True, (np.diff(seg) != 0) | (np.diff(at) != 1)])
             pair, who = np.stack([at[new], np.r_[at[new[1:] - 1], at[-1]] + 1], 1).astype("<u4"), owner[seg[new]]
             out = [(key[0].as_py(), flush[k], pair[who == k].tobytes(), None, None) for k in np.unique(who)]
+        if len(pos) > 1 << 20:
+            del head, segment, pos, group
+            release()
         return pa.Table.from_batches([sent(out)])
 
     def covered(key, table):
