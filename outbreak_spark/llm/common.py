@@ -14,6 +14,7 @@ import contextlib
 import ctypes
 import gc
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -30,6 +31,7 @@ FLUSH_BYTES = 24 << 20
 #: A side table is broadcast only if its files, as measured, are no larger than this.
 BROADCAST_BYTES = 16 << 20
 KEY = "__row_key"
+ARROW_ROWS, MOST_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if int(spark.conf.get(ARROW_ROWS, "10000")) not in range(1, MOST_ARROW_ROWS + 1):
+            spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))  # rows hold whole texts
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -139,6 +143,7 @@ class WordHashes(dict):
 
 def flushes(batches, columns: list[str], limit: int = FLUSH_BYTES):
     """(flush id, lists of the columns) with about so many bytes of the column text each."""
+    fresh()
     part, seq, size = TaskContext.get().partitionId(), 0, 0
     held: list[list] = [[] for _ in columns]
     at = columns.index("text")
@@ -157,6 +162,13 @@ def flushes(batches, columns: list[str], limit: int = FLUSH_BYTES):
     release()
 
 
+def fresh() -> None:
+    """For tasks that don't encode: drops what an earlier task of this worker process keeps for later encoders."""
+    tokens = sys.modules.get("outbreak_spark.llm.tokens")
+    if tokens and tokens.drop_shared():
+        release()
+
+
 def release() -> None:
     """Hands a worker's free memory back to the system: workers are used again, and executors have hard limits."""
     gc.collect()

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, U64, WordHashes, Workspace, buckets_for, flush_key, flushes, keyed, mix, split_by, window_hashes
+from outbreak_spark.llm.common import KEY, U64, WordHashes, Workspace, buckets_for, flush_key, flushes, fresh, keyed, mix, release, split_by, window_hashes
 from outbreak_spark.llm.components import components
 
 #: One document in SAMPLE is looked at for frequent shingles, which occur in OFTEN of them; the list has a fixed bound.
@@ -150,6 +150,9 @@ def similar_classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> t
         first, m = first[one], m[one]
         at = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
         offsets = pa.array(np.r_[0, np.cumsum(m)].astype(np.int32))
+        if len(order) > 1 << 19:
+            del order, new
+            release()
         empty = [pa.nulls(len(m), t) for t in (pa.int64(), *[pa.binary()] * 4)]
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x[at].astype(np.int64) if x is size else x[at].view(np.int64))) for x in (cls, size)]
         return pa.Table.from_arrays([*empty, pa.array(sig.view(np.int64)), pa.array(m.astype(np.int32)), pa.array(cnt.astype(np.int64)), *lists], ["flush", "a", "b", "c", "d", "sig", "m", "cnt", "classes", "sizes"])
@@ -268,6 +271,7 @@ def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent:
     one = work.write(one, f"{name}-one")
 
     def sets(batches):
+        fresh()
         cache = WordHashes()
         for batch in batches:
             out = [np.unique(shingle_set(t, k, cache) & SET_BITS).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for t in batch.column("text").to_pylist()]

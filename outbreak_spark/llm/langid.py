@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import U64, mix, release
+from outbreak_spark.llm.common import U64, fresh, mix, release
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -248,6 +248,7 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
     place = "text" if "text" in columns else "__text"
 
     def run(batches):
+        fresh()
         own = shared.value
         scorer = Scorer(own.lm) if own else None
         for batch in batches:

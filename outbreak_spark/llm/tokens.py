@@ -124,6 +124,13 @@ class Encoder:
 _SHARED: dict[str, Encoder] = {}
 
 
+def drop_shared() -> bool:
+    """Forgets the shared encoder; whether there was one."""
+    had = bool(_SHARED)
+    _SHARED.clear()
+    return had
+
+
 def shared_encoder(path: str) -> Encoder:
     """One per worker process: later tasks need not learn their pieces again."""
     if path not in _SHARED:
