@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -236,27 +237,33 @@ def similar_classes(docs: DataFrame, k: int, percent: int, work: Workspace) -> t
     each = work.write(ranked(each.select("sig", "cnt", "a", "na"), "a"), "each")
     last = each.groupBy("sig").agg(F.max(F.struct("za", "ca")).alias("last"))
     whole = each.groupBy("sig").agg(F.collect_list(F.struct("a", "na", "za", "ca", "ta")).alias("w"))
-    whole = whole.select("sig", *(F.col(f"w.{x}a").alias(f"{x}b") for x in ("n", "z", "c", "t")), F.col("w.a").alias("b"))
-    rest = each.join(last, "sig").where(F.struct("za", "ca") < F.col("last")).drop("last").join(whole, "sig").drop("sig")
-    across = ranked(ranked(pairs, "a"), "b").where("ca <> cb")
+    rest = each.join(last, "sig").where(F.struct("za", "ca") < F.col("last")).drop("last").join(whole, "sig")
+
+    def shared_at_least(na, nb):
+        return F.ceil(F.lit(percent) * (na + nb) / (100 + percent)) - F.greatest(up(na), up(nb)) - 1
+
+    def may_link(x):
+        n = F.col("na")
+        alike = 100 * F.least(n, x["na"]) >= percent * F.greatest(n, x["na"])
+        return (F.struct(x["za"], x["ca"]) > F.struct("za", "ca")) & alike & (F.least(F.col("ta"), x["ta"]) >= shared_at_least(n, x["na"]))
+
+    rest = rest.select("a", "na", "cnt", F.filter("w", may_link).alias("w")).where(F.size("w") > 0).select("a", "na", "cnt", F.col("w.a").alias("b"), F.col("w.na").alias("nb"))
+    across = ranked(ranked(pairs, "a"), "b").where((F.col("ca") != F.col("cb")) & (F.least("ta", "tb") >= least_shared))
     swap = F.struct("za", "ca") > F.struct("zb", "cb")
     one = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    across = across.select(F.col("c").alias("cnt"), *(one(f"{x}a", f"{x}b").alias(f"{x}a") for x in ("", "n", "z", "c", "t")), *(F.array(one(f"{x}b", f"{x}a")).alias(f"{x}b") for x in ("", "n", "z", "c", "t")))
+    across = across.select(one("a", "b").alias("a"), one("na", "nb").alias("na"), F.col("c").alias("cnt"), F.array(one("b", "a")).alias("b"), F.array(one("nb", "na")).alias("nb"))
 
     def counted(key, table):
-        na, za, ca, ta = (table.column(x)[0].as_py() for x in ("na", "za", "ca", "ta"))
-        lens = np.array([len(x) for x in table.column("b").to_pylist()])
-        b, nb, zb, cb, tb = (table.column(x).combine_chunks().flatten().to_numpy() for x in ("b", "nb", "zb", "cb", "tb"))
-        cnt = np.repeat(table.column("cnt").to_numpy(), lens)
+        na = table.column("na")[0].as_py()
+        b, nb = (table.column(x).combine_chunks().flatten().to_numpy() for x in ("b", "nb"))
+        cnt = np.repeat(table.column("cnt").to_numpy(), pc.list_value_length(table.column("b")).to_numpy())
+        who, first, at = np.unique(b, return_index=True, return_inverse=True)
         least = -(-percent * (na + nb) // (100 + percent)) - np.maximum(needed(percent, na), needed(percent, nb)) - 1
-        ok = ((zb > za) | (zb == za) & (cb > ca)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (np.minimum(ta, tb) >= least)
-        who, first, at = np.unique(b[ok], return_index=True, return_inverse=True)
-        who = who[np.bincount(at, cnt[ok], len(who)) >= least[ok][first]] if len(who) else who
+        who = who[np.bincount(at, cnt, len(who)) >= least[first]]
         a = np.full(len(who), key[0].as_py())
         return pa.table({"a": pa.array(np.minimum(a, who), pa.int64()), "b": pa.array(np.maximum(a, who), pa.int64())})
 
-    columns = ["a", "cnt", "na", "za", "ca", "ta", "b", "nb", "zb", "cb", "tb"]
-    left = rest.select(columns).unionByName(across.select(columns)).groupBy("a").applyInArrow(counted, "a long, b long")
+    left = rest.unionByName(across).groupBy("a").applyInArrow(counted, "a long, b long")
     left = work.write(left.join(tried, ["a", "b"], "left_anti"), "left")
     more = verify(left, rows, table, k, percent, work, "second")
     comp = work.write(components(links.unionByName(more), work, "two-"), "two")
