@@ -276,7 +276,7 @@ def doc_ranges(keys: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndar
     order = np.argsort(doc, kind="stable")
     doc, flat = doc[order], flat[order]
     which, at = np.unique(doc, return_index=True)
-    ends = np.r_[at[1:], len(doc)]
+    ends = np.r_[at[1:], len(doc)][: len(at)]
     return pa.table({KEY: pa.array(keys[which], pa.int64()), "ranges": pa.array([flat[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())})
 
 

@@ -5,7 +5,8 @@ share their tables: for each order, the hashes of the n-grams of any language, s
 one per language, already interpolated with the lower orders; and likewise for contexts, with the weights of the lower
 order. A lookup is a binary search; a word's sum is kept, so each distinct word is scored once per task.
 A document goes to the language of lowest cross-entropy per letter. It is rejected if that is nearer to the
-cross-entropy of the same kind of texts with their letters shuffled than to theirs as they are (by a calibrated share).
+cross-entropy of the same kind of texts with their letters shuffled than to theirs as they are (by a calibrated share),
+and well above nearly all of theirs.
 """
 
 from __future__ import annotations
@@ -228,7 +229,8 @@ def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, lim
     limit = float("inf")
     if pairs.num_rows:
         own, mixed = (float(np.median(pairs.column(c).to_numpy())) for c in ("own", "mixed"))
-        limit = own + limit_share * max(0.0, mixed - own)
+        most = 1.1 * float(np.quantile(pairs.column("own").to_numpy(), 0.99))  # texts like the labelled ones stay
+        limit = max(most, own + limit_share * (mixed - own))
     return Model(lm, limit)
 
 

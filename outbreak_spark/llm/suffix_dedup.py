@@ -142,7 +142,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         doc = np.searchsorted(starts, at, side="right") - 1
         which, first = np.unique(doc, return_index=True)
         flat = (at - starts[doc]).astype("<u4")
-        return pa.table({KEY: pa.array(keys[which], pa.int64()), "marks": pa.array([flat[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)], strict=True)], pa.binary())})
+        return pa.table({KEY: pa.array(keys[which], pa.int64()), "marks": pa.array([flat[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)][: len(first)], strict=True)], pa.binary())})
 
     found = rows.mapInArrow(anchors, SENT).groupBy("bucket").applyInArrow(find_repeats, SENT).groupBy("flush").applyInArrow(candidates, MARKS)
     found = work.write(found, "anchors").groupBy(KEY).agg(F.max("marks").alias("marks"))
