@@ -66,9 +66,10 @@ def growth(df: DataFrame, window: int = 7, confidence: float = 0.95) -> DataFram
     left = F.greatest(F.lit(0.0), (1 - F.coalesce(F.nanvl("r2", F.lit(1.0)), F.lit(1.0))) * F.col("syy"))
     error = F.sqrt(F.try_divide(F.try_divide(left, F.col("sxx")), F.nullif(F.col("n") - 2, F.lit(0))))
     z, ln2 = z_of(confidence), math.log(2)
+    grows = F.col("growth_rate") > 1e-12  # not rounding noise of a flat series
     g = fit.select(*KEYS, "n", F.when(enough, F.col("slope")).alias("growth_rate"), F.when(enough, error).alias("se"))
     g = g.withColumn("growth_lower", F.col("growth_rate") - z * F.col("se")).withColumn("growth_upper", F.col("growth_rate") + z * F.col("se"))
-    g = g.withColumn("doubling_time", F.when(F.col("growth_rate") > 0, F.lit(ln2) / F.when(F.col("growth_rate") > 0, F.col("growth_rate"))))
+    g = g.withColumn("doubling_time", F.when(grows, F.lit(ln2) / F.when(grows, F.col("growth_rate"))))
     spread = z * F.col("se") * F.lit(ln2) / F.nullif(F.col("growth_rate") * F.col("growth_rate"), F.lit(0.0))
     known = F.col("doubling_time").isNotNull()
     return g.withColumn("doubling_lower", F.when(known, F.greatest(F.lit(0.0), F.col("doubling_time") - spread))).withColumn("doubling_upper", F.when(known, F.col("doubling_time") + spread))

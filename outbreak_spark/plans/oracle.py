@@ -164,7 +164,7 @@ SQL = {
     "wilson_edges": f"SELECT deaths::BIGINT AS deaths, cases::BIGINT AS cases, {_wilson('deaths', 'cases')} FROM (VALUES (0, 0), (11, 10), (101, 100), (1, 10000), (99, 100), (0, 50), (50, 50)) AS v(deaths, cases)",
     "incidence_rate": f"WITH {TOTALS} SELECT region, pathogen, round(cases / population::DOUBLE * 100000, 6) AS value FROM t",
     "growth_rate": f"WITH {GROWTH} SELECT region, pathogen, n, round(rate, 7) AS growth_rate, round(se, 7) AS se, round(rate - {Z} * se, 7) AS growth_lower, round(rate + {Z} * se, 7) AS growth_upper FROM w",
-    "doubling_time": f"WITH {GROWTH} SELECT region, pathogen, round(CASE WHEN rate > 0 THEN ln(2) / rate END, 4) AS doubling_time FROM w",
+    "doubling_time": f"WITH {GROWTH} SELECT region, pathogen, round(CASE WHEN rate > 1e-12 THEN ln(2) / rate END, 4) AS doubling_time FROM w",
     "quality_issues": f"WITH {ISSUES} SELECT * FROM i",
     "quality_score": _score("region, pathogen") + SCORED.format(keys="region, pathogen, "),
     "quality_overall": _score("") + SCORED.format(keys=""),
