@@ -57,7 +57,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in sequences of 1024 ids."""
-    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    out = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), most_pieces=50_000)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

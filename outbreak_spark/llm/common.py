@@ -31,7 +31,7 @@ FLUSH_BYTES = 24 << 20
 #: A side table is broadcast only if its files, as measured, are no larger than this.
 BROADCAST_BYTES = 16 << 20
 KEY = "__row_key"
-ARROW_ROWS, MOST_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+ARROW_ROWS, MOST_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -32,7 +32,7 @@ SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 1_000_000
 #: Groups of at most so many classes give all their pairs at once.
 SMALL = 12
 #: Rounds in which members of large groups try so many partners each, as long as there are FEW pairs to try.
-TRIES, FEW = (3, 8, 24), 200
+TRIES, FEW = (4, 24), 200
 SET_BITS = U64(0xFFFFFFFFFFFF)
 
 

@@ -62,19 +62,19 @@ class SumOfSquares:
         return [x for level in sorted(self.open, reverse=True) for w in self.open[level] for x in w]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, most_pieces: int = 500_000) -> DataFrame:
     """Pieces of documents in sequences of at most `size` (a power of two) ids; a sequence is full or a power of two long.
 
     docs needs doc_id and text; other columns are ignored. One row per piece: doc_id, start (the document's ids before
     it), length, doc_tokens (with the end id), sequence_id, offset (in the sequence, gapless from 0), ids (binary,
     little-endian unsigned 32-bit). Null and empty texts are one end id. Null and repeated doc_ids are kept: each row
-    is a document. Sequence ids are unique, not consecutive. An empty table gives an empty result.
+    is a document. most_pieces: how many distinct pieces a worker keeps encoded (fewer: less memory, more time). Sequence ids are unique, not consecutive. An empty table gives an empty result.
     """
     if size & (size - 1):
         raise ValueError("size must be a power of two")
 
     def packed(batches):
-        encoder, levels = shared_encoder(tokenizer), SumOfSquares(size)
+        encoder, levels = shared_encoder(tokenizer, most_pieces), SumOfSquares(size)
         sequence = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
         weight = 0

@@ -131,11 +131,12 @@ def drop_shared() -> bool:
     return had
 
 
-def shared_encoder(path: str) -> Encoder:
+def shared_encoder(path: str, most_pieces: int = Encoder.MOST_PIECES) -> Encoder:
     """One per worker process: later tasks need not learn their pieces again."""
     if path not in _SHARED:
         _SHARED.clear()
         _SHARED[path] = Encoder(path)
+    _SHARED[path].MOST_PIECES = most_pieces
     return _SHARED[path]
 
 
