@@ -129,7 +129,7 @@ class KneserNey:
 class Scorer:
     """Cross-entropies of texts; each distinct word is scored once."""
 
-    MOST = 250_000
+    MOST = 150_000
 
     def __init__(self, model: KneserNey):
         self.model, self.known = model, {}
@@ -186,6 +186,7 @@ def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, lim
     chosen = rows.where(F.col("at") < per_language)
 
     def grams(batches):
+        fresh()
         found: dict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -209,6 +210,7 @@ def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, lim
     shared = spark.sparkContext.broadcast(lm)
 
     def calibrate(batches):
+        fresh()
         scorer, rng = Scorer(shared.value), random.Random(1)
         for batch in batches:
             texts = batch.column("text").to_pylist()

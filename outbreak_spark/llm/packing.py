@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.tokens import shared_encoder, text_groups
+from outbreak_spark.llm.common import release
+from outbreak_spark.llm.tokens import Encoder, drop_shared, shared_encoder, text_groups
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -125,6 +126,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, mos
                     window = []
         if held:
             yield out()
+        if most_pieces < Encoder.MOST_PIECES:  # memory is short
+            drop_shared()
+            release()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(packed, PIECES)
