@@ -7,9 +7,10 @@ probability. A word of the rest has the rest's probability times its smoothed sh
 normalised over all words.
 
 Counts cover all training documents: every flush sends each distinct word's hash and count once, and gets the word's
-total back. Training tokens follow the corpus too: one training document in SAMPLE, wherever it lies; each task trains
-on its own from the same start and the parameters are averaged, in a tree, after each of ROUNDS. Texts are scored a
-flush at a time: log-probabilities of all classes are one matrix product for each block of the flush's distinct contexts.
+total back. So does the model: each of ROUNDS takes another part of the training documents, by hash, until all were
+used once; each task trains on its own from the same start and the parameters are averaged, in a tree, after each round.
+Texts are scored a flush at a time: log-probabilities of all classes are one matrix product for each block of the
+flush's distinct contexts.
 
 Flushes are named by the partition and place of the scan they come from: pass a table of files, or what reads alike.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from outbreak_spark.llm.common import KEY, U64, WordHashes, Workspace, buckets_for, flushes, keyed, split_by
 
 CLASSES, DIMS, NOISE, BATCH = 1024, 32, 64, 512
-SAMPLE, ROUNDS = 16, 2
+ROUNDS = 2
 FLUSH = 12 << 20
 REST, END, BEGIN = 0, 1, CLASSES
 END_HASH = U64(0x1F3D5B79A2C4E680)
@@ -71,6 +72,7 @@ class LogBilinear:
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         self.share = share.astype(np.float64)
         self.params = [small(CLASSES + 1, DIMS), 1 + small(2, DIMS), small(CLASSES, DIMS), np.log(share).astype(np.float32)]
+        self.seen = [np.full_like(p, 1e-2) for p in self.params]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
@@ -83,38 +85,43 @@ class LogBilinear:
         return self
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
-        """One pass of noise-contrastive estimation with Adagrad; a batch shares its noise samples."""
+        """One pass of noise-contrastive estimation with Adagrad, whose sums go on from call to call; a batch shares its
+        noise samples. Rows are sorted as 16-bit numbers, for which numpy has a radix sort."""
         vectors, weights, out, bias = self.params
-        seen = [np.full_like(p, 1e-2) for p in self.params]
         noise_log = np.log(NOISE * self.share).astype(np.float32)
         draws = np.cumsum(self.share)
+        contexts, targets = contexts.astype(np.int16), targets.astype(np.int16)
 
         def step(k: int, rows, grad: np.ndarray) -> None:
-            seen[k][rows] += grad**2
-            self.params[k][rows] -= rate * grad / np.sqrt(seen[k][rows])
+            total = self.seen[k][rows] + grad**2
+            self.seen[k][rows] = total
+            self.params[k][rows] -= rate * grad / np.sqrt(total)
 
-        def summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             order = np.argsort(rows, kind="stable")
             s = rows[order]
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            return s[first], np.add.reduceat(grad[order], first, axis=0)
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            return s[first], order, first
 
         for i in range(0, len(targets), BATCH):
             c, w = contexts[i : i + BATCH], targets[i : i + BATCH]
             n = len(w)
             a, b = vectors[c[:, 0]], vectors[c[:, 1]]
             q = a * weights[0] + b * weights[1]
-            noise = np.minimum(np.searchsorted(draws, rng.random(NOISE)), CLASSES - 1)
-            real = (q * out[w]).sum(1) + bias[w] - noise_log[w]
-            fake = q @ out[noise].T + bias[noise] - noise_log[noise]
+            noise = np.minimum(np.searchsorted(draws, rng.random(NOISE)), CLASSES - 1).astype(np.int16)
+            near, far = out[w], out[noise]
+            real = np.einsum("ij,ij->i", q, near) + (bias - noise_log)[w]
+            fake = q @ far.T + (bias - noise_log)[noise]
             g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
             g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-            g_q = g_real[:, None] * out[w] + g_fake @ out[noise]
+            g_q = g_real[:, None] * near + g_fake @ far
+            rows, order, first = sorted_rows(np.concatenate([w, noise]))
             g_out = np.concatenate([g_real[:, None] * q, g_fake.T @ q])
-            step(2, *summed(np.r_[w, noise], g_out / n * 8))
-            step(3, *summed(np.r_[w, noise], np.r_[g_real, g_fake.sum(0)] / n * 8))
-            step(0, *summed(c.T.ravel(), np.concatenate([g_q * weights[0], g_q * weights[1]]) / n * 8))
-            step(1, slice(None), np.stack([(g_q * a).sum(0), (g_q * b).sum(0)]) / n)
+            step(2, rows, np.add.reduceat(g_out[order], first, axis=0) * np.float32(8 / n))
+            step(3, rows, np.add.reduceat(np.concatenate([g_real, g_fake.sum(0)])[order], first) * np.float32(8 / n))
+            rows, order, first = sorted_rows(c.T.ravel())
+            step(0, rows, np.add.reduceat(np.concatenate([g_q * weights[0], g_q * weights[1]])[order], first, axis=0) * np.float32(8 / n))
+            step(1, slice(None), np.stack([np.einsum("ij,ij->j", g_q, a), np.einsum("ij,ij->j", g_q, b)]) / n)
 
     def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
         """Natural logs for all classes, a row per context (the class before last, the last)."""
@@ -225,14 +232,14 @@ def score(docs: DataFrame, is_training) -> DataFrame:
             return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([float(n.sum())]), "p": pa.array([p.astype("<f4").tobytes()], pa.binary())})
 
         schema = "part long, n double, p binary"
-        sample = rows.where(F.col("training") & (F.pmod(F.xxhash64(KEY, F.lit(9)), F.lit(SAMPLE)) == 0)).select("text")
-        level = work.write(sample.mapInArrow(local, schema), f"params{step}")
+        part = rows.where(F.col("training") & (F.pmod(F.xxhash64(KEY, F.lit(9)), F.lit(ROUNDS)) == step)).select("text")
+        level = work.write(part.mapInArrow(local, schema), f"params{step}")
         most, k = level.agg(F.max("part")).first()[0], 0
         while most is not None and most >= 16:
             most, k = most // 16, k + 1
             level = work.write(level.withColumn("part", F.floor(F.col("part") / 16)).groupBy("part").applyInArrow(average, schema), f"params{step}-{k}")
         got = level.toArrow()  # at most 16 rows
-        if got.num_rows:
+        if got.num_rows:  # a small table may have none in a round
             model.load(np.frombuffer(average([pa.scalar(0)], got).column("p")[0].as_py(), "<f4"))
     trained = spark.sparkContext.broadcast(model.flat())
 

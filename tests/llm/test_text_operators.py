@@ -309,3 +309,19 @@ def test_lm_is_normalised_and_learns():
         m.train(context, target, np.random.default_rng(k))
     assert m.token_logs(context, target).mean() > before + 0.3
     assert np.allclose(np.exp(m.log_probabilities(context[:5])).sum(1), 1, atol=1e-3)
+
+
+def test_every_training_document_trains(docs, monkeypatch):
+    tokens, write = {}, Workspace.write
+
+    def noted(self, df, name):
+        out = write(self, df, name)
+        if name.startswith("params") and "-" not in name:
+            tokens[name] = out.agg(F.sum("n")).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(lblm.Workspace, "write", noted)
+    for condition in (F.col("doc_id") % 4 != 0, F.col("doc_id") == 9):
+        tokens.clear()
+        want = lblm.score(docs, condition).where("training").agg(F.sum("n_tokens")).first()[0]
+        assert sum(tokens.values()) == want > 0
