@@ -256,19 +256,12 @@ def multi_wave(spark, path):
     return day(synthetic.generate_multi_wave(_epidemics(spark)).drop("metadata"))
 
 
-def _ships(spark, path):
-    """The last 200 days of each region's shipments."""
-    x = tables.from_shipments(spark, path)
-    last = x.groupBy(*KEYS).agg(F.max(ORDER).alias("last"))
-    return x.join(last, KEYS).where(F.col(ORDER) > F.col("last") - 200).drop("last")
-
-
 def forecasts(spark, path):
-    return rounded(day(forecast.forecast(_ships(spark, path)).drop("importance")), 4)
+    return rounded(day(forecast.forecast(tables.from_shipments(spark, path)).drop("importance")), 4)
 
 
 def ensemble_forecast(spark, path):
-    return rounded(day(forecast.ensemble(forecast.forecast(_ships(spark, path)))), 4)
+    return rounded(day(forecast.ensemble(forecast.forecast(tables.from_shipments(spark, path)))), 4)
 
 
 def ensemble_weights(spark, path):

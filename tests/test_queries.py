@@ -6,8 +6,10 @@ import os
 import __spark_entry__ as entry
 import duckdb
 import pytest
+from outbreak_spark.operators import forecast
 from outbreak_spark.plans.oracle import SQL
 from outbreak_spark.plans.queries import ITERATIVE, QUERIES
+from outbreak_spark.sources import tables
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -51,3 +53,12 @@ def test_rows(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_forecasts_take_whole_series(spark, monkeypatch):
+    seen, run = [], forecast.forecast
+    monkeypatch.setattr(forecast, "forecast", lambda df, **k: seen.append(df) or run(df, **k))
+    for name in ("forecasts", "ensemble_forecast"):
+        QUERIES[name](spark, DATA)
+    days = tables.from_shipments(spark, DATA).count()
+    assert days > 5 * 200 and [x.count() for x in seen] == [days, days]
