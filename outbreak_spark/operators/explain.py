@@ -33,7 +33,7 @@ NAMES = {
 PHI = "region string, pathogen string, row int, feature string, phi double, prediction double, base double"
 
 
-def shapley_values(features: DataFrame, n_lags: int = 14, trees: int = 100) -> DataFrame:
+def shapley_values(features: DataFrame, n_lags: int = 14, trees: int = 200) -> DataFrame:
     """Long: row (0, 1, ... by record), feature, phi, prediction, base. A series' phi and base add up to its prediction.
     The model learns from all of a series' rows, without sampling. One task per series."""
     names = feature_names(n_lags)
@@ -43,7 +43,7 @@ def shapley_values(features: DataFrame, n_lags: int = 14, trees: int = 100) -> D
 
         pdf = pdf.sort_values(ORDER)
         x, y = pdf[names].to_numpy(float), pdf.target.to_numpy(float)
-        model = Booster(trees=trees, depth=4, rows=1.0, features=1.0, least=1).fit(x, y)
+        model = Booster(trees=trees, depth=6, rows=1.0, features=1.0, least=1).fit(x, y)
         phi = model.shapley(x)
         n, m = x.shape
         return pd.DataFrame({"region": key[0], "pathogen": key[1], "row": np.repeat(np.arange(n, dtype=np.int32), m), "feature": np.tile(np.array(names, object), n), "phi": phi.ravel(), "prediction": np.repeat(model.predict(x), m), "base": model.expected()})

@@ -271,7 +271,7 @@ def ensemble_weights(spark, path):
 
 
 def shap_drivers(spark, path):
-    phi = explain.shapley_values(features.lag_features(tables.from_events(spark, path)), trees=20)
+    phi = explain.shapley_values(features.lag_features(tables.from_events(spark, path)))
     return rounded(explain.drivers(phi), 4)
 
 

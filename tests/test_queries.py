@@ -6,7 +6,8 @@ import os
 import __spark_entry__ as entry
 import duckdb
 import pytest
-from outbreak_spark.operators import forecast
+from outbreak_spark.kernels.trees import Booster
+from outbreak_spark.operators import features, forecast
 from outbreak_spark.plans.oracle import SQL
 from outbreak_spark.plans.queries import ITERATIVE, QUERIES
 from outbreak_spark.sources import tables
@@ -62,3 +63,15 @@ def test_forecasts_take_whole_series(spark, monkeypatch):
         QUERIES[name](spark, DATA)
     days = tables.from_shipments(spark, DATA).count()
     assert days > 5 * 200 and [x.count() for x in seen] == [days, days]
+
+
+def test_drivers_are_of_the_full_model(spark):
+    rows = features.lag_features(tables.from_events(spark, DATA)).orderBy("record_index").toPandas()
+    got = QUERIES["shap_drivers"](spark, DATA).orderBy("rank").toPandas()
+    assert len(got)
+    for key, top in list(got.groupby(["region", "pathogen"]))[:3]:
+        own = rows[(rows.region == key[0]) & (rows.pathogen == key[1])]
+        x = own[features.feature_names()].to_numpy(float)
+        model = Booster(trees=200, depth=6, rate=0.1, rows=1.0, features=1.0, least=1).fit(x, own.target.to_numpy(float))
+        want = dict(zip(features.feature_names(), abs(model.shapley(x)).mean(0), strict=True))
+        assert all(abs(want[f] - v) < 1e-4 for f, v in zip(top.feature, top.importance, strict=True))
