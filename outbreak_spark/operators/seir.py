@@ -87,7 +87,7 @@ def fit_seir(df: DataFrame, guess: tuple[float, float, float] = (2.5, 5.2, 2.9),
                     return 1e10
                 return float(((model - seen) ** 2).mean())
 
-            p, _ = nelder_mead(loss, guess, most=200)
+            p, _ = nelder_mead(loss, guess)
             best = [float(np.clip(p[0], 0.1, 30)), *(float(v) for v in np.clip(p[1:], 0.5, 30))]
             model = curves_of(*best, people, infected, len(seen) - 1)[:, 4, 0]
             rest, total = float(((model - seen) ** 2).sum()), float(((seen - seen.mean()) ** 2).sum())

@@ -296,3 +296,8 @@ def test_partitioning_does_not_matter(spark, parts):
 def test_calendar_fills_gaps(spark):
     rows = spark.createDataFrame([("r", "p", DAY, 3, 1, 10), ("r", "p", DAY + datetime.timedelta(days=3), 4, 0, 10)], "region string, pathogen string, date date, new_cases long, new_deaths long, population long")
     assert [r.new_cases for r in tables.calendar(rows).orderBy("date").collect()] == [3, 0, 0, 4]
+
+
+def test_fit_goes_on_until_it_converges(spark):
+    got = seir.fit_seir(frame(spark, [round(100 - 99 * k / 29) for k in range(30)], population=100_000)).first()
+    assert abs(got.infectious_days - 0.6537) < 0.01 and abs(got.r0 - 0.9525) < 0.01
