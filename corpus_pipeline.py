@@ -36,10 +36,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.where("count = 1").unionByName(kept.where("count > 1").dropDuplicates([KEY])).select(*COLUMNS)
 
 
+def without_halves(text):
+    """The text without its invalid bytes. Replacement characters of its own are written as escapes meanwhile."""
+    own = F.replace(F.replace(text, F.lit("\x01"), F.lit("\x01a")), F.lit("\ufffd"), F.lit("\x01b"))
+    valid = F.replace(F.make_valid_utf8(own), F.lit("\ufffd"), F.lit(""))
+    return F.replace(F.replace(valid, F.lit("\x01b"), F.lit("\ufffd")), F.lit("\x01a"), F.lit("\x01"))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that occur again are cut from all texts; bytes of a character cut in two go with it."""
     out = suffix_dedup.remove_repeated_bytes(docs, 200, *COLUMNS[2:])
-    whole = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")).otherwise(F.col("kept").cast("string"))
+    whole = F.when(F.col("n_removed") > 0, without_halves(F.col("kept").cast("string"))).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("text", whole).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*COLUMNS)
 

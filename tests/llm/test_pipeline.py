@@ -3,6 +3,7 @@ import pytest
 from outbreak_spark.llm import jaccard, suffix_dedup
 from outbreak_spark.llm.common import Workspace
 from outbreak_spark.llm.queries import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 
 
 def test_a_query_per_operator():
@@ -43,3 +44,11 @@ def test_stages(spark, small):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small[0]).count() > 0
+
+
+def test_own_replacement_characters_stay(spark):
+    half = "é漢".encode()
+    texts = ["a\ufffdb\x01\ufffd\x01a\x01b\x01".encode(), b"x" + half[:-1] + "\ufffd".encode() + half[1:] + b"\x01", half[1:2] + b"ok" + half[:1], b"\x01" + half[3:] + b"ab"]
+    rows = spark.createDataFrame(list(enumerate(map(bytearray, texts))), "k int, kept binary")
+    got = rows.select("k", corpus_pipeline.without_halves(F.col("kept").cast("string")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in got] == [t.decode(errors="ignore") for t in texts]
