@@ -1,10 +1,11 @@
-"""Shared pieces of the training-data operators: shared folder, flushes of documents, hashing, bucketed exchange.
+"""Shared pieces of the training-data operators: shared folder, flushes of documents, hashing, exchange of hashes.
 
 Several operators find equal pieces of text over the whole corpus. They all move *blobs* instead of rows: a map
 task turns its documents into flushes (a few MB of text), hashes with numpy, and sends one binary row for each
 (flush, hash bucket). A bucket task sees each hash at most once per flush, because equal hashes inside a flush
 are collapsed before the exchange; so a hash that a third of all rows share costs one entry per flush.
 What a bucket finds goes back to its flush as one more blob, and there becomes ranges per document.
+With many buckets that would be a row for each of flushes x buckets, so the exchange then has two levels: see Exchange.
 """
 
 from __future__ import annotations
@@ -32,31 +33,60 @@ FLUSH_BYTES = 24 << 20
 BROADCAST_BYTES = 16 << 20
 KEY = "__row_key"
 ARROW_ROWS, MOST_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
+#: Rows that one key may have before its side of a join is dealt by broadcast: at most N / HOT_ROWS keys have more.
+HOT_ROWS = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it's unset, a temporary one, which only a
+    local master allows: elsewhere executors and driver have different disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="shared-")
         atexit.register(shutil.rmtree, where[len("file://") :], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession):
+    """Inside, Arrow batches have few rows, as rows hold whole texts; the session's own limit is put back after."""
+    had = spark.conf.get(ARROW_ROWS, "10000")
+    short = int(had) not in range(1, MOST_ARROW_ROWS + 1)
+    if short:
+        spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))
+    try:
+        yield
+    finally:
+        if short:
+            spark.conf.set(ARROW_ROWS, had)
+
+
+_ROOTS: list[Workspace] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that the operators wrote to the shared folder, which their results may still read: call it when those
+    are written or collected."""
+    while _ROOTS:
+        _ROOTS.pop().drop("")
+
+
 class Workspace:
     """Tables written to the shared folder: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        if int(spark.conf.get(ARROW_ROWS, "10000")) not in range(1, MOST_ARROW_ROWS + 1):
-            spark.conf.set(ARROW_ROWS, str(MOST_ARROW_ROWS))  # rows hold whole texts
+        _ROOTS.append(self)
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{name}" if name else self.root
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with short_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _fs(self, name: str):
@@ -81,9 +111,33 @@ class Workspace:
         return docs.join(side.hint("merge"), on, how)
 
 
+def spread_join(rows: DataFrame, side: DataFrame, on: str, size: str) -> DataFrame:
+    """rows inner join side, which has one row per value of `on`, with the number of rows of it in the column `size`.
+
+    Values with more than HOT_ROWS rows would each be one task's work: they are joined by broadcast (at most one in
+    HOT_ROWS rows can be such a value, and no more than a million are sent, those with most rows), the others by shuffle.
+    """
+    limit = HOT_ROWS
+    while (hot := side.where(F.col(size) > limit).count()) > 1_000_000:
+        limit *= 2
+    if not hot:
+        return rows.join(side, on)
+    few, many = F.broadcast(side.where(F.col(size) > limit)), side.where(F.col(size) <= limit)
+    return rows.join(few, on).unionByName(rows.join(F.broadcast(side.where(F.col(size) > limit).select(on)), on, "left_anti").join(many, on))
+
+
 def row_key() -> Column:
-    """A key that equal rows share; doc_id may be null or repeat with another text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null")), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """A key of 128 bits that equal rows share; doc_id may be null or repeat with another text."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null"))
+    return F.unhex(F.md5(F.concat_ws("\x01", name, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
+
+
+def keys_blob(keys: list[bytes]) -> bytes:
+    return b"".join(keys)
+
+
+def keys_of(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "V16")
 
 
 def keyed(docs: DataFrame, *columns) -> DataFrame:
@@ -91,9 +145,13 @@ def keyed(docs: DataFrame, *columns) -> DataFrame:
     return docs.select(row_key().alias(KEY), *columns, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
-def buckets_for(docs: DataFrame, per_bucket: int, least: int = 8) -> int:
-    """Number of hash buckets, a power of two: one for so many bytes of text. One narrow pass over the text."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: one narrow pass, whose result sizes all buckets of an operator."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def buckets_for(total: int, per_bucket: int, least: int = 8) -> int:
+    """Number of hash buckets, a power of two: one for so many bytes of text."""
     return max(least, 1 << max(0, int(np.ceil(np.log2(max(1, total / per_bucket))))))
 
 
@@ -128,8 +186,11 @@ class WordHashes(dict):
 
     MOST = 300_000
 
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -177,13 +238,16 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-SENT = "bucket long, flush long, a binary, b binary, c binary"
+SENT = "bucket long, flush long, a binary, b binary, c binary, d binary"
+
+
+SUMMARY = -(1 << 62)
 
 
 def sent(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "flush", "a", "b", "c"])
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "flush", "a", "b", "c", "d"])
 
 
 def flush_key(flush: int) -> int:
@@ -191,12 +255,15 @@ def flush_key(flush: int) -> int:
     return -1 - flush
 
 
-def collapse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of one entry for each hash, and a mask of the entries whose hash occurs more than once here."""
-    order = np.argsort(hashes, kind="stable")
+def collapse(hashes: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of one entry for each hash (of 128 bits if `more` is given), and a mask of those that occur again here."""
+    order = np.argsort(hashes, kind="stable") if more is None else np.lexsort((more, hashes))
     s = hashes[order]
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
+    if more is not None:
+        t = more[order]
+        new[1:] |= t[1:] != t[:-1]
     twin = ~new
     twin[:-1] |= ~new[1:]
     mask = np.zeros(len(s), bool)
@@ -204,58 +271,130 @@ def collapse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], mask
 
 
-def split_by(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order that puts buckets together, and the n + 1 bounds."""
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+def parts(values: np.ndarray):
+    """(value, indices of it) for each value that occurs: nothing is done for those that don't."""
+    order = np.argsort(values, kind="stable")
+    s = values[order]
+    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(s)], strict=False):
+        yield int(s[lo]), order[lo:hi]
 
 
-def send_hashes(flush: int, hashes: np.ndarray, ordinals: np.ndarray, table: tuple[bytes, bytes], buckets: int, wide: bool) -> pa.RecordBatch:
-    """One row per bucket, and one for the flush itself with its document table and what it already knows to repeat.
+class Exchange:
+    """Meets equal hashes of all flushes, and answers each flush.
 
-    wide: 64 bits of each hash go out, else 32 besides the bucket (enough where a false match only costs time).
+    repeats: which of its entries have a hash that occurs again, anywhere. totals: the sum of the values sent with each
+    hash; a flush sends each hash once. Up to `most` buckets, a flush sends a row to each bucket. Beyond, to one of about
+    sqrt(buckets) coarse ones; there about sqrt(flushes) flushes meet, their equal hashes are collapsed once more, and
+    one row goes on for all of them to each fine bucket that occurs; answers come back on the same way. So with n
+    flushes and buckets n^1.5 rows are sent, and not n^2, and a hash that all flushes have is sqrt(n) entries in its bucket.
     """
-    one, twice = collapse(hashes)
-    rows = [(flush_key(flush), flush, np.sort(ordinals[twice]).astype("<u4").tobytes(), *table)]
-    h, o = hashes[one], ordinals[one].astype("<u4")
-    order, bounds = split_by((h % U64(buckets)).astype(np.int64), buckets)
-    h, o = (h if wide else (h >> U64(32)).astype("<u4"))[order], o[order]
-    for k in range(buckets):
-        if bounds[k + 1] > bounds[k]:
-            rows.append((k, flush, h[bounds[k] : bounds[k + 1]].tobytes(), o[bounds[k] : bounds[k + 1]].tobytes(), b"w" if wide else b"n"))
-    return sent(rows)
-
-
-def find_repeats(key, table):
-    """For a bucket: the ordinals, by flush, whose hash another flush has too. Rows of a flush itself pass."""
-    if key[0].as_py() < 0:
-        return table
-    flush, a, b, c = (table.column(x).to_pylist() for x in ("flush", "a", "b", "c"))
-    kind = "<u8" if c[0] == b"w" else "<u4"
-    hashes = np.concatenate([np.frombuffer(x, kind) for x in a])
-    ordinals = np.concatenate([np.frombuffer(x, "<u4") for x in b])
-    owner = np.repeat(np.arange(len(flush)), [len(x) // 4 for x in b])
-    _, twice = collapse(hashes)
-    out = []
-    ordinals, owner = ordinals[twice], owner[twice]
-    for k in np.unique(owner):
-        out.append((key[0].as_py(), flush[k], ordinals[owner == k].tobytes(), None, None))
-    return pa.Table.from_batches([sent(out)])
-
-
-def repeats(spark: SparkSession, sent_rows: DataFrame, per_flush, schema: str) -> DataFrame:
-    """Bucket exchange, then back to the flushes: per_flush(table row a, b, c; ordinals) -> rows of the schema."""
-    found = sent_rows.groupBy("bucket").applyInArrow(find_repeats, SENT)
-
-    def back(key, table):
-        own, marks = None, []
-        for a, b, c in zip(*(table.column(x).to_pylist() for x in ("a", "b", "c")), strict=True):
-            marks.append(np.frombuffer(a, "<u4"))
-            if b is not None:
-                own = (b, c)
-        return per_flush(own, np.unique(np.concatenate(marks)))
-
-    return found.groupBy("flush").applyInArrow(back, schema)
+
+    def __init__(self, total: int, per_bucket: int = 24 << 20, most: int = 512, totals: bool = False, summary=None):
+        """summary: with totals, a function of a bucket's hashes and their sums that gives (a, b, c, d) for one more row,
+        whose bucket is SUMMARY."""
+        self.buckets, self.totals, self.summary = buckets_for(total, per_bucket), totals, summary
+        bits = self.buckets.bit_length() - 1
+        self.coarse = self.buckets if self.buckets <= most else 1 << ((bits + 1) // 2)
+
+    def send(self, flush: int, hashes: np.ndarray, ordinals: np.ndarray, own: tuple, more: np.ndarray | None = None, short: bool = False) -> pa.RecordBatch:
+        """One row per bucket, and one for the flush itself with its own data and what it already knows to repeat.
+
+        more: the hashes' second 64 bits, or with totals the values. short: 32 bits of each hash besides the bucket are
+        enough, as a false match only costs time.
+        """
+        if self.totals:
+            one, known = np.arange(len(hashes)), ordinals[:0]
+        else:
+            one, twice = collapse(hashes, more)
+            known = np.sort(ordinals[twice])
+        rows = [(flush_key(flush), flush, known.astype("<u4").tobytes(), *own, *[None] * (3 - len(own)))]
+        h, o = hashes[one], ordinals[one].astype("<u4")
+        m = more[one].astype("<u8") if more is not None else None
+        short = short and self.coarse == self.buckets
+        for k, at in parts((h % U64(self.coarse)).astype(np.int64)):
+            rows.append((k, flush, ((h[at] >> U64(32)).astype("<u4") if short else h[at]).tobytes(), o[at].tobytes(), b"", m[at].tobytes() if m is not None else b""))
+        return sent(rows)
+
+    def answered(self, sent_rows: DataFrame) -> DataFrame:
+        """Rows of SENT whose key is the flush: its own, and answers (a: ordinals, and with totals d: their sums)."""
+        if self.coarse == self.buckets:
+            return self.wide(sent_rows).groupBy("bucket").applyInArrow(lambda key, table: self._find(key, table), SENT)
+        group = F.pmod(F.xxhash64("flush"), F.lit(self.coarse))
+        met = sent_rows.withColumn("group", group).groupBy("bucket", "group").applyInArrow(lambda key, table: self._gather(key, table), SENT)
+        return self.wide(met).groupBy("bucket").applyInArrow(lambda key, table: self._find(key, table), SENT).groupBy("bucket", "flush").applyInArrow(lambda key, table: self._home(key, table), SENT)
+
+    def wide(self, rows: DataFrame) -> DataFrame:
+        """As many tasks as the buckets ask for, where the session's setting is far below them."""
+        usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(self.buckets // 4, "bucket") if self.buckets > 16 * usual else rows
+
+    @staticmethod
+    def _entries(table) -> tuple:
+        """hashes, ordinals, flushes, and what else was sent, of all rows."""
+        a, b, c, d = (table.column(x).to_pylist() for x in "abcd")
+        n = [len(x) // 4 for x in b]
+        kind = "<u4" if len(a[0]) == len(b[0]) else "<u8"
+        flush = np.frombuffer(b"".join(c), "<i8") if c[0] else np.repeat(table.column("flush").to_numpy(), n)
+        return np.frombuffer(b"".join(a), kind), np.frombuffer(b"".join(b), "<u4"), flush, np.frombuffer(b"".join(d), "<u8") if d[0] else None
+
+    def _gather(self, key, table):
+        """Of some flushes in a coarse bucket: rows for its fine buckets, and what is already known to repeat."""
+        if key[0].as_py() < 0:
+            return table.drop_columns(["group"])
+        h, o, flush, more = self._entries(table)
+        out = []
+        if not self.totals:
+            one, twice = collapse(h, more)
+            for f, at in parts(np.where(twice, flush, -1)):
+                if f >= 0:
+                    out.append((flush_key(f), f, o[at].tobytes(), None, None, None))
+            h, o, flush, more = h[one], o[one], flush[one], more[one] if more is not None else None
+        for k, at in parts((h % U64(self.buckets)).astype(np.int64)):
+            out.append((k, key[1].as_py(), h[at].tobytes(), o[at].tobytes(), flush[at].astype("<i8").tobytes(), more[at].tobytes() if more is not None else b""))
+        return pa.Table.from_batches([sent(out)])
+
+    def _find(self, key, table):
+        if key[0].as_py() < 0:
+            return table
+        h, o, flush, more = self._entries(table)
+        two = self.coarse != self.buckets
+        if self.totals:
+            words, at = np.unique(h, return_inverse=True)
+            sums = np.zeros(len(words), np.uint64)
+            np.add.at(sums, at, more)
+            pick, value = np.arange(len(h)), sums[at]
+        else:
+            pick, value = np.flatnonzero(collapse(h, more)[1]), None
+        group = np.repeat(table.column("flush").to_numpy(), [len(x) // 4 for x in table.column("b").to_pylist()])
+        out = [(SUMMARY, key[0].as_py(), *self.summary(words, sums))] if self.summary else []
+        for g, at in parts(group[pick]):
+            at = pick[at]
+            back = key[0].as_py() % self.coarse if two else flush_key(g)
+            out.append((back, g, o[at].tobytes(), None, flush[at].astype("<i8").tobytes() if two else None, value[at].astype("<u8").tobytes() if value is not None else None))
+        return pa.Table.from_batches([sent(out)])
+
+    def _home(self, key, table):
+        """Answers for some flushes: a row for each."""
+        if key[0].as_py() < 0:
+            return table
+        o, flush = (np.frombuffer(b"".join(table.column(x).to_pylist()), kind) for x, kind in (("a", "<u4"), ("c", "<i8")))
+        value = np.frombuffer(b"".join(x or b"" for x in table.column("d").to_pylist()), "<u8")
+        out = [(flush_key(f), f, o[at].tobytes(), None, None, value[at].tobytes() if self.totals else None) for f, at in parts(flush)]
+        return pa.Table.from_batches([sent(out)])
+
+    def repeats(self, sent_rows: DataFrame, per_flush, schema: str) -> DataFrame:
+        """Back to the flushes: per_flush(their own data, ordinals that repeat) -> rows of the schema."""
+
+        def back(key, table):
+            own, marks = None, []
+            for a, b, c, d in zip(*(table.column(x).to_pylist() for x in "abcd"), strict=True):
+                marks.append(np.frombuffer(a, "<u4"))
+                if b is not None:
+                    own = (b, c, d)
+            return per_flush(own, np.unique(np.concatenate(marks)))
+
+        return self.answered(sent_rows).groupBy("flush").applyInArrow(back, schema)
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,7 +405,7 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_values[np.r_[0, cut + 1]], sorted_values[np.r_[cut, len(sorted_values) - 1]]
 
 
-RANGES = f"{KEY} long, ranges binary"
+RANGES = f"{KEY} binary, ranges binary"
 
 
 def doc_ranges(keys: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
@@ -277,7 +416,7 @@ def doc_ranges(keys: np.ndarray, starts: np.ndarray, lo: np.ndarray, hi: np.ndar
     doc, flat = doc[order], flat[order]
     which, at = np.unique(doc, return_index=True)
     ends = np.r_[at[1:], len(doc)][: len(at)]
-    return pa.table({KEY: pa.array(keys[which], pa.int64()), "ranges": pa.array([flat[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())})
+    return pa.table({KEY: pa.array(keys[which].tolist(), pa.binary()), "ranges": pa.array([flat[i:j].tobytes() for i, j in zip(at, ends, strict=True)], pa.binary())})
 
 
 def one_per_key(ranges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ positions: both documents hash the same w - v + 1 words there. Only |D| / v of t
 
 1. anchors: hash w - v + 1 words at cover positions; anchors whose hash occurs elsewhere mark the up to v window
    starts that hold them as candidates;
-2. extension: candidates are extended to their whole w words, and equal ones are matched exactly by 64-bit hash;
+2. extension: candidates are extended to their whole w words, and equal ones are matched by 128 bits of hash, from two
+   independent hashes of each word, so that no false match is to be expected in any corpus;
 3. covered words are removed.
 
 Nothing is done by pairs: a passage in a third of all documents costs one entry per flush and position.
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, RANGES, SENT, WordHashes, Workspace, buckets_for, doc_ranges, flushes, keyed, one_per_key, repeats, runs, send_hashes, window_hashes
+from outbreak_spark.llm.common import KEY, RANGES, SENT, Exchange, WordHashes, Workspace, doc_ranges, flushes, keyed, keys_blob, keys_of, one_per_key, runs, text_bytes, window_hashes
 
 #: Perfect difference sets, each with its modulus.
 DIFFERENCE_SETS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
@@ -42,12 +43,11 @@ def _hashed(held_texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.
     return np.concatenate(each) if each else np.empty(0, np.uint64), starts, place
 
 
-def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int, work: Workspace, most_buckets: int = 512) -> DataFrame:
     """Row key and ranges of words [lo, hi) that repeated windows cover, for documents that have any."""
-    spark = docs.sparkSession
     period, cover = cover_for(window)
     anchor = window - period + 1
-    buckets = buckets_for(docs, 24 << 20)
+    exchange = Exchange(text_bytes(docs), most=most_buckets)
 
     def anchors(batches):
         cache = WordHashes()
@@ -57,10 +57,10 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
             end = np.repeat(starts[1:], np.diff(starts))[: len(h)]
             long_enough = np.repeat(np.diff(starts) >= window, np.diff(starts))[: len(h)]
             at = np.flatnonzero(cover[place[: len(h)] % period] & (np.arange(len(h)) + anchor <= end) & long_enough)
-            yield send_hashes(flush, h[at], at, (np.array(keys, "<i8").tobytes(), starts.astype("<i8").tobytes()), buckets, wide=False)
+            yield exchange.send(flush, h[at], at, (keys_blob(keys), starts.astype("<i8").tobytes()), short=True)
 
     def candidates(own, at: np.ndarray) -> pa.Table:
-        keys, starts = np.frombuffer(own[0], "<i8"), np.frombuffer(own[1], "<i8")
+        keys, starts = keys_of(own[0]), np.frombuffer(own[1], "<i8")
         at = at.astype(np.int64)
         doc = np.searchsorted(starts, at, side="right") - 1
         lo, hi = np.maximum(at - period + 1, starts[doc]), np.minimum(at, starts[doc + 1] - window) + 1
@@ -73,24 +73,24 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         return doc_ranges(keys, starts, lo[first], np.maximum.reduceat(hi, first))
 
     rows = keyed(docs)
-    found = work.write(repeats(spark, rows.mapInArrow(anchors, SENT), candidates, RANGES), "anchors")
+    found = work.write(exchange.repeats(rows.mapInArrow(anchors, SENT), candidates, RANGES), "anchors")
     found = one_per_key(found)
 
     def windows(batches):
-        cache = WordHashes()
+        cache, other = WordHashes(), WordHashes(seed=1)
         for flush, (keys, texts, ranges) in flushes(batches, [KEY, "text", "ranges"]):
             unit, starts, _ = _hashed(texts, cache)
-            h = window_hashes(unit, window)
+            h, more = window_hashes(unit, window), window_hashes(_hashed(texts, other)[0], window)
             marks = np.zeros(len(unit) + 1, np.int64)
             for s, r in zip(starts, ranges, strict=False):
                 lo, hi = np.frombuffer(r, "<i8").reshape(-1, 2).T + s
                 np.add.at(marks, lo, 1)
                 np.add.at(marks, hi, -1)
             at = np.flatnonzero(np.cumsum(marks)[: len(h)] > 0)
-            yield send_hashes(flush, h[at], at, (np.array(keys, "<i8").tobytes(), starts.astype("<i8").tobytes()), buckets, wide=True)
+            yield exchange.send(flush, h[at], at, (keys_blob(keys), starts.astype("<i8").tobytes()), more=more[at])
 
     def covered(own, at: np.ndarray) -> pa.Table:
-        keys, starts = np.frombuffer(own[0], "<i8"), np.frombuffer(own[1], "<i8")
+        keys, starts = keys_of(own[0]), np.frombuffer(own[1], "<i8")
         first, last = runs(at.astype(np.int64))
         if not len(first):
             return doc_ranges(keys, starts, first.astype(np.int64), last.astype(np.int64))
@@ -101,19 +101,19 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         return doc_ranges(keys, starts, lo[new], np.r_[hi[new[1:] - 1], hi[-1]])
 
     picked = work.attach(rows, "anchors", found, KEY, "inner").select(KEY, "text", "ranges")
-    return one_per_key(work.write(repeats(spark, picked.mapInArrow(windows, SENT), covered, RANGES), "covered"))
+    return one_per_key(work.write(exchange.repeats(picked.mapInArrow(windows, SENT), covered, RANGES), "covered"))
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = 35) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = 35, most_buckets: int = 512) -> DataFrame:
     """Each document without the words that a repeated window of so many words covers.
 
     docs needs doc_id and text; other columns are ignored. Returns doc_id, text (kept words joined by one space),
     n_words, n_removed and ranges (binary, pairs of int64: removed word ranges; null if none).
     Null and empty texts have no words; a doc_id may be null or repeat; a repeated row counts as another document,
-    so all its windows repeat. An empty table gives an empty result.
+    so all its windows repeat. An empty table gives an empty result. most_buckets: see Exchange.
     """
     work = Workspace(docs.sparkSession, "cover")
-    found = repeated_ranges(docs, window, work)
+    found = repeated_ranges(docs, window, work, most_buckets)
 
     def kept(batches):
         for batch in batches:

@@ -1,18 +1,18 @@
 """Scoring documents with a log-bilinear neural language model, trained with noise-contrastive estimation in numpy.
 
-The classes are the most frequent words of the training documents, one for all other words, and the end of a text. The
-two classes before a token give a context vector, elementwise products of their vectors with a position's weights; its
-product with a class's output vector, plus a bias, is that class's score, and the softmax over all classes its
-probability. A word of the rest has the rest's probability times its smoothed share of the rest, so the model is
-normalised over all words.
-
-Counts cover all training documents: every flush sends each distinct word's hash and count once, and gets the word's
-total back. So does the model: each of ROUNDS takes another part of the training documents, by hash, until all were
-used once; each task trains on its own from the same start and the parameters are averaged, in a tree, after each round.
-Texts are scored a flush at a time: log-probabilities of all classes are one matrix product for each block of the
-flush's distinct contexts.
-
-Flushes are named by the partition and place of the scan they come from: pass a table of files, or what reads alike.
+Every word of the corpus is a class of its own, in up to three factors. The head has the most frequent words of the
+training documents, the end of a text, and REST for all other words. A word of the rest has, by its hash, a group and a
+leaf in the group; the number of leaves grows with the training vocabulary, so that a leaf has some tens of words,
+which share it by their counts. The two tokens before give a context vector, elementwise products of their vectors with
+a position's weights (words of the rest share vectors by hash). Its products with the output vectors, plus biases, are
+scores, and softmaxes over the head, over the groups, and over the leaves of a group are the probabilities of each
+factor: P(word) = P(REST) P(group) P(leaf | group) share(word | leaf), which sums to one over all words.
+
+Texts are tokenised once and written as flushes: a flush's distinct hashes, and per token a 32-bit index into them. All
+later passes read that table, whose flush numbers are data: they don't depend on how it is read. Counts cover all
+training documents: every flush sends each distinct word's hash and count once, and gets the word's total back. So does
+the model: each of ROUNDS takes other flushes, until all were used once; each task trains on its own from the same
+start and the parameters are averaged, in a tree, after each round (so they depend on how the table is dealt to tasks).
 """
 
 from __future__ import annotations
@@ -23,13 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, U64, WordHashes, Workspace, buckets_for, flushes, keyed, split_by
+from outbreak_spark.llm.common import SENT, SUMMARY, U64, Exchange, WordHashes, Workspace, flushes, release, text_bytes
 
-CLASSES, DIMS, NOISE, BATCH = 1024, 32, 64, 512
+#: Head classes, dimensions; groups of the rest, and vectors that its words share as context.
+CLASSES, DIMS, GROUPS, SHARED = 1024, 32, 64, 16
+#: Noise samples of a batch for the head and for groups, and of a token for leaves.
+NOISE, LEAF_NOISE, BATCH = 64, 4, 1024
 ROUNDS = 2
-FLUSH = 12 << 20
+#: Text bytes of a row of the token table, and rows that are scored together.
+FLUSH, TOGETHER = 2 << 20, 6
 REST, END, BEGIN = 0, 1, CLASSES
 END_HASH = U64(0x1F3D5B79A2C4E680)
+#: Leaves in the finest division that is counted; the model's leaves are unions of them.
+FINEST = 1 << 18
 
 
 def token_hashes(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -41,23 +47,36 @@ def token_hashes(texts: list[bytes], cache: WordHashes) -> tuple[np.ndarray, np.
     return np.concatenate(parts) if parts else np.empty(0, U64), lens
 
 
+def leaves_for(distinct: int) -> int:
+    """Leaves of a group, a power of two that grows with the square root of the vocabulary."""
+    return 1 << int(np.clip(np.log2(max(1, distinct) ** 0.5 / 8), 2, np.log2(FINEST // GROUPS)))
+
+
 class Vocabulary:
-    """Classes of words by hash; counts and sizes of the corpus."""
+    """Classes of words by hash; counts and sizes of the corpus.
+
+    hashes, counts: of the head's words. leaf, leaf_total, leaf_distinct: counts of all words by finest leaf.
+    """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int):
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, leaf: np.ndarray, leaf_total: np.ndarray, leaf_distinct: np.ndarray):
         order = np.argsort(hashes)
         self.hashes, self.classes = hashes[order], (np.arange(len(hashes)) + 2)[order]
         self.total, self.distinct = total, distinct
-        self.rest_total = max(0, total - int(counts.sum()) - ends)
-        self.rest_distinct = max(0, distinct - len(hashes) - (ends > 0))
         share = np.full(CLASSES, 0.1)
-        share[REST] += self.rest_total
+        share[REST] += max(0, total - int(counts.sum()) - ends)
         share[END] += ends
         share[2 : 2 + len(counts)] += counts
         self.share = share / share.sum()
+        self.leaves = GROUPS * leaves_for(distinct)
+        own = (hashes % U64(self.leaves)).astype(np.int64)
+        size = lambda at, n: np.bincount(at, n, self.leaves).astype(np.int64)
+        self.leaf_total = size(leaf % self.leaves, leaf_total) - size(own, counts)
+        self.leaf_distinct = size(leaf % self.leaves, leaf_distinct) - size(own, np.ones(len(own)))
+        mass = self.leaf_total.reshape(-1, GROUPS) + 0.1
+        self.group_share, self.leaf_share = mass.sum(0) / mass.sum(), mass / mass.sum(0)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), REST, np.int32)
+        out = np.full(len(hashes), REST, np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
@@ -65,13 +84,25 @@ class Vocabulary:
         out[hashes == END_HASH] = END
         return out
 
+    def leaf_of(self, hashes: np.ndarray) -> np.ndarray:
+        """leaf % GROUPS is the group."""
+        return (hashes % U64(self.leaves)).astype(np.int64)
+
+    def in_leaf(self, leaf: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of a word's share of its leaf; what no training text has, has a share too."""
+        return np.log10((counts + 0.1) / (self.leaf_total[leaf] + 0.1 * (self.leaf_distinct[leaf] + 1)))
+
 
 class LogBilinear:
-    def __init__(self, share: np.ndarray, seed: int = 11):
+    def __init__(self, words: Vocabulary, seed: int = 11):
         rng = np.random.default_rng(seed)
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        self.share = share.astype(np.float64)
-        self.params = [small(CLASSES + 1, DIMS), 1 + small(2, DIMS), small(CLASSES, DIMS), np.log(share).astype(np.float32)]
+        logs = lambda x: np.log(x).astype(np.float32)
+        self.words, self.leaves = words, words.leaves
+        self.params = [
+            small(CLASSES + 1 + SHARED, DIMS), 1 + small(2, DIMS), small(CLASSES, DIMS), logs(words.share),
+            small(GROUPS, DIMS), logs(words.group_share), small(self.leaves, DIMS), logs(words.leaf_share).ravel(),
+        ]
         self.seen = [np.full_like(p, 1e-2) for p in self.params]
 
     def flat(self) -> np.ndarray:
@@ -84,70 +115,119 @@ class LogBilinear:
             at += p.size
         return self
 
-    def train(self, contexts: np.ndarray, targets: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
-        """One pass of noise-contrastive estimation with Adagrad, whose sums go on from call to call; a batch shares its
-        noise samples. Rows are sorted as 16-bit numbers, for which numpy has a radix sort."""
-        vectors, weights, out, bias = self.params
-        noise_log = np.log(NOISE * self.share).astype(np.float32)
-        draws = np.cumsum(self.share)
-        contexts, targets = contexts.astype(np.int16), targets.astype(np.int16)
-
-        def step(k: int, rows, grad: np.ndarray) -> None:
-            total = self.seen[k][rows] + grad**2
-            self.seen[k][rows] = total
-            self.params[k][rows] -= rate * grad / np.sqrt(total)
-
-        def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            order = np.argsort(rows, kind="stable")
-            s = rows[order]
-            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-            return s[first], order, first
-
+    def _step(self, k: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """Adagrad on some rows, given a gradient for each place in `rows`. Short numbers have a radix sort in numpy."""
+        if len(self.params[k]) < 1 << 15:
+            rows = rows.astype(np.int16)
+        order = np.argsort(rows, kind="stable")
+        s = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        grad, s = np.add.reduceat(grad[order], first, axis=0), s[first]
+        total = self.seen[k][s] + grad**2
+        self.seen[k][s] = total
+        self.params[k][s] -= rate * grad / np.sqrt(total)
+
+    def _contrast(self, k: int, q: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> np.ndarray:
+        """Noise-contrastive estimation of one factor, whose output vectors are parameter k, against noise that a batch
+        shares; log_noise: log of the expected noise by class. Returns the gradient of q."""
+        out, bias = self.params[k], self.params[k + 1] - log_noise
+        near, far = out[target], out[noise]
+        g_real = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, near) + bias[target], -30, 30)))
+        g_fake = 1 / (1 + np.exp(-np.clip(q @ far.T + bias[noise], -30, 30)))
+        rows, scale = np.concatenate([target, noise]), np.float32(8 / BATCH)
+        grad = g_real[:, None] * near + g_fake @ far
+        self._step(k, rows, np.concatenate([g_real[:, None] * q, g_fake.T @ q]) * scale, rate)
+        self._step(k + 1, rows, np.concatenate([g_real, g_fake.sum(0)]) * scale, rate)
+        return grad
+
+    def train(self, contexts: np.ndarray, targets: np.ndarray, leaves: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
+        """One pass, whose Adagrad sums go on from call to call. leaves: those of the targets that are REST."""
+        words = self.words
+        noise_log, group_log = (np.log(NOISE * x).astype(np.float32) for x in (words.share, words.group_share))
+        draws, group_draws = np.cumsum(words.share), np.cumsum(words.group_share)
+        per_group = self.leaves // GROUPS
+        leaf_log = np.float32(np.log(LEAF_NOISE / per_group))
+        draw = lambda cum: np.minimum(np.searchsorted(cum, rng.random(NOISE)), len(cum) - 1)
         for i in range(0, len(targets), BATCH):
-            c, w = contexts[i : i + BATCH], targets[i : i + BATCH]
-            n = len(w)
+            c, w, leaf = contexts[i : i + BATCH], targets[i : i + BATCH], leaves[i : i + BATCH]
+            vectors, weights = self.params[:2]
             a, b = vectors[c[:, 0]], vectors[c[:, 1]]
             q = a * weights[0] + b * weights[1]
-            noise = np.minimum(np.searchsorted(draws, rng.random(NOISE)), CLASSES - 1).astype(np.int16)
-            near, far = out[w], out[noise]
-            real = np.einsum("ij,ij->i", q, near) + (bias - noise_log)[w]
-            fake = q @ far.T + (bias - noise_log)[noise]
-            g_real = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-            g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-            g_q = g_real[:, None] * near + g_fake @ far
-            rows, order, first = sorted_rows(np.concatenate([w, noise]))
-            g_out = np.concatenate([g_real[:, None] * q, g_fake.T @ q])
-            step(2, rows, np.add.reduceat(g_out[order], first, axis=0) * np.float32(8 / n))
-            step(3, rows, np.add.reduceat(np.concatenate([g_real, g_fake.sum(0)])[order], first) * np.float32(8 / n))
-            rows, order, first = sorted_rows(c.T.ravel())
-            step(0, rows, np.add.reduceat(np.concatenate([g_q * weights[0], g_q * weights[1]])[order], first, axis=0) * np.float32(8 / n))
-            step(1, slice(None), np.stack([np.einsum("ij,ij->j", g_q, a), np.einsum("ij,ij->j", g_q, b)]) / n)
-
-    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
-        """Natural logs for all classes, a row per context (the class before last, the last)."""
-        vectors, weights, out, bias = self.params
-        s = (vectors[contexts[:, 0]] * weights[0] + vectors[contexts[:, 1]] * weights[1]) @ out.T + bias
-        s -= s.max(1, keepdims=True)
+            g_q = self._contrast(2, q, w, draw(draws), noise_log, rate)
+            rest = np.flatnonzero(w == REST)
+            if len(rest):
+                own, leaf = q[rest], leaf[rest]
+                g_q[rest] += self._contrast(4, own, leaf % GROUPS, draw(group_draws), group_log, rate)
+                # Leaves: each token has noise of its own, from its group.
+                other = rng.integers(0, per_group, (len(rest), LEAF_NOISE)) * GROUPS + (leaf % GROUPS)[:, None]
+                rows = np.concatenate([leaf[:, None], other], 1)
+                out = self.params[6][rows]
+                x = np.einsum("ij,ikj->ik", own, out) + self.params[7][rows] - leaf_log
+                g = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+                g[:, 0] -= 1
+                g_q[rest] += np.einsum("ik,ikj->ij", g, out)
+                scale = np.float32(8 / BATCH)
+                self._step(6, rows.ravel(), (g[:, :, None] * own[:, None, :]).reshape(-1, DIMS) * scale, rate)
+                self._step(7, rows.ravel(), g.ravel() * scale, rate)
+            self._step(0, c.T.ravel(), np.concatenate([g_q * weights[0], g_q * weights[1]]) * np.float32(8 / BATCH), rate)
+            self._step(1, np.arange(2), np.stack([np.einsum("ij,ij->j", g_q, a), np.einsum("ij,ij->j", g_q, b)]) / len(w), rate)
+
+    def contexts(self, codes: np.ndarray) -> np.ndarray:
+        """Vectors of contexts (the class before last, the last)."""
+        vectors, weights = self.params[:2]
+        return vectors[codes[:, 0]] * weights[0] + vectors[codes[:, 1]] * weights[1]
+
+    @staticmethod
+    def softmax_logs(s: np.ndarray) -> np.ndarray:
+        s = s - s.max(1, keepdims=True)
         return s - np.log(np.exp(s).sum(1, dtype=np.float64))[:, None].astype(np.float32)
 
-    def token_logs(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Of each target in its context; each distinct context is computed once."""
-        code = contexts[:, 0].astype(np.int64) * (CLASSES + 1) + contexts[:, 1]
+    def log_probabilities(self, contexts: np.ndarray) -> np.ndarray:
+        """Natural logs for all head classes, a row per context."""
+        return self.softmax_logs(self.contexts(contexts) @ self.params[2].T + self.params[3])
+
+    def rest_logs(self, contexts: np.ndarray) -> np.ndarray:
+        """Natural logs for all leaves, given that it's one of the rest, a row per context."""
+        q, n = self.contexts(contexts), len(contexts)
+        group = self.softmax_logs(q @ self.params[4].T + self.params[5])
+        s = (q @ self.params[6].T + self.params[7]).reshape(n, -1, GROUPS).transpose(0, 2, 1)
+        leaf = self.softmax_logs(s.reshape(n * GROUPS, -1)).reshape(n, GROUPS, -1)
+        return (group[:, :, None] + leaf).transpose(0, 2, 1).reshape(n, -1)
+
+    def token_logs(self, contexts: np.ndarray, targets: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Of each target in its context, to its leaf if it is one of the rest. The head's probabilities of each distinct
+        context are computed once, in blocks of one matrix product; so are those of groups; leaves by group."""
+        width = CLASSES + 1 + SHARED
+        code = contexts[:, 0].astype(np.int64) * width + contexts[:, 1]
         order = np.argsort(code, kind="stable")
         s = code[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
         ends, logs = np.r_[first[1:], len(s)], np.empty(len(s))
+        out, bias, group_out, group_bias, leaf_out, leaf_bias = self.params[2:]
         for i in range(0, len(first), 2048):
             block = s[first[i : i + 2048]]
-            table = self.log_probabilities(np.stack([block // (CLASSES + 1), block % (CLASSES + 1)], 1))
+            q = self.contexts(np.stack([block // width, block % width], 1))
             lo, hi = first[i], ends[min(i + 2048, len(first)) - 1]
-            row = np.repeat(np.arange(len(block)), ends[i : i + 2048] - first[i : i + 2048])
-            logs[order[lo:hi]] = table[row, targets[order[lo:hi]]]
+            row, at = np.repeat(np.arange(len(block)), ends[i : i + 2048] - first[i : i + 2048]), order[lo:hi]
+            logs[at] = self.softmax_logs(q @ out.T + bias)[row, targets[at]]
+            rest = targets[at] == REST
+            row, at = row[rest], at[rest]
+            if not len(at):
+                continue
+            group = leaves[at] % GROUPS
+            logs[at] += self.softmax_logs(q @ group_out.T + group_bias)[row, group]
+            by = np.argsort(group.astype(np.int8), kind="stable")
+            cut = np.searchsorted(group[by], np.arange(GROUPS + 1))
+            for g in np.flatnonzero(np.diff(cut)):
+                m = by[cut[g] : cut[g + 1]]
+                table = self.softmax_logs(q[row[m]] @ leaf_out[g::GROUPS].T + leaf_bias[g::GROUPS])
+                logs[at[m]] += table[np.arange(len(m)), leaves[at[m]] // GROUPS]
         return logs
 
 
-def contexts_of(classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The two classes before each token; before a text stands BEGIN."""
+def contexts_of(classes: np.ndarray, lens: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """The two tokens before each token, as classes; words of the rest by their leaf. Before a text stands BEGIN."""
+    classes = np.where(classes == REST, BEGIN + 1 + leaves % SHARED, classes)
     starts = np.cumsum(lens) - lens
     one = np.r_[BEGIN, classes[:-1]]
     one[starts] = BEGIN
@@ -156,75 +236,105 @@ def contexts_of(classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.stack([two, one], 1)
 
 
-TOTALS = "flush long, bucket long, counts binary, hashes binary, tops binary, n long, v long, ends long"
+def summary(words: np.ndarray, sums: np.ndarray) -> tuple[bytes, ...]:
+    """Of a bucket's words: its most frequent ones and their counts; totals and distinct words by finest leaf; sizes."""
+    sums = sums.astype(np.int64)
+    word = (words != END_HASH) & (sums > 0)
+    w, n = words[word], sums[word]
+    top = np.lexsort((w, -n))[:CLASSES]
+    leaf, at = np.unique((w % U64(FINEST)).astype("<i8"), return_inverse=True)
+    by = np.concatenate([leaf, np.bincount(at, n, len(leaf)).astype("<i8"), np.bincount(at, minlength=len(leaf)).astype("<i8")])
+    ends = int(sums[words == END_HASH].sum())
+    return np.array([sums.sum(), (sums > 0).sum(), ends], "<i8").tobytes(), w[top].tobytes(), n[top].astype("<i8").tobytes(), by.astype("<i8").tobytes()
+
+
+TOKENS = "flush long, doc_ids binary, missing binary, training binary, lens binary, words binary, at binary"
+
+
+def _read(batch):
+    """(flush, training mask by document, lens, distinct hashes, index of each token) of the rows of a token table."""
+    for flush, training, lens, words, at in zip(*(batch.column(c).to_pylist() for c in ("flush", "training", "lens", "words", "at")), strict=True):
+        yield flush, np.frombuffer(training, bool), np.frombuffer(lens, "<i8"), np.frombuffer(words, "<u8"), np.frombuffer(at, "<u4")
 
 
-def score(docs: DataFrame, is_training) -> DataFrame:
+def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
     """doc_id, training, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     docs needs doc_id and text; other columns are ignored; is_training is a condition on doc_id. base_score: add-0.1
     unigram log10 probability; score: the model's. Null and empty texts are one end token. Null and repeated doc_ids
-    are kept, each row a document. Without training documents the base is uniform and so is the model.
+    are kept, each row a document. Without training documents the base is uniform and so is the model. An empty table
+    gives an empty result. most_buckets: see Exchange.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "lm")
-    rows = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"))
-    buckets = buckets_for(docs, 24 << 20)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(is_training, F.lit(False)).alias("training"), text)
 
-    def counts(batches):
+    def code(batches):
         cache = WordHashes()
-        for flush, (training, texts) in flushes(batches, ["training", "text"], FLUSH):
+        for flush, (names, training, texts) in flushes(batches, ["doc_id", "training", "text"], FLUSH):
             h, lens = token_hashes(texts, cache)
             words, at = np.unique(h, return_inverse=True)
-            n = np.bincount(at, np.repeat(np.array(training, float), lens), len(words)).astype("<u8")
-            order, cut = split_by((words % U64(buckets)).astype(np.int64), buckets)
-            full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-            parts = [order[cut[b] : cut[b + 1]] for b in full]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int64()), "flush": pa.array([flush] * len(full), pa.int64()), "h": pa.array([words[p].tobytes() for p in parts], pa.binary()), "n": pa.array([n[p].tobytes() for p in parts], pa.binary())})
-
-    def total(key, table):
-        flush = table.column("flush").to_pylist()
-        h = [np.frombuffer(x, "<u8") for x in table.column("h").to_pylist()]
-        n = np.concatenate([np.frombuffer(x, "<u8") for x in table.column("n").to_pylist()])
-        words, at = np.unique(np.concatenate(h), return_inverse=True)
-        sums = np.zeros(len(words), np.int64)
-        np.add.at(sums, at, n.astype(np.int64))
-        cut = np.r_[0, np.cumsum([len(x) for x in h])]
-        word = words != END_HASH
-        top = np.lexsort((words[word], -sums[word]))[:CLASSES]
-        top = top[sums[word][top] > 0]
-        stats = (None, key[0].as_py(), None, words[word][top].tobytes(), sums[word][top].astype("<i8").tobytes(), int(sums.sum()), int((sums > 0).sum()), int(sums[~word].sum()))
-        out = [(f, key[0].as_py(), sums[at[cut[k] : cut[k + 1]]].astype("<i8").tobytes(), None, None, None, None, None) for k, f in enumerate(flush)] + [stats]
-        kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 3]
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["flush", "bucket", "counts", "hashes", "tops", "n", "v", "ends"])
-
-    totals = work.write(rows.mapInArrow(counts, "bucket long, flush long, h binary, n binary").groupBy("bucket").applyInArrow(total, TOTALS), "totals")
-    stats = totals.where("flush is null")
-    size = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("ends").alias("ends")).first()
+            missing = np.array([x is None for x in names])
+            name = np.array([0 if x is None else x for x in names], "<i8")
+            yield pa.RecordBatch.from_pydict({"flush": pa.array([flush], pa.int64()), **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("doc_ids", name), ("missing", missing), ("training", np.array(training, bool)), ("lens", lens), ("words", words), ("at", at.astype("<u4")))}})
+
+    tokens = work.write(rows.mapInArrow(code, TOKENS), "tokens")
+    exchange = Exchange(text_bytes(docs), most=most_buckets, totals=True, summary=summary)
+
+    def counts(batches):
+        for batch in batches:
+            for flush, training, lens, words, at in _read(batch):
+                n = np.bincount(at, np.repeat(training.astype(float), lens), len(words)).astype("<u8")
+                yield exchange.send(flush, words, np.arange(len(words)), (), n)
+
+    answers = exchange.answered(tokens.select("flush", "training", "lens", "words", "at").mapInArrow(counts, SENT))
+    totals = work.write(answers, "totals")
+    stats = totals.where(F.col("bucket") == SUMMARY)
 
     def tops(batches):
         for batch in batches:
-            for h, n in zip(batch.column("hashes").to_pylist(), batch.column("tops").to_pylist(), strict=True):
+            for h, n in zip(batch.column("b").to_pylist(), batch.column("c").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pydict({"h": pa.array(np.frombuffer(h, "<i8")), "n": pa.array(np.frombuffer(n, "<i8"))})
 
-    best = stats.select("hashes", "tops").mapInArrow(tops, "h long, n long").orderBy(F.desc("n"), "h").limit(CLASSES - 2).toArrow()
-    vocabulary = Vocabulary(best.column("h").to_numpy().view(U64), best.column("n").to_numpy(), size.n or 0, size.v or 0, size.ends or 0)
-    model = LogBilinear(vocabulary.share)
-    shared = spark.sparkContext.broadcast(vocabulary)
+    def leaves(batches):
+        for batch in batches:
+            for by in batch.column("d").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(by, "<i8").reshape(3, -1)], ["leaf", "n", "v"])
+
+    def sizes(batches):
+        for batch in batches:
+            for a in batch.column("a").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(a, "<i8").reshape(3, 1)], ["n", "v", "ends"])
+
+    size = stats.select("a").mapInArrow(sizes, "n long, v long, ends long").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("ends").alias("ends")).first()
+    best = stats.select("b", "c").mapInArrow(tops, "h long, n long").orderBy(F.desc("n"), "h").limit(CLASSES - 2).toArrow()
+    # At most FINEST rows.
+    leaf = stats.select("d").mapInArrow(leaves, "leaf long, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
+    by_leaf = [leaf.column(c).to_numpy() for c in ("leaf", "n", "v")]
+    vocabulary = Vocabulary(best.column("h").to_numpy().view(U64), best.column("n").to_numpy(), size.n or 0, size.v or 0, size.ends or 0, *by_leaf)
+    model = LogBilinear(vocabulary)
+    shared = spark.sparkContext.broadcast(vocabulary)  # bounded: CLASSES words and FINEST leaves
     for step in range(ROUNDS if size.n else 0):
         start = spark.sparkContext.broadcast(model.flat())
 
         def local(batches, start=start, step=step):
-            words, cache, part = shared.value, WordHashes(), TaskContext.get().partitionId()
-            own, rng, seen = LogBilinear(words.share).load(start.value), np.random.default_rng([step, part]), 0
-            for _, (texts,) in flushes(batches, ["text"], FLUSH):
-                h, lens = token_hashes(texts, cache)
-                c = words.of(h)
-                context, order = contexts_of(c, lens), rng.permutation(len(c))
-                own.train(context[order], c[order], rng)
-                seen += len(c)
+            known, part = shared.value, TaskContext.get().partitionId()
+            own, seen = LogBilinear(known).load(start.value), 0
+            for batch in batches:
+                for flush, training, lens, words, at in _read(batch):
+                    keep = np.repeat(training, lens)
+                    at, lens = at[keep], lens[training]
+                    if not len(at):
+                        continue
+                    c, leaf = known.of(words)[at], known.leaf_of(words)[at]
+                    rng = np.random.default_rng([step, flush])
+                    order = rng.permutation(len(c))
+                    own.train(contexts_of(c, lens, leaf)[order], c[order], leaf[order], rng)
+                    seen += len(c)
             if seen:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([float(seen)]), "p": pa.array([own.flat().astype("<f4").tobytes()], pa.binary())})
+            release()
 
         def average(key, table):
             n = np.array(table.column("n").to_pylist())
@@ -232,7 +342,7 @@ def score(docs: DataFrame, is_training) -> DataFrame:
             return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([float(n.sum())]), "p": pa.array([p.astype("<f4").tobytes()], pa.binary())})
 
         schema = "part long, n double, p binary"
-        part = rows.where(F.col("training") & (F.pmod(F.xxhash64(KEY, F.lit(9)), F.lit(ROUNDS)) == step)).select("text")
+        part = tokens.where(F.pmod("flush", F.lit(ROUNDS)) == step).select("flush", "training", "lens", "words", "at")
         level = work.write(part.mapInArrow(local, schema), f"params{step}")
         most, k = level.agg(F.max("part")).first()[0], 0
         while most is not None and most >= 16:
@@ -243,35 +353,32 @@ def score(docs: DataFrame, is_training) -> DataFrame:
             model.load(np.frombuffer(average([pa.scalar(0)], got).column("p")[0].as_py(), "<f4"))
     trained = spark.sparkContext.broadcast(model.flat())
 
-    def named(batches):
-        for flush, (names, training, texts) in flushes(batches, ["doc_id", "training", "text"], FLUSH):
-            yield pa.RecordBatch.from_arrays([pa.array([flush] * len(names), pa.int64()), pa.array(names, pa.int64()), pa.array(training, pa.bool_()), pa.array(texts, pa.binary())], ["flush", "doc_id", "training", "text"])
-
-    n, v, rest_n, rest_v = vocabulary.total, vocabulary.distinct, vocabulary.rest_total, vocabulary.rest_distinct
-
     def scored(left, right):
-        own = LogBilinear(shared.value.share).load(trained.value)
-        texts = left.column("text").to_pylist()
-        h, lens = token_hashes(texts, WordHashes())
-        words, at = np.unique(h, return_inverse=True)
-        c = np.full(len(words), -1, np.int64)
-        order, cut = split_by((words % U64(buckets)).astype(np.int64), buckets)
-        for b, x in zip(right.column("bucket").to_pylist(), right.column("counts").to_pylist(), strict=True):
-            c[order[cut[b] : cut[b + 1]]] = np.frombuffer(x, "<i8")
-        if (c < 0).any():
-            raise RuntimeError("the documents were read in another order than before")
-        cls = shared.value.of(words)
-        base = np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
-        inner = np.where(cls == REST, np.log10((c + 0.1) / (rest_n + 0.1 * (rest_v + 1))), 0.0)
-        tokens = cls[at]
-        logs = own.token_logs(contexts_of(tokens, lens), tokens) / np.log(10) + inner[at]
+        known = shared.value
+        own, out = LogBilinear(known).load(trained.value), []
+        given: dict[int, list] = {}
+        for flush, a, d in zip(*(right.column(x).to_pylist() for x in ("flush", "a", "d")), strict=True):
+            given.setdefault(flush, []).append((np.frombuffer(a, "<u4"), np.frombuffer(d, "<u8")))
+        parts = []
+        for flush, _, lens, words, at in _read(left):
+            c = np.zeros(len(words), np.int64)
+            for where, n in given.get(flush, ()):
+                c[where] = n
+            cls, leaf = known.of(words), known.leaf_of(words)
+            base = np.log10((c + 0.1) / (known.total + 0.1 * (known.distinct + 1)))
+            inner = np.where(cls == REST, known.in_leaf(leaf, c), 0.0)
+            parts.append((lens, cls[at], leaf[at], (c > 0)[at].astype(np.int64), base[at], inner[at]))
+        lens, cls, leaf, seen, base, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        logs = own.token_logs(contexts_of(cls, lens, leaf), cls, leaf) / np.log(10) + inner
         starts = np.cumsum(lens) - lens
-        sums = [np.add.reduceat(x, starts) for x in ((c > 0)[at].astype(np.int64), base[at], logs)]
-        return pa.table({"doc_id": left.column("doc_id"), "training": left.column("training"), "n_tokens": pa.array(lens), "n_known": pa.array(sums[0]), "train_tokens": pa.array(np.full(len(lens), n)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
-
-    texts = rows.mapInArrow(named, "flush long, doc_id long, training boolean, text binary").groupBy("flush")
-    back = totals.where("flush is not null").select("flush", "bucket", "counts").groupBy("flush")
-    return texts.cogroup(back).applyInArrow(scored, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        sums = [np.add.reduceat(x, starts) for x in (seen, base, logs)]
+        name, missing, training = (np.frombuffer(b"".join(left.column(x).to_pylist()), t) for x, t in (("doc_ids", "<i8"), ("missing", bool), ("training", bool)))
+        out = [pa.array(name, pa.int64(), mask=missing), pa.array(training), pa.array(lens), pa.array(sums[0]), pa.array(np.full(len(lens), known.total)), pa.array(sums[1]), pa.array(sums[2])]
+        return pa.Table.from_arrays(out, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    together = F.floor(F.col("flush") / TOGETHER).cast("long").alias("together")
+    back = totals.where(F.col("bucket") != SUMMARY).where("d is not null").select(together, "flush", "a", "d").groupBy("together")
+    return tokens.select(together, "*").groupBy("together").cogroup(back).applyInArrow(scored, "doc_id long, training boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_log_bilinear_lm(spark, sf_dir: str) -> DataFrame:

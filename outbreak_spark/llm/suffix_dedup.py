@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, SENT, U64, Workspace, buckets_for, doc_ranges, find_repeats, flush_key, flushes, keyed, mix, one_per_key, release, send_hashes, sent, split_by
+from outbreak_spark.llm.common import KEY, SENT, U64, Exchange, Workspace, buckets_for, doc_ranges, flush_key, flushes, keyed, keys_blob, keys_of, mix, one_per_key, parts, release, sent, text_bytes
 
 #: Start positions that are hashed at a time.
 CHUNK = 1 << 19
 #: Text bytes of a flush: segments of one are held at once.
 FLUSH = 10 << 20
-MARKS = f"{KEY} long, marks binary"
+MARKS = f"{KEY} binary, marks binary"
 
 
 def _grams(buf: bytes, lo: int, hi: int, gram: int) -> np.ndarray:
@@ -119,10 +119,11 @@ def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
+def repeated_ranges(docs: DataFrame, window: int, work: Workspace, most_buckets: int = 512) -> DataFrame:
     """Row key and byte ranges [lo, hi) that repeated windows cover, for documents that have any."""
     gram = min(48, max(8, window // 4 // 8 * 8))
-    buckets, fine = buckets_for(docs, 24 << 20), buckets_for(docs, 4 << 20)
+    total = text_bytes(docs)
+    exchange, fine = Exchange(total, most=most_buckets), buckets_for(total, 4 << 20)
     bounds = lambda texts: np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     rows = keyed(docs)
 
@@ -130,22 +131,16 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         for flush, (keys, texts) in flushes(batches, [KEY, "text"], FLUSH):
             starts = bounds(texts)
             lo, _, _, h = anchor_runs(b"".join(texts) + bytes(8), starts, window, gram)
-            yield send_hashes(flush, h, lo, (np.array(keys, "<i8").tobytes(), starts.astype("<i8").tobytes()), buckets, wide=False)
+            yield exchange.send(flush, h, lo, (keys_blob(keys), starts.astype("<i8").tobytes()), short=True)
 
-    def candidates(key, table):
-        own, marks = None, []
-        for a, b, c in zip(*(table.column(x).to_pylist() for x in ("a", "b", "c")), strict=True):
-            marks.append(np.frombuffer(a, "<u4"))
-            own = (b, c) if b is not None else own
-        keys, starts = np.frombuffer(own[0], "<i8"), np.frombuffer(own[1], "<i8")
-        at = np.unique(np.concatenate(marks)).astype(np.int64)
+    def candidates(own, at):
+        keys, starts, at = keys_of(own[0]), np.frombuffer(own[1], "<i8"), at.astype(np.int64)
         doc = np.searchsorted(starts, at, side="right") - 1
         which, first = np.unique(doc, return_index=True)
         flat = (at - starts[doc]).astype("<u4")
-        return pa.table({KEY: pa.array(keys[which], pa.int64()), "marks": pa.array([flat[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)][: len(first)], strict=True)], pa.binary())})
+        return pa.table({KEY: pa.array(keys[which].tolist(), pa.binary()), "marks": pa.array([flat[i:j].tobytes() for i, j in zip(first, np.r_[first[1:], len(doc)][: len(first)], strict=True)], pa.binary())})
 
-    found = rows.mapInArrow(anchors, SENT).groupBy("bucket").applyInArrow(find_repeats, SENT).groupBy("flush").applyInArrow(candidates, MARKS)
-    found = work.write(found, "anchors").groupBy(KEY).agg(F.max("marks").alias("marks"))
+    found = work.write(exchange.repeats(rows.mapInArrow(anchors, SENT), candidates, MARKS), "anchors").groupBy(KEY).agg(F.max("marks").alias("marks"))
 
     def segments(batches):
         for flush, (keys, texts, marks) in flushes(batches, [KEY, "text", "marks"], FLUSH):
@@ -163,14 +158,12 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
                     twins[one].append(k)
             both = np.array([x for one, more in twins.items() for x in (one, *more)], np.int64)
             known = np.stack([lo[both], hi[both]], 1).astype("<u4").tobytes()
-            out = [(flush_key(flush), flush, known, np.array(keys, "<i8").tobytes(), starts.astype("<i8").tobytes())]
+            out = [(flush_key(flush), flush, known, keys_blob(keys), starts.astype("<i8").tobytes(), None)]
             one = np.fromiter(seen.values(), np.int64, len(seen))
-            order, cut = split_by((h[one] % U64(fine)).astype(np.int64), fine)
-            for k in range(fine):
-                if cut[k + 1] > cut[k]:
-                    m = one[order[cut[k] : cut[k + 1]]]
-                    head = np.stack([h[m], lo[m].astype(U64), (anchor[m] - lo[m]).astype(U64), (hi[m] - lo[m]).astype(U64)], 1).astype("<u8")
-                    out.append((k, flush, head.tobytes(), b"".join(buf[lo[x] : hi[x] - 1 + window] for x in m), None))
+            for k, at in parts((h[one] % U64(fine)).astype(np.int64)):
+                m = one[at]
+                head = np.stack([h[m], lo[m].astype(U64), (anchor[m] - lo[m]).astype(U64), (hi[m] - lo[m]).astype(U64)], 1).astype("<u8")
+                out.append((k, flush, head.tobytes(), b"".join(buf[lo[x] : hi[x] - 1 + window] for x in m), None, None))
             yield sent(out)
 
     def radix_sort(key, table):
@@ -191,7 +184,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         if len(hit):
             new = np.flatnonzero(np.r_[True, (np.diff(seg) != 0) | (np.diff(at) != 1)])
             pair, who = np.stack([at[new], np.r_[at[new[1:] - 1], at[-1]] + 1], 1).astype("<u4"), owner[seg[new]]
-            out = [(key[0].as_py(), flush[k], pair[who == k].tobytes(), None, None) for k in np.unique(who)]
+            out = [(key[0].as_py(), flush[k], pair[m].tobytes(), None, None, None) for k, m in parts(who)]
         if len(pos) > 1 << 20:
             del head, segment, pos, group
             release()
@@ -202,7 +195,7 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         for a, b, c in zip(*(table.column(x).to_pylist() for x in ("a", "b", "c")), strict=True):
             pairs.append(np.frombuffer(a, "<u4").reshape(-1, 2))
             own = (b, c) if b is not None else own
-        keys, starts = np.frombuffer(own[0], "<i8"), np.frombuffer(own[1], "<i8")
+        keys, starts = keys_of(own[0]), np.frombuffer(own[1], "<i8")
         lo, hi = np.concatenate(pairs).astype(np.int64).T
         if not len(lo):
             return doc_ranges(keys, starts, lo, hi)
@@ -213,22 +206,25 @@ def repeated_ranges(docs: DataFrame, window: int, work: Workspace) -> DataFrame:
         return doc_ranges(keys, starts, lo[new], np.maximum.reduceat(hi, new))
 
     picked = work.attach(rows, "anchors", found, KEY, "inner", small=False).select(KEY, "text", "marks")
-    found = picked.mapInArrow(segments, SENT).groupBy("bucket").applyInArrow(radix_sort, SENT).groupBy("flush").applyInArrow(covered, f"{KEY} long, ranges binary")
+    found = picked.mapInArrow(segments, SENT).groupBy("bucket").applyInArrow(radix_sort, SENT).groupBy("flush").applyInArrow(covered, f"{KEY} binary, ranges binary")
     return one_per_key(work.write(found, "covered"))
 
 
-def remove_repeated_bytes(docs: DataFrame, window: int = 200, *columns: str) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, window: int = 200, *columns: str, most_buckets: int = 512) -> DataFrame:
     """Each document without the bytes that a repeated string of `window` (at least 9) bytes covers.
 
     docs needs doc_id and text; of other columns, those named are carried along. Returns doc_id, the named columns,
     kept (binary, what is left of the UTF-8 bytes), n_bytes, n_removed, n_spans (maximal removed runs) and ranges
     (binary, pairs of int64; null if none). Null text is empty; a doc_id may be null or repeat; a repeated row counts
-    as another document, so all its windows repeat. Empty tables give empty results.
+    as another document, so all its windows repeat. Empty tables give empty results. Columns named like a column of the
+    result are an error. most_buckets: see Exchange.
     """
     if window < 9:
         raise ValueError("window must be 9 at least")
+    if clash := set(columns) & {"doc_id", "kept", "n_bytes", "n_removed", "n_spans", "ranges"}:
+        raise ValueError(f"columns have names of the result: {sorted(clash)}")
     work = Workspace(docs.sparkSession, "suffix")
-    found = repeated_ranges(docs, window, work)
+    found = repeated_ranges(docs, window, work, most_buckets)
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).schema
 
     def kept(batches):

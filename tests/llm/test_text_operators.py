@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
-from outbreak_spark.llm import cover_dedup, jaccard, langid, lblm, mixing, packing, suffix_dedup, tokenio
+from outbreak_spark.llm import common, cover_dedup, jaccard, langid, lblm, mixing, packing, suffix_dedup, tokenio
 from outbreak_spark.llm.common import Workspace
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -68,7 +68,8 @@ def test_cover_dedup(docs, rows, empty):
         gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
         want[(k, b" ".join(x for j, x in enumerate(w) if j not in gone).decode(), len(w), len(gone))] += 1
     assert got == want
-    assert cover_dedup.remove_repeated_windows(empty).count() == 0
+    two = Counter((r.doc_id, r.text, r.n_words, r.n_removed) for r in cover_dedup.remove_repeated_windows(docs, 35, most_buckets=2).collect())
+    assert two == want and cover_dedup.remove_repeated_windows(empty).count() == 0
 
 
 @pytest.mark.parametrize("window", [2, 7, 35, 50])
@@ -77,9 +78,12 @@ def test_cover_is_a_difference_cover(window):
     assert period < window and all(any(mask[(i + d) % period] and mask[(j + d) % period] for d in range(period)) for i in range(period) for j in range(period))
 
 
-@pytest.mark.parametrize("window", [9, 50, 200])
-def test_suffix_dedup(docs, rows, window):
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeated_bytes(docs, window).collect())
+@pytest.mark.parametrize(("window", "most"), [(9, 512), (50, 4), (200, 512)])
+def test_suffix_dedup(docs, rows, window, most, monkeypatch):
+    """Also with the exchange of two levels, and with shuffled joins of the side tables."""
+    if most == 4:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeated_bytes(docs, window, most_buckets=most).collect())
     texts = [data(t) for _, t in rows]
     seen = Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
     want = Counter()
@@ -98,7 +102,8 @@ def test_suffix_dedup_of_nothing(empty):
 
 
 def test_jaccard(docs, rows, empty):
-    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(docs).collect()]
+    got, two = ([(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_components(docs, most_buckets=most).collect()] for most in (512, 2))
+    assert sorted(got, key=repr) == sorted(two, key=repr)  # also with the exchange of two levels
     sets = []
     for _, t in rows:
         w = data(t).lower().split()
@@ -293,22 +298,45 @@ def test_lm(docs, rows, empty):
     n, v = sum(c.values()), len(c)
     want = Counter((k, t, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(np.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), 6)) for (k, _), ws, t in zip(rows, tokens, training, strict=True))
     assert got == want and lblm.score(empty, F.lit(True)).count() == 0
+    one, two = (sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in lblm.score(docs, F.col("doc_id") % 4 != 0, most).collect()) for most in (512, 2))
+    assert one == two  # also with the exchange of two levels
     assert all(np.isfinite(r.score) and r.score < 0 for r in lblm.score(docs, F.lit(False)).collect())
 
 
+def vocabulary(head, distinct=1000):
+    """Head words 2.. of the shares given, and a rest of as many words as leaves."""
+    leaf = np.arange(lblm.GROUPS * lblm.leaves_for(distinct))
+    hashes = np.arange(1, len(head) + 1, dtype=np.uint64)
+    return lblm.Vocabulary(hashes, np.array(head), sum(head) + 10 * len(leaf) + 5, distinct, 5, leaf, np.full(len(leaf), 10) + np.bincount(hashes.astype(int), head, len(leaf)).astype(int), np.full(len(leaf), 1) + np.bincount(hashes.astype(int), minlength=len(leaf)))
+
+
 def test_lm_is_normalised_and_learns():
     rng = np.random.default_rng(0)
-    share = np.full(lblm.CLASSES, 1e-4)
-    share[2:6] = 0.25
-    m = lblm.LogBilinear(share / share.sum())
+    m = lblm.LogBilinear(vocabulary([5000] * 4))
     target = rng.integers(2, 6, 20_000)
     context = np.stack([np.r_[2, 2, target[:-2]], np.r_[2, target[:-1]]], 1)
-    target = np.where(rng.random(20_000) < 0.9, (context[:, 1] - 2 + 1) % 4 + 2, target)
-    before = m.token_logs(context, target).mean()
+    follows = rng.random(20_000) < 0.9
+    target = np.where(follows, (context[:, 1] - 2 + 1) % 4 + 2, lblm.REST)  # word 2 + k brings 2 + (k + 1) % 4, or one of the rest
+    leaf = np.where(follows, 0, (context[:, 1] - 2) * 7 % m.leaves)  # whose leaf is its context's
+    before = m.token_logs(context, target, leaf)
     for k in range(3):
-        m.train(context, target, np.random.default_rng(k))
-    assert m.token_logs(context, target).mean() > before + 0.3
-    assert np.allclose(np.exp(m.log_probabilities(context[:5])).sum(1), 1, atol=1e-3)
+        m.train(context, target, leaf, np.random.default_rng(k))
+    after = m.token_logs(context, target, leaf)
+    assert after[follows].mean() > before[follows].mean() + 0.3 and after[~follows].mean() > before[~follows].mean() + 1
+    some = np.array([[2, 3], [lblm.BEGIN, lblm.BEGIN], [lblm.BEGIN + 1, 5]])
+    assert np.allclose(np.exp(m.log_probabilities(some)).sum(1), 1, atol=1e-3) and np.allclose(np.exp(m.rest_logs(some)).sum(1), 1, atol=1e-3)
+    for c, row in zip(some, m.rest_logs(some), strict=True):  # token by token it's the same
+        every = m.token_logs(np.repeat(c[None], m.leaves, 0), np.zeros(m.leaves, int), np.arange(m.leaves))
+        assert np.allclose(every - m.log_probabilities(c[None])[0, lblm.REST], row, atol=1e-3)
+
+
+def test_lm_shares_of_words_sum_to_one():
+    """Over all words, known or not: head, ends, and the rest by leaf, where each leaf keeps a share for the unknown."""
+    words = vocabulary([300, 20, 1])
+    leaf = np.arange(words.leaves)
+    assert (words.leaf_total == 10).all() and (words.leaf_distinct == 1).all()
+    assert np.allclose(10 ** words.in_leaf(leaf, np.full(words.leaves, 10)) + 10 ** words.in_leaf(leaf, np.zeros(words.leaves)), 1)
+    assert lblm.leaves_for(10**6) > lblm.leaves_for(10**4) and lblm.GROUPS * lblm.leaves_for(10**12) == lblm.FINEST
 
 
 def test_every_training_document_trains(docs, monkeypatch):
