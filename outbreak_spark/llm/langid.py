@@ -23,13 +23,17 @@ from pyspark.sql import functions as F
 from outbreak_spark.llm.common import U64, fresh, mix, release
 
 ORDER = 5
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # and numbers such as one half, which aren't decimal digits: taken out below
 PAD = " "
 NONE = "und"
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    """Runs of letters, that is of characters of Unicode's categories L."""
+    words = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _hash(points: np.ndarray) -> np.ndarray:
@@ -169,17 +173,19 @@ def held_out(parts: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, limit_share: float = 0.75) -> Model | None:
+def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, limit_share: float = 0.75, most: int = 100_000) -> Model | None:
     """Learns from text and lang of the rows given, those with a null left out.
 
-    Bounded: about `per_language` documents of each language for the model and `calibration` others for the limit of
-    rejection, chosen by hash of doc_id. No labelled row: None.
+    Bounded: about `per_language` documents of each language for the model, of more than `most` in all fewer of each,
+    and `calibration` others for the limit of rejection (those of 40 letters at least), chosen by hash of doc_id. Rows
+    with a null doc_id are of one hash, and repeated rows count as often as they occur. No labelled row: None.
     """
     spark = docs.sparkSession
     rows = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
     if not sizes:
         return None
+    per_language = max(1, min(per_language, most // len(sizes)))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, 1.0 / n))), F.col("lang"))
     rows = rows.withColumn("at", spot / share)
@@ -242,8 +248,12 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
     docs needs doc_id and text; a column named text is returned only if named. lang_pred is a learned language (ties:
     first in order), `und` if the text is null or without letters or the model is None; score, from 0 to 1, is the
     best language's share under the models, tempered by length; rejected is true for `und` and for texts of 20 or more
-    letters whose cross-entropy is above the calibrated limit. Null and repeated doc_ids are kept as they are.
+    letters whose cross-entropy is above the calibrated limit: of fewer, the cross-entropy says too little. Null and
+    repeated doc_ids are kept as they are; whole texts count, of any length; an empty table gives an empty result.
+    Columns named like a column of the result are an error.
     """
+    if clash := set(columns) & {"doc_id", "lang_pred", "score", "cross_entropy", "letters", "rejected"}:
+        raise ValueError(f"columns have names of the result: {sorted(clash)}")
     first = docs.select("doc_id", *columns).schema
     schema = type(first)(first.fields[:])
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("letters", "long"), ("rejected", "boolean")):

@@ -3,10 +3,12 @@
 A document of a source with target / size = r is wanted r times: floor(r) copies are certain, one more has the
 fractional probability. Probabilities are rounded in pairs: mass, counted in words, moves at random between two
 documents until one is taken or left for sure, in such proportions that each keeps its expected copies and the pair
-its expected words. So whatever is left of a bucket of documents is at most one undecided document per source; these
+its expected words. Pairs are formed from the longest document on; documents that
+are still wanted alike stand together as one side of a pair, so that the longest one is decided against all shorter
+ones, and what is left undecided is short wherever sizes allow. So whatever is left of a bucket of documents is at most one undecided document per source; these
 residuals meet in a reduction tree, some buckets at a time, until one per source remains and is drawn by itself. The
-words taken of a source then differ from its target by less than that one document, and documents decided in the
-same last group are switched to make up for it.
+words taken of a source then differ from its target by less than that one document, and every document is taken with
+exactly the probability wanted.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BUCKET, FAN_IN = 16_384, 16
 
 
-def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def source_targets(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Per source: source_size, target. Sources by code point, null last, weigh `weights`, repeating, and share
     `share` times all sizes; a target stops at `most` times its source's size, the excess going to the others by weight
-    until none is above. Only sums reach the driver; the table has a row per source."""
+    until none is above. Only sums reach the driver; the table has a row per source and is written once."""
     table = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    table = table.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int")))
+    table = work.write(table.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (at % len(weights) + 1).cast("int"))), "sums")
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, cap = 0.0, F.col("source_size") * F.lit(float(most))
     while True:  # each round stops at least one more source
@@ -46,10 +48,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
 
 def round_pairs(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """0 or 1 for each document in turn; the index of the one left undecided (its p in place), or -1."""
+    """0 or 1 for each document in turn; the index of the one left undecided (its p in place), or -1. Sizes descend."""
     p, draw = p.astype(float).copy(), rng.random(len(p))
-    i = -1
-    for j in range(len(p)):
+    i, begin = -1, 0
+    if len(p) and (p == p[0]).all():
+        # A document against all after it, which share one p: mass moves until the document is decided.
+        q, left = float(p[0]), float(size.sum())
+        while begin < len(p) - 1:
+            rest = left - size[begin]
+            taken, not_taken = (q * left - size[begin]) / rest, q * left / rest
+            if taken < 0 or not_taken > 1:  # it outweighs them: they are decided first, in pairs
+                break
+            p[begin] = float(draw[begin] < q)
+            q, left, begin = taken if p[begin] else not_taken, rest, begin + 1
+        p[begin:] = q
+        if min(q, 1 - q) < 1e-12:
+            p[begin:] = round(q)
+            return p, -1
+    for j in range(begin, len(p)):
         if i < 0:
             i = j
             continue
@@ -70,31 +86,39 @@ def round_pairs(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tu
     return p, i
 
 
-def settle(size: np.ndarray, p: np.ndarray, drawn: int, off: float) -> None:
-    """After the last draw of a source, which is off by so many copies of one document: switch decided documents,
-    largest first, while that brings the words nearer. It matters where one document outweighs its small source."""
-    words = off * size[drawn]
-    for k in range(len(p)):
-        if k != drawn and (p[k] > 0.5) == (words > 0) and 2 * abs(words) > size[k]:
-            words += size[k] * (-1 if words > 0 else 1)
-            p[k] = 1 - p[k]
+def round_bucket(size: np.ndarray, p: np.ndarray, key: np.ndarray, seed: int, source, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of a bucket's documents of one source, longest first: p after rounding, and which are decided: all if it's the last
+    bucket, else all but one."""
+    rng = np.random.default_rng([seed, int(hash_of(source)), len(p), abs(int(key[0]))])
+    p, left = round_pairs(size, p, rng)
+    done = np.ones(len(p), bool)
+    if left >= 0 and last:
+        p[left] = float(rng.random() < p[left])
+    elif left >= 0:
+        done[left] = False
+    return p, done
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, columns: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, columns: tuple[str, ...] = (), bucket_rows: int = BUCKET, fan_in: int = FAN_IN) -> DataFrame:
     """Copies of each document in the mix.
 
     docs needs doc_id, text and source; of other columns those named are carried along. Returns doc_id, source, size
     (words), source_size, target, copies, taken (copies * size), and the named columns. Null and empty texts have size
     0 and floor(r) copies; null sources are one source; null and repeated doc_ids are kept, each row a document.
-    Reruns agree: documents are dealt to buckets by hash and ordered in them by size and hash.
+    Reruns agree: documents are dealt to buckets by hash and ordered in them by size and hash. An empty table gives an
+    empty result. Columns named like a column that mix uses are an error. bucket_rows: documents of a bucket of the
+    first round; fan_in: buckets that meet in each later one.
     """
+    used = {"doc_id", "source", "size", "source_size", "target", "copies", "taken", "p", "key", "bucket", "done"}
+    if clash := set(columns) & used:
+        raise ValueError(f"columns have names that mix uses: {sorted(clash)}")
     spark = docs.sparkSession
     work = Workspace(spark, "mix")
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), *columns)
     rows = work.write(base, "sizes")
-    targets = work.write(source_targets(rows, weights, share, most), "targets")
+    targets = work.write(source_targets(rows, work, weights, share, most), "targets")
     count = rows.count()
-    buckets = max(1, -(-count // BUCKET))
+    buckets = max(1, -(-count // bucket_rows))
     joined = rows.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")), "left")
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     order = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed), *columns)
@@ -112,19 +136,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
             copies, done, prob = pdf["copies"].to_numpy().copy(), np.ones(len(pdf), bool), pdf["p"].to_numpy(float).copy()
             for source, part in open_.groupby("source", dropna=False, sort=False):
                 at = part["at"].to_numpy()
-                name = int(np.uint64(hash_of(source)))
-                rng = np.random.default_rng([seed, name, len(at), abs(int(part["key"].iloc[0]))])
-                p, left = round_pairs(part["size"].to_numpy(float), part["p"].to_numpy(float), rng)
-                if left >= 0 and last:
-                    one, p[left] = p[left], float(rng.random() < p[left])
-                    settle(part["size"].to_numpy(float), p, left, p[left] - one)
-                    left = -1
-                prob[at] = p
-                took = p > 0.5
-                if left >= 0:
-                    done[at[left]] = False
-                    took[left] = False
-                copies[at] += took
+                prob[at], done[at] = round_bucket(part["size"].to_numpy(float), part["p"].to_numpy(float), part["key"].to_numpy(), seed, source, last)
+                copies[at] += done[at] & (prob[at] > 0.5)
             out = table.set_column(table.schema.get_field_index("copies"), "copies", pa.array(copies, pa.int64()))
             out = out.set_column(out.schema.get_field_index("p"), "p", pa.array(np.where(done, 0.0, prob), pa.float64()))
             return out.append_column("done", pa.array(done, pa.bool_()))
@@ -139,8 +152,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         parts.append(now.where("done").drop("done"))
         if last:
             break
-        buckets, step = -(-buckets // FAN_IN), step + 1
-        now = now.where(~F.col("done")).drop("done").withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("long"))
+        buckets, step = -(-buckets // fan_in), step + 1
+        now = now.where(~F.col("done")).drop("done").withColumn("bucket", F.floor(F.col("bucket") / fan_in).cast("long"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

@@ -248,8 +248,45 @@ def test_mix(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_inclusion_through_the_tree():
+    """Buckets of 4 documents that meet by twos: each document is taken with the probability wanted."""
+    size, want, taken = np.array([100.0, 60, 30, 9, 7, 6, 6, 5, 4, 3]), 0.2, np.zeros(10)
+    rng = np.random.default_rng(3)
+    for seed in range(5000):
+        key, bucket, p, open_ = rng.integers(1, 10**9, 10), rng.integers(0, 4, 10), np.full(10, want), np.ones(10, bool)
+        for n in (4, 2, 1):
+            for b in range(n):
+                at = np.flatnonzero(open_ & (bucket == b))
+                if len(at):
+                    p[at], done = mixing.round_bucket(size[at], p[at], key[at], seed, "s", n == 1)
+                    open_[at[done]] = False
+            bucket = bucket // 2
+        assert not open_.any() and abs(p @ size - want * size.sum()) <= 100
+        taken += p
+    assert np.abs(taken / 5000 - want).max() < 0.025
+
+
+def test_mix_by_a_tree(spark):
+    rows = [(k, " ".join(["w"] * (k % 17 + 1)), f"s{k % 5}") for k in range(120)]
+    df = Workspace(spark, "test").write(spark.createDataFrame(rows, "doc_id long, text string, source string"), "d")
+    out = mixing.mix(df, bucket_rows=30, fan_in=2).collect()  # 4, 2, 1 buckets
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source], target[r.source] = taken[r.source] + r.taken, r.target
+    assert len(out) == 120 and all(abs(taken[s] - t) <= 17 for s, t in target.items()) and all(r.taken <= 2 * r.size for r in out)
+
+
+def test_what_is_left_is_short():
+    size, left = np.r_[300.0, np.arange(60, 10, -1)], []
+    for seed in range(300):
+        p, k = mixing.round_pairs(size, np.full(len(size), 0.4), np.random.default_rng(seed))
+        assert abs(p @ size - 0.4 * size.sum()) < 1e-6
+        left.append(size[k] if k >= 0 else 0)
+    assert np.mean(left) < 25 and max(left) < 60
+
+
 def test_targets_by_hand(spark):
-    t = mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 10), ("d", 0)], "source string, size long"))
+    t = mixing.source_targets(spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100), (None, 10), ("d", 0)], "source string, size long"), Workspace(spark, "test"))
     got = {r.source: r.target for r in t.collect()}
     # weights 3, 1, 2, 3, 1 in order a, b, c, d, null: all but b stop at twice their size
     assert got == {"a": 20.0, "c": 200.0, "d": 0.0, None: 20.0, "b": 1.5 * 1120 - 240}
@@ -277,6 +314,18 @@ def test_language_id(spark, empty):
     assert langid.train(empty) is None and {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
 
 
+def test_letters_and_clashing_names(spark, docs):
+    words = {"½ ²": [], "Ⅷ ①": [], "a½b": ["a", "b"], "x2Y_z": ["x", "y", "z"], "don't": ["don", "t"], "漢字é٣ª": ["漢字é", "ª"]}
+    assert {t: langid.words_of(t) for t in words} == words
+    made = " ".join(["abc"] * 30)
+    df = spark.createDataFrame([(1, made, "xx", 0.0), (1, made, "xx", 0.0), (2, "½ ²", "xx", 0.0), (3, made * 3000, "xx", 0.0)], "doc_id long, text string, lang string, score double")
+    got = langid.identify(df, langid.train(df), "lang").collect()
+    assert sorted((r.doc_id, r.lang_pred, r.score == 0) for r in got) == [(1, "xx", False), (1, "xx", False), (2, "und", True), (3, "xx", False)]
+    for call in (lambda: langid.identify(df, None, "score"), lambda: mixing.mix(docs, columns=("size",)), lambda: suffix_dedup.remove_repeated_bytes(docs, 200, "ranges")):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_kneser_ney_sums_to_one():
     text = "the quick brown fox jumps over the lazy dog again and again".split()
     grams = Counter()
