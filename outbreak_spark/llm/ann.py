@@ -4,19 +4,23 @@ An error of a vector's approximation along the vector changes the inner products
 it, more than an error across it. So codes and codebooks minimise |r|^2 + (eta - 1) <r, x/|x|>^2 of the residual r,
 eta > 1: codes by coordinate descent over the subspaces, codebooks by their normal equations. Each subspace of two
 dimensions has 16 centres, 4 bits; a query scans codes by tables of its products with the centres (two codes, one byte,
-at a time), and the best of each block are scored again exactly on the original vectors.
+at a time). Only codes travel to the scans; the best of each query by them, over all blocks, are then joined with their
+original vectors and scored again exactly.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.vectors import in_blocks, matrix, valid
+from outbreak_spark.llm.common import Workspace
+from outbreak_spark.llm.vectors import dealt, every, matrix, queries_of, ranked, valid
 
 CENTRES = 16
+#: Codes of a block of candidates, and queries, that one task holds.
+CANDIDATES, QUERIES = 1 << 16, 1 << 14
 
 
 class Codebook:
@@ -103,35 +107,58 @@ def index(vectors: DataFrame, sample_rows: int = 8192) -> tuple[DataFrame, Codeb
     return vectors.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), book
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 96) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 400, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: about the k largest inner products of each query, scored in double precision.
 
-    table needs vec_id and embedding; is_query is a condition on vec_id. rerank: how many of a block of candidates are
-    scored exactly. Null, empty, zero and ragged vectors, those with null or non-finite components and rows with null
-    vec_id take no part. Rows that share a vec_id are each a candidate for others, and never for their own query.
+    table needs vec_id and embedding; is_query is a condition on vec_id. rerank: how many candidates of a query are scored
+    exactly. Null, empty, zero and ragged vectors, those with null or non-finite components and rows with null vec_id
+    take no part. Rows that share a vec_id are each a candidate for others, and never for their own query. An empty table
+    gives an empty result. candidates, queries: rows that one task holds of each.
     """
-    coded, book = index(valid(table, zero=False))
-
-    def search(a, b):
-        x, ids = matrix(a.column("embedding")), a.column("vec_id").to_numpy()
-        codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
-        q, query_ids = matrix(b.column("embedding")), b.column("vec_id").to_numpy()
-        keep, out = min(rerank + 1, len(x)), []
-        for i in range(0, len(q), 64):
-            tables = book.tables(q[i : i + 64])
-            scores = np.zeros((len(x), tables.shape[2]), np.float32)
-            for m in range(codes.shape[1]):
-                scores += tables[m][codes[:, m]]
-            scores = np.ascontiguousarray(scores.T)
-            best = np.argpartition(scores, len(x) - keep, axis=1)[:, len(x) - keep :]
-            for r, near in enumerate(best):
-                near = near[ids[near] != query_ids[i + r]]
-                exact = (x[near] * q[i + r]).sum(1)
-                top = np.lexsort((ids[near], -exact))[:k]
-                out.append((np.full(len(top), i + r), ids[near[top]], exact[top]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
-
-    return in_blocks(coded, is_query, search, k, "double", ("code",))
+    work = Workspace(table.sparkSession, "ann")
+    base = work.write(valid(table, zero=False), "valid")
+    coded, book = index(base)
+    # A row's number, as written, tells rows of one vec_id apart.
+    coded = work.write(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    asked = work.write(queries_of(coded.select("vec_id", "embedding"), is_query), "queries")
+    n, nq = coded.count(), asked.count()
+    spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cb, qb = max(1, -(-n // candidates), min(spread, -(-n // 4096))), max(1, -(-nq // queries))
+    left = coded.select(dealt(cb, "row").alias("cb"), every(qb).alias("qb"), "vec_id", "row", "code", F.lit(None).cast("array<double>").alias("embedding"))
+    right = asked.select(every(cb).alias("cb"), dealt(qb, "vec_id").alias("qb"), "vec_id", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("code"), "embedding")
+
+    def scan(key, table):
+        is_code = np.array(table.column("row").is_valid().to_numpy(), bool)
+        a, b = table.filter(pa.array(is_code)), table.filter(pa.array(~is_code))
+        ids, rows, query_ids = (t.column(c).to_numpy() for t, c in ((a, "vec_id"), (a, "row"), (b, "vec_id")))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        if len(a) and len(b):
+            codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(a), -1)
+            q, keep = matrix(b.column("embedding")), min(rerank + 1, len(a))
+            for i in range(0, len(q), 64):
+                tables = book.tables(q[i : i + 64])
+                scores = np.zeros((len(a), tables.shape[2]), np.float32)
+                for m in range(codes.shape[1]):
+                    scores += tables[m][codes[:, m]]
+                scores = np.ascontiguousarray(scores.T)
+                best = np.argpartition(scores, len(a) - keep, axis=1)[:, len(a) - keep :]
+                for r, near in enumerate(best):
+                    near = near[ids[near] != query_ids[i + r]]
+                    out.append((np.full(len(near), query_ids[i + r]), rows[near], scores[r, near]))
+        who, row, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"query_id": pa.array(who), "row": pa.array(row), "near": pa.array(score)})
+
+    found = left.unionByName(right).groupBy("cb", "qb").applyInArrow(scan, "query_id long, row long, near float")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "row"))
+    found = found.withColumn("at", best).where(F.col("at") <= rerank).select("query_id", "row")
+    found = found.join(coded.select("row", "vec_id", "embedding"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
+
+    def exact(batches):
+        for batch in batches:
+            score = (matrix(batch.column("embedding")) * matrix(batch.column("query"))).sum(1) if len(batch) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return ranked(found.select("query_id", "vec_id", "embedding", "query").mapInArrow(exact, "query_id long, vec_id long, score double"), k)
 
 
 def op8_anisotropic_ann(spark, sf_dir: str) -> DataFrame:

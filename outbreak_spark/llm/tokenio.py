@@ -19,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import Workspace
+from outbreak_spark.llm.common import Workspace, text_bytes
 from outbreak_spark.llm.tokens import shared_encoder, text_groups
 
 MAGIC = 0x31464554_4B4F5431
 SAMPLE = 256
+#: Text bytes of a file: as a rule, and the least for which small tables are split further.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 4 << 20
 
 
 class EliasFano:
@@ -37,10 +39,15 @@ class EliasFano:
         values = values.astype(np.uint64)
         n = len(values)
         bits = max(0, int(values[-1]) // n).bit_length() - 1 if n and int(values[-1]) >= n else 0
-        low = np.packbits(((values[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little") if bits else np.empty(0, np.uint8)
+        low, step = [np.empty(0, np.uint8)], 1 << 14  # a block's bits are whole bytes
+        for k in range(0, n if bits else 0, step):
+            part = (values[k : k + step, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
+            low.append(np.packbits(part.astype(np.uint8).ravel(), bitorder="little"))
+        low = np.concatenate(low)
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(ones[-1]) + 8) // 8 if n else 0, np.uint8)
-        np.bitwise_or.at(high, ones >> 3, (1 << (ones & 7)).astype(np.uint8))
+        for k in range(0, n, step):
+            np.bitwise_or.at(high, ones[k : k + step] >> 3, (1 << (ones[k : k + step] & 7)).astype(np.uint8))
         return cls(n, bits, low, high, ones[::SAMPLE].astype("<u4"))
 
     def select(self, k: int) -> int:
@@ -126,11 +133,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, shar
 
     docs needs doc_id and text; other columns are ignored; null text is empty; repeated rows are written again.
     Returns a row per file: shard (files in doc_id order), path, documents, ids; an empty table has none. Each attempt
-    writes a file of its own name, so run it once, into a table: only files named there count.
+    writes a file of its own name, so run it once, into a table: only files named there count. shards: number of files,
+    by default one for SHARD_BYTES of text, more only as long as all tasks have work. Bounds of files are by doc_id and the
+    text's beginning, so that a doc_id of many rows needn't be one file.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if not shards:
+        total, usual = text_bytes(docs), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        shards = max(1, -(-total // SHARD_BYTES), min(usual, -(-total // LEAST_BYTES)))
+    rows = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 32)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def write(batches):
         encoder, shard = shared_encoder(tokenizer), TaskContext.get().partitionId()

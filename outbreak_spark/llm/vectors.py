@@ -1,19 +1,17 @@
-"""What both searches share: valid vectors, blocks of queries against blocks of candidates, the best of each query."""
+"""What both searches share: valid vectors, matrices, and the best of each query."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates and of a block of queries: what one task holds.
-CANDIDATES, QUERIES = 8192, 2048
-
 
 def valid(table: DataFrame, zero: bool) -> DataFrame:
     """vec_id, embedding as array<double>, of the rows that take part: not null, not empty, no null or non-finite
-    component, of the most frequent length (ties: the shortest); zero: whether all-zero vectors take part."""
+    component, of the most frequent length (ties: the shortest), as only vectors of one length have a product; zero:
+    whether all-zero vectors take part."""
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     keep = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", fine)
@@ -24,37 +22,26 @@ def valid(table: DataFrame, zero: bool) -> DataFrame:
     return rows.where(F.size("embedding") == (length.n if length else 0))
 
 
+def queries_of(rows: DataFrame, is_query) -> DataFrame:
+    """One row per vec_id that is a query: repeated ones are asked once."""
+    return rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
 def matrix(column) -> np.ndarray:
     """An array column as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy()
-    return flat.reshape(len(column), -1)
-
-
-def in_blocks(candidates: DataFrame, is_query: Column, search, k: int, score_type: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """search(candidate ids, their table, query ids, their table) -> (query number, vec_id, score) arrays, for each pair
-    of blocks; then each query's k best by score, ties to the smaller vec_id. Rows with a query's vec_id are its own.
-
-    Blocks are dealt by hash of vec_id, so they are even; repeated queries are asked once.
-    """
-    queries = candidates.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    n, nq = candidates.count(), queries.count()
-    cb, qb = max(1, -(-n // CANDIDATES)), max(1, -(-nq // QUERIES))
-    block = lambda b: F.pmod(F.xxhash64("vec_id"), F.lit(b)).cast("int")
-    every = lambda b: F.explode(F.sequence(F.lit(0), F.lit(b - 1)))
-    left = candidates.select(block(cb).alias("cb"), every(qb).alias("qb"), F.lit(False).alias("query"), "vec_id", "embedding", *extra)
-    right = queries.select(every(cb).alias("cb"), block(qb).alias("qb"), F.lit(True).alias("query"), "vec_id", "embedding", *(F.lit(None).cast(candidates.schema[x].dataType).alias(x) for x in extra))
-
-    def run(key, table):
-        q = np.array(table.column("query").to_numpy(), bool)
-        a, b = table.filter(pa.array(~q)), table.filter(pa.array(q))
-        if not len(a) or not len(b):
-            who, ids, scores = (np.empty(0, np.int64) for _ in range(3))
-        else:
-            who, ids, scores = search(a, b)
-        kind = pa.float64() if score_type == "double" else pa.int64()
-        return pa.table({"query_id": pa.array(b.column("vec_id").to_numpy()[who], pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, kind)})
-
-    found = left.unionByName(right).groupBy("cb", "qb").applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def dealt(blocks: int, *key: str):
+    return F.pmod(F.xxhash64(*key), F.lit(blocks)).cast("int")
+
+
+def every(blocks: int):
+    return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -21,8 +21,9 @@ def pairs(df, zero):
     return [(k, x) for k, x in keep if zero or x.any()]
 
 
-def test_top_k(vectors):
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, k=5).collect()}
+@pytest.mark.parametrize("held", [{}, {"candidates": 50, "queries": 20}])
+def test_top_k(vectors, held):
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors, F.col("vec_id") % 10 == 0, k=5, **held).collect()}
     rows = [(k, np.floor(256 * x).astype(np.int64)) for k, x in pairs(vectors, True)]
     queries = {}
     for k, x in pairs(vectors, True):
@@ -46,21 +47,47 @@ def test_few_and_none(spark):
 def test_large_values_stay_exact():
     rng = np.random.default_rng(2)
     x, q = rng.integers(-(2**29), 2**29, (300, 8)), rng.integers(-(2**29), 2**29, (9, 8))
-    t = topk.DualTree(x, np.arange(300), q, np.arange(1000, 1009), 5)
+    t = topk.DualTree(x.astype(float), np.arange(300), q.astype(float), np.arange(1000, 1009), 5)
     t.run()
     assert not t.exact_in_double and (t.best == -np.sort(-(q @ x.T), axis=1)[:, :5]).all()
 
 
+def test_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2 - 2**63)]
+
+
 def test_pruning_leaves_pairs_out():
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.integers(-3, 4, (400, 4)) + 1000 * np.array(c) for c in ([1, 0, 0, 0], [-1, 0, 0, 0], [0, 1, 0, 0], [0, -1, 0, 0])])
+    x = np.concatenate([rng.integers(-3, 4, (400, 4)) + 1000 * np.array(c) for c in ([1, 0, 0, 0], [-1, 0, 0, 0], [0, 1, 0, 0], [0, -1, 0, 0])]).astype(float)
     t = topk.DualTree(x, np.arange(1600), x[:50], np.arange(5000, 5050), 5)
     t.run()
-    assert t.pairs < 25 and (t.best == -np.sort(-(x[:50] @ x.T), axis=1)[:, :5]).all()
-
-
-def test_ann(vectors):
-    got = ann.nearest(vectors, F.col("vec_id") % 10 == 0, k=20).collect()
+    assert t.scored < 50 * 1600 / 2 and (t.best == -np.sort(-(x[:50] @ x.T), axis=1)[:, :5]).all()
+
+
+def test_tree_is_a_cover_tree():
+    x = np.random.default_rng(4).normal(size=(3000, 3)) * 100
+    todo, some = [topk.Node(x, np.arange(3000))], 0
+    while todo:
+        node = todo.pop()
+        if not node.children and node.crumbs is None:
+            continue
+        centres = np.array([c.points[0] for c in node.children] + (node.crumbs[0].tolist() if node.crumbs else []), int)
+        inside = [c.points for c in node.children] + ([node.crumbs[2]] if node.crumbs else [])
+        assert sorted(np.concatenate(inside)) == sorted(node.points) and all(c.radius <= node.radius / 2 + 1e-6 for c in node.children)
+        apart = np.sqrt(((x[centres][:, None] - x[centres][None]) ** 2).sum(2)) + np.eye(len(centres)) * 1e9
+        assert apart.min() > node.radius / 2 - 1e-6
+        if node.crumbs:
+            own = node.crumbs[0][node.crumbs[3]]
+            assert (np.sqrt(((x[node.crumbs[2]] - x[own]) ** 2).sum(1)) <= node.crumbs[1][node.crumbs[3]]).all() and node.crumbs[1].max() <= node.radius / 2 + 1e-6
+        todo += node.children
+        some += 1
+    assert some > 3
+
+
+@pytest.mark.parametrize("held", [{}, {"candidates": 100, "queries": 20}])
+def test_ann(vectors, held):
+    got = ann.nearest(vectors, F.col("vec_id") % 10 == 0, k=20, rerank=96, **held).collect()
     rows = pairs(vectors, False)
     vec = {}
     for k, x in rows:
