@@ -123,10 +123,12 @@ def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 400, candidat
     asked = work.write(queries_of(coded.select("vec_id", "embedding"), is_query), "queries")
     n, nq = coded.count(), asked.count()
     spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cb, qb = max(1, -(-n // candidates), min(spread, -(-n // 4096))), max(1, -(-nq // queries))
+    cb, qb = max(1, -(-n // candidates), min(spread, -(-n // 16384))), max(1, -(-nq // queries))
     left = coded.select(dealt(cb, "row").alias("cb"), every(qb).alias("qb"), "vec_id", "row", "code", F.lit(None).cast("array<double>").alias("embedding"))
     right = asked.select(every(cb).alias("cb"), dealt(qb, "vec_id").alias("qb"), "vec_id", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("code"), "embedding")
 
+    block_best = min(rerank, 2 * -(-rerank // cb) + 32)  # blocks are dealt by hash: a query's best are spread evenly
+
     def scan(key, table):
         is_code = np.array(table.column("row").is_valid().to_numpy(), bool)
         a, b = table.filter(pa.array(is_code)), table.filter(pa.array(~is_code))
@@ -134,7 +136,7 @@ def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 400, candidat
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
         if len(a) and len(b):
             codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(a), -1)
-            q, keep = matrix(b.column("embedding")), min(rerank + 1, len(a))
+            q, keep = matrix(b.column("embedding")), min(block_best + 1, len(a))
             for i in range(0, len(q), 64):
                 tables = book.tables(q[i : i + 64])
                 scores = np.zeros((len(a), tables.shape[2]), np.float32)

@@ -33,13 +33,6 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.n
     home, away = np.zeros(n, np.int64), np.full(n, np.inf)
     centres: list[int] = []
 
-    def update(rows: np.ndarray, new: np.ndarray) -> None:
-        d = np.sqrt(np.maximum(square[rows][:, None] + square[new][None] - 2 * points[rows] @ points[new].T, 0))
-        at = d.argmin(1)
-        least = d[np.arange(len(rows)), at]
-        closer = least < away[rows]
-        home[rows[closer]], away[rows[closer]] = len(centres) - len(new) + at[closer], least[closer]
-
     for lo in range(0, n, 256):
         rows = np.arange(lo, min(lo + 256, n))
         have = np.array(centres, np.int64)
@@ -50,11 +43,13 @@ def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.n
             least = d[np.arange(len(rows)), at]
             closer = least < away[rows]
             home[rows[closer]], away[rows[closer]] = k + at[closer], least[closer]
-        for x in rows:
+        among = np.sqrt(np.maximum(square[rows][:, None] + square[rows] - 2 * points[rows] @ points[rows].T, 0))
+        for k, x in enumerate(rows):
             if away[x] > radius:
+                closer = among[k] < away[rows]
+                home[rows[closer]], away[rows[closer]] = len(centres), among[k][closer]
+                home[x], away[x] = len(centres), 0.0
                 centres.append(int(x))
-                update(rows, np.array([x]))
-                home[x], away[x] = len(centres) - 1, 0.0
     chosen = np.array(centres, np.int64)
     # Later centres may be nearer to earlier points; covering holds without that. Distances anew, without cancellation.
     return chosen, home, np.sqrt(((points - points[chosen][home]) ** 2).sum(1))
