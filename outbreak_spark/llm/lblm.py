@@ -1,12 +1,12 @@
 """Scoring documents with a log-bilinear neural language model, trained with noise-contrastive estimation in numpy.
 
-Every word of the corpus is a class of its own, in up to three factors. The head has the most frequent words of the
-training documents, the end of a text, and REST for all other words. A word of the rest has, by its hash, a group and a
-leaf in the group; the number of leaves grows with the training vocabulary, so that a leaf has some tens of words,
+Every word of the corpus is a class of its own, in up to two factors. The head has the most frequent words of the
+training documents, the end of a text, and GROUPS groups of all other words. A word of the rest has, by its hash, a group
+and a leaf in the group; the number of leaves grows with the training vocabulary, so that a leaf has some tens of words,
 which share it by their counts. The two tokens before give a context vector, elementwise products of their vectors with
 a position's weights (words of the rest share vectors by hash). Its products with the output vectors, plus biases, are
-scores, and softmaxes over the head, over the groups, and over the leaves of a group are the probabilities of each
-factor: P(word) = P(REST) P(group) P(leaf | group) share(word | leaf), which sums to one over all words.
+scores, and softmaxes over the head and over the leaves of a group are the probabilities of each factor:
+P(word) = P(group) P(leaf | group) share(word | leaf), which sums to one over all words.
 
 Texts are tokenised once and written as flushes: a flush's distinct hashes, and per token a 32-bit index into them. All
 later passes read that table, whose flush numbers are data: they don't depend on how it is read. Counts cover all
@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 
 from outbreak_spark.llm.common import SENT, SUMMARY, U64, Exchange, WordHashes, Workspace, flushes, release, text_bytes
 
-#: Head classes, dimensions; groups of the rest, and vectors that its words share as context.
-CLASSES, DIMS, GROUPS, SHARED = 1024, 32, 64, 16
-#: Noise samples of a batch for the head and for groups, and of a token for leaves.
-NOISE, LEAF_NOISE, BATCH = 64, 4, 1024
+#: Head classes, of which the first GROUPS are those of the rest; dimensions; vectors that the rest shares as context.
+CLASSES, GROUPS, DIMS, SHARED = 1088, 64, 32, 16
+#: Noise samples of a batch for the head, and of a token for leaves.
+NOISE, LEAF_NOISE, BATCH = 64, 2, 4096
 ROUNDS = 2
 #: Text bytes of a row of the token table, and rows that are scored together.
 FLUSH, TOGETHER = 2 << 20, 6
-REST, END, BEGIN = 0, 1, CLASSES
+END, WORD, BEGIN = GROUPS, GROUPS + 1, CLASSES
 END_HASH = U64(0x1F3D5B79A2C4E680)
 #: Leaves in the finest division that is counted; the model's leaves are unions of them.
 FINEST = 1 << 18
@@ -60,23 +60,20 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, ends: int, leaf: np.ndarray, leaf_total: np.ndarray, leaf_distinct: np.ndarray):
         order = np.argsort(hashes)
-        self.hashes, self.classes = hashes[order], (np.arange(len(hashes)) + 2)[order]
+        self.hashes, self.classes = hashes[order], (np.arange(len(hashes)) + WORD)[order]
         self.total, self.distinct = total, distinct
-        share = np.full(CLASSES, 0.1)
-        share[REST] += max(0, total - int(counts.sum()) - ends)
-        share[END] += ends
-        share[2 : 2 + len(counts)] += counts
-        self.share = share / share.sum()
         self.leaves = GROUPS * leaves_for(distinct)
         own = (hashes % U64(self.leaves)).astype(np.int64)
         size = lambda at, n: np.bincount(at, n, self.leaves).astype(np.int64)
         self.leaf_total = size(leaf % self.leaves, leaf_total) - size(own, counts)
         self.leaf_distinct = size(leaf % self.leaves, leaf_distinct) - size(own, np.ones(len(own)))
         mass = self.leaf_total.reshape(-1, GROUPS) + 0.1
-        self.group_share, self.leaf_share = mass.sum(0) / mass.sum(), mass / mass.sum(0)
+        self.leaf_share = mass / mass.sum(0)
+        share = np.r_[mass.sum(0), ends + 0.1, counts + 0.1, np.full(CLASSES - WORD - len(counts), 0.1)]
+        self.share = share / share.sum()
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), REST, np.int64)
+        out = (hashes % U64(GROUPS)).astype(np.int64)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = self.hashes[at] == hashes
@@ -99,11 +96,8 @@ class LogBilinear:
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
         logs = lambda x: np.log(x).astype(np.float32)
         self.words, self.leaves = words, words.leaves
-        self.params = [
-            small(CLASSES + 1 + SHARED, DIMS), 1 + small(2, DIMS), small(CLASSES, DIMS), logs(words.share),
-            small(GROUPS, DIMS), logs(words.group_share), small(self.leaves, DIMS), logs(words.leaf_share).ravel(),
-        ]
-        self.seen = [np.full_like(p, 1e-2) for p in self.params]
+        self.params = [small(CLASSES + 1, DIMS), 1 + small(2, DIMS), small(CLASSES, DIMS), logs(words.share), small(self.leaves, DIMS), logs(words.leaf_share).ravel()]
+        self.seen = [np.full(len(p), 1e-2, np.float32) for p in self.params]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.params])
@@ -116,61 +110,65 @@ class LogBilinear:
         return self
 
     def _step(self, k: int, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        """Adagrad on some rows, given a gradient for each place in `rows`. Short numbers have a radix sort in numpy."""
+        """Adagrad by row, given a gradient for each place in `rows`. Short numbers have a radix sort in numpy."""
         if len(self.params[k]) < 1 << 15:
             rows = rows.astype(np.int16)
         order = np.argsort(rows, kind="stable")
         s = rows[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         grad, s = np.add.reduceat(grad[order], first, axis=0), s[first]
-        total = self.seen[k][s] + grad**2
+        wide = grad.ndim > 1
+        total = self.seen[k][s] + (np.einsum("ij,ij->i", grad, grad) / np.float32(DIMS) if wide else grad * grad)
         self.seen[k][s] = total
-        self.params[k][s] -= rate * grad / np.sqrt(total)
-
-    def _contrast(self, k: int, q: np.ndarray, target: np.ndarray, noise: np.ndarray, log_noise: np.ndarray, rate: float) -> np.ndarray:
-        """Noise-contrastive estimation of one factor, whose output vectors are parameter k, against noise that a batch
-        shares; log_noise: log of the expected noise by class. Returns the gradient of q."""
-        out, bias = self.params[k], self.params[k + 1] - log_noise
-        near, far = out[target], out[noise]
-        g_real = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", q, near) + bias[target], -30, 30)))
-        g_fake = 1 / (1 + np.exp(-np.clip(q @ far.T + bias[noise], -30, 30)))
-        rows, scale = np.concatenate([target, noise]), np.float32(8 / BATCH)
-        grad = g_real[:, None] * near + g_fake @ far
-        self._step(k, rows, np.concatenate([g_real[:, None] * q, g_fake.T @ q]) * scale, rate)
-        self._step(k + 1, rows, np.concatenate([g_real, g_fake.sum(0)]) * scale, rate)
-        return grad
+        step = np.float32(rate) / np.sqrt(total)
+        self.params[k][s] -= grad * (step[:, None] if wide else step)
 
     def train(self, contexts: np.ndarray, targets: np.ndarray, leaves: np.ndarray, rng: np.random.Generator, rate: float = 0.1) -> None:
-        """One pass, whose Adagrad sums go on from call to call. leaves: those of the targets that are REST."""
-        words = self.words
-        noise_log, group_log = (np.log(NOISE * x).astype(np.float32) for x in (words.share, words.group_share))
-        draws, group_draws = np.cumsum(words.share), np.cumsum(words.group_share)
+        """One pass of noise-contrastive estimation, whose Adagrad sums go on from call to call. Contexts come in random
+        order, each with all its targets, so that what depends on the context alone is done once; noise samples are shared
+        by a batch. leaves: those of the targets that are of the rest, against noise from their own group."""
+        words, vectors, weights, out, bias, leaf_out, leaf_bias = self.words, *self.params
+        noise_log, draws = np.log(NOISE * words.share).astype(np.float32), np.cumsum(words.share)
         per_group = self.leaves // GROUPS
         leaf_log = np.float32(np.log(LEAF_NOISE / per_group))
-        draw = lambda cum: np.minimum(np.searchsorted(cum, rng.random(NOISE)), len(cum) - 1)
+        _, at = np.unique(contexts[:, 0].astype(np.int64) * (CLASSES + 1) + contexts[:, 1], return_inverse=True)
+        turn = rng.permutation(int(at.max(initial=-1)) + 1)[at]
+        order = np.argsort(turn, kind="stable")
+        turn, targets, leaves = turn[order], targets[order], leaves[order]
         for i in range(0, len(targets), BATCH):
-            c, w, leaf = contexts[i : i + BATCH], targets[i : i + BATCH], leaves[i : i + BATCH]
-            vectors, weights = self.params[:2]
+            w, t = targets[i : i + BATCH], turn[i : i + BATCH]
+            n, scale = len(w), np.float32(8 / len(w))
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            times = np.diff(np.r_[first, n]).astype(np.float32)
+            c = contexts[order[i + first]]
             a, b = vectors[c[:, 0]], vectors[c[:, 1]]
             q = a * weights[0] + b * weights[1]
-            g_q = self._contrast(2, q, w, draw(draws), noise_log, rate)
-            rest = np.flatnonzero(w == REST)
+            own = np.repeat(q, times.astype(np.int64), axis=0)
+            noise = np.minimum(np.searchsorted(draws, rng.random(NOISE)), CLASSES - 1)
+            near, far = out[w], out[noise]
+            g_real = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", own, near) + (bias - noise_log)[w], -30, 30)))
+            g_fake = times[:, None] / (1 + np.exp(-np.clip(q @ far.T + (bias - noise_log)[noise], -30, 30)))
+            near *= g_real[:, None]
+            rest = np.flatnonzero(w < GROUPS)
             if len(rest):
-                own, leaf = q[rest], leaf[rest]
-                g_q[rest] += self._contrast(4, own, leaf % GROUPS, draw(group_draws), group_log, rate)
-                # Leaves: each token has noise of its own, from its group.
-                other = rng.integers(0, per_group, (len(rest), LEAF_NOISE)) * GROUPS + (leaf % GROUPS)[:, None]
-                rows = np.concatenate([leaf[:, None], other], 1)
-                out = self.params[6][rows]
-                x = np.einsum("ij,ikj->ik", own, out) + self.params[7][rows] - leaf_log
-                g = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-                g[:, 0] -= 1
-                g_q[rest] += np.einsum("ik,ikj->ij", g, out)
-                scale = np.float32(8 / BATCH)
-                self._step(6, rows.ravel(), (g[:, :, None] * own[:, None, :]).reshape(-1, DIMS) * scale, rate)
-                self._step(7, rows.ravel(), g.ravel() * scale, rate)
-            self._step(0, c.T.ravel(), np.concatenate([g_q * weights[0], g_q * weights[1]]) * np.float32(8 / BATCH), rate)
-            self._step(1, np.arange(2), np.stack([np.einsum("ij,ij->j", g_q, a), np.einsum("ij,ij->j", g_q, b)]) / len(w), rate)
+                leaf, mine = leaves[i : i + BATCH][rest], own[rest]
+                rows = np.concatenate([leaf[:, None], rng.integers(0, per_group, (len(rest), LEAF_NOISE)) * GROUPS + (leaf % GROUPS)[:, None]], 1).T
+                grads = []
+                for k, row in enumerate(rows):
+                    some = leaf_out[row]
+                    g = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", mine, some) + leaf_bias[row] - leaf_log, -30, 30))) - np.float32(k == 0)
+                    near[rest] += g[:, None] * some
+                    grads.append(g)
+                g = np.concatenate(grads) * scale
+                self._step(4, rows.ravel(), np.tile(mine, (LEAF_NOISE + 1, 1)) * g[:, None], rate)
+                self._step(5, rows.ravel(), g, rate)
+            g_q = np.add.reduceat(near, first, axis=0) + g_fake @ far
+            own *= g_real[:, None]
+            rows = np.concatenate([w, noise])
+            self._step(2, rows, np.concatenate([own, g_fake.T @ q]) * scale, rate)
+            self._step(3, rows, np.concatenate([g_real, g_fake.sum(0)]) * scale, rate)
+            self._step(0, c.T.ravel(), np.concatenate([g_q * weights[0], g_q * weights[1]]) * scale, rate)
+            self._step(1, np.arange(2), np.stack([np.einsum("ij,ij->j", g_q, a), np.einsum("ij,ij->j", g_q, b)]) / n, rate)
 
     def contexts(self, codes: np.ndarray) -> np.ndarray:
         """Vectors of contexts (the class before last, the last)."""
@@ -186,36 +184,33 @@ class LogBilinear:
         """Natural logs for all head classes, a row per context."""
         return self.softmax_logs(self.contexts(contexts) @ self.params[2].T + self.params[3])
 
-    def rest_logs(self, contexts: np.ndarray) -> np.ndarray:
-        """Natural logs for all leaves, given that it's one of the rest, a row per context."""
-        q, n = self.contexts(contexts), len(contexts)
-        group = self.softmax_logs(q @ self.params[4].T + self.params[5])
-        s = (q @ self.params[6].T + self.params[7]).reshape(n, -1, GROUPS).transpose(0, 2, 1)
-        leaf = self.softmax_logs(s.reshape(n * GROUPS, -1)).reshape(n, GROUPS, -1)
-        return (group[:, :, None] + leaf).transpose(0, 2, 1).reshape(n, -1)
+    def leaf_logs(self, contexts: np.ndarray) -> np.ndarray:
+        """Natural logs for all leaves, given their group, a row per context."""
+        s = (self.contexts(contexts) @ self.params[4].T + self.params[5]).reshape(len(contexts), -1, GROUPS).transpose(0, 2, 1)
+        s = self.softmax_logs(s.reshape(len(contexts) * GROUPS, -1)).reshape(len(contexts), GROUPS, -1)
+        return s.transpose(0, 2, 1).reshape(len(contexts), -1)
 
     def token_logs(self, contexts: np.ndarray, targets: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """Of each target in its context, to its leaf if it is one of the rest. The head's probabilities of each distinct
-        context are computed once, in blocks of one matrix product; so are those of groups; leaves by group."""
-        width = CLASSES + 1 + SHARED
+        context are computed once, in blocks of one matrix product; leaves by group."""
+        width = CLASSES + 1
         code = contexts[:, 0].astype(np.int64) * width + contexts[:, 1]
         order = np.argsort(code, kind="stable")
         s = code[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
         ends, logs = np.r_[first[1:], len(s)], np.empty(len(s))
-        out, bias, group_out, group_bias, leaf_out, leaf_bias = self.params[2:]
+        out, bias, leaf_out, leaf_bias = self.params[2:]
         for i in range(0, len(first), 2048):
             block = s[first[i : i + 2048]]
             q = self.contexts(np.stack([block // width, block % width], 1))
             lo, hi = first[i], ends[min(i + 2048, len(first)) - 1]
             row, at = np.repeat(np.arange(len(block)), ends[i : i + 2048] - first[i : i + 2048]), order[lo:hi]
             logs[at] = self.softmax_logs(q @ out.T + bias)[row, targets[at]]
-            rest = targets[at] == REST
+            rest = targets[at] < GROUPS
             row, at = row[rest], at[rest]
             if not len(at):
                 continue
-            group = leaves[at] % GROUPS
-            logs[at] += self.softmax_logs(q @ group_out.T + group_bias)[row, group]
+            group = targets[at]
             by = np.argsort(group.astype(np.int8), kind="stable")
             cut = np.searchsorted(group[by], np.arange(GROUPS + 1))
             for g in np.flatnonzero(np.diff(cut)):
@@ -225,9 +220,9 @@ class LogBilinear:
         return logs
 
 
-def contexts_of(classes: np.ndarray, lens: np.ndarray, leaves: np.ndarray) -> np.ndarray:
-    """The two tokens before each token, as classes; words of the rest by their leaf. Before a text stands BEGIN."""
-    classes = np.where(classes == REST, BEGIN + 1 + leaves % SHARED, classes)
+def contexts_of(classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The two tokens before each token, as classes; groups of the rest share some. Before a text stands BEGIN."""
+    classes = np.where(classes < GROUPS, classes % SHARED, classes)
     starts = np.cumsum(lens) - lens
     one = np.r_[BEGIN, classes[:-1]]
     one[starts] = BEGIN
@@ -308,7 +303,7 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.frombuffer(a, "<i8").reshape(3, 1)], ["n", "v", "ends"])
 
     size = stats.select("a").mapInArrow(sizes, "n long, v long, ends long").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("ends").alias("ends")).first()
-    best = stats.select("b", "c").mapInArrow(tops, "h long, n long").orderBy(F.desc("n"), "h").limit(CLASSES - 2).toArrow()
+    best = stats.select("b", "c").mapInArrow(tops, "h long, n long").orderBy(F.desc("n"), "h").limit(CLASSES - WORD).toArrow()
     # At most FINEST rows.
     leaf = stats.select("d").mapInArrow(leaves, "leaf long, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()
     by_leaf = [leaf.column(c).to_numpy() for c in ("leaf", "n", "v")]
@@ -328,9 +323,7 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
                     if not len(at):
                         continue
                     c, leaf = known.of(words)[at], known.leaf_of(words)[at]
-                    rng = np.random.default_rng([step, flush])
-                    order = rng.permutation(len(c))
-                    own.train(contexts_of(c, lens, leaf)[order], c[order], leaf[order], rng)
+                    own.train(contexts_of(c, lens), c, leaf, np.random.default_rng([step, flush]))
                     seen += len(c)
             if seen:
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "n": pa.array([float(seen)]), "p": pa.array([own.flat().astype("<f4").tobytes()], pa.binary())})
@@ -366,10 +359,10 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
                 c[where] = n
             cls, leaf = known.of(words), known.leaf_of(words)
             base = np.log10((c + 0.1) / (known.total + 0.1 * (known.distinct + 1)))
-            inner = np.where(cls == REST, known.in_leaf(leaf, c), 0.0)
+            inner = np.where(cls < GROUPS, known.in_leaf(leaf, c), 0.0)
             parts.append((lens, cls[at], leaf[at], (c > 0)[at].astype(np.int64), base[at], inner[at]))
         lens, cls, leaf, seen, base, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
-        logs = own.token_logs(contexts_of(cls, lens, leaf), cls, leaf) / np.log(10) + inner
+        logs = own.token_logs(contexts_of(cls, lens), cls, leaf) / np.log(10) + inner
         starts = np.cumsum(lens) - lens
         sums = [np.add.reduceat(x, starts) for x in (seen, base, logs)]
         name, missing, training = (np.frombuffer(b"".join(left.column(x).to_pylist()), t) for x, t in (("doc_ids", "<i8"), ("missing", bool), ("training", bool)))

@@ -387,23 +387,24 @@ def vocabulary(head, distinct=1000):
 
 
 def test_lm_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
+    rng, first = np.random.default_rng(0), lblm.WORD
     m = lblm.LogBilinear(vocabulary([5000] * 4))
-    target = rng.integers(2, 6, 20_000)
-    context = np.stack([np.r_[2, 2, target[:-2]], np.r_[2, target[:-1]]], 1)
+    target = rng.integers(first, first + 4, 20_000)
+    context = np.stack([np.r_[first, first, target[:-2]], np.r_[first, target[:-1]]], 1)
     follows = rng.random(20_000) < 0.9
-    target = np.where(follows, (context[:, 1] - 2 + 1) % 4 + 2, lblm.REST)  # word 2 + k brings 2 + (k + 1) % 4, or one of the rest
-    leaf = np.where(follows, 0, (context[:, 1] - 2) * 7 % m.leaves)  # whose leaf is its context's
+    leaf = np.where(follows, 0, (context[:, 1] - first) * 7 + 64)  # a word brings the next one, or one of the rest by its own number
+    target = np.where(follows, (context[:, 1] - first + 1) % 4 + first, leaf % lblm.GROUPS)
     before = m.token_logs(context, target, leaf)
-    for k in range(3):
+    for k in range(6):
         m.train(context, target, leaf, np.random.default_rng(k))
     after = m.token_logs(context, target, leaf)
     assert after[follows].mean() > before[follows].mean() + 0.3 and after[~follows].mean() > before[~follows].mean() + 1
-    some = np.array([[2, 3], [lblm.BEGIN, lblm.BEGIN], [lblm.BEGIN + 1, 5]])
-    assert np.allclose(np.exp(m.log_probabilities(some)).sum(1), 1, atol=1e-3) and np.allclose(np.exp(m.rest_logs(some)).sum(1), 1, atol=1e-3)
-    for c, row in zip(some, m.rest_logs(some), strict=True):  # token by token it's the same
-        every = m.token_logs(np.repeat(c[None], m.leaves, 0), np.zeros(m.leaves, int), np.arange(m.leaves))
-        assert np.allclose(every - m.log_probabilities(c[None])[0, lblm.REST], row, atol=1e-3)
+    some = np.array([[first, first + 1], [lblm.BEGIN, lblm.BEGIN], [1, 5]])
+    head, leaves = m.log_probabilities(some), m.leaf_logs(some)
+    assert np.allclose(np.exp(head).sum(1), 1, atol=1e-3) and np.allclose(np.exp(leaves).sum(1), lblm.GROUPS, atol=1e-2)
+    every = np.arange(m.leaves)
+    for c, h, row in zip(some, head, leaves, strict=True):  # token by token it's the same
+        assert np.allclose(m.token_logs(np.repeat(c[None], m.leaves, 0), every % lblm.GROUPS, every), h[every % lblm.GROUPS] + row, atol=1e-3)
 
 
 def test_lm_shares_of_words_sum_to_one():
