@@ -12,6 +12,8 @@ then to the blocks of all other pivots whose covering radius doesn't exclude tha
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,17 @@ CANDIDATES, QUERIES, PIVOTS = 8192, 16384, 1024
 LEAST = -np.iinfo(np.int64).max  # its negative is an int64 too
 
 
+def shrunk(largest: float, scale: float) -> float:
+    """A power of two that takes components whose squares would leave the range of doubles back into it; else 1."""
+    return 1.0 if scale * largest < 1e100 else 2.0 ** -(math.frexp(largest)[1] + math.frexp(scale)[1])
+
+
+def reach(scores: np.ndarray, shrink: float) -> np.ndarray:
+    """What a bound between vectors times `shrink` must reach to hold such a score. Scores that stop at the least number
+    may all be ties."""
+    return scores if shrink == 1 else np.where(scores <= LEAST + 1, -np.inf, scores * shrink * shrink)
+
+
 def net(points: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Centres (the first is point 0) more than `radius` apart that cover all points; each point's centre, and its
     distance to it. Points are taken in chunks: one matrix product against the centres so far."""
@@ -86,21 +99,26 @@ class Node:
 
 
 class DualTree:
-    """Each query's k best by integer inner product, ties to the smaller id; its own id left out. floor: scores to reach."""
+    """Each query's k best by integer inner product, ties to the smaller id; its own id left out. floor: scores to reach. shrink:
+    the trees and bounds are of vectors times that."""
 
-    def __init__(self, data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None):
+    def __init__(self, data: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, floor: np.ndarray | None = None, shrink: float = 1.0):
         self.x, self.q, self.ids, self.query_ids, self.k = data, queries, ids, query_ids, k
         largest = max(float(np.abs(data).max(initial=0)), 1.0) * max(float(np.abs(queries).max(initial=0)), 1.0) * max(1, data.shape[1])
         self.exact_in_double = largest < 2**53
         self.best = np.full((len(queries), k), LEAST)
         self.best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.floor = np.full(len(queries), LEAST) if floor is None else floor
-        self.q_norm = np.sqrt((queries**2).sum(1))
+        self.shrink, self.near, self.asked = shrink, *(x if shrink == 1 else x * shrink for x in (data, queries))
+        self.q_norm = np.sqrt((self.asked**2).sum(1))
         self.scored = 0
 
     def worst(self, rows: np.ndarray) -> np.ndarray:
         return np.maximum(self.best[rows, -1], self.floor[rows])
 
+    def to_reach(self, rows: np.ndarray) -> np.ndarray:
+        return reach(self.worst(rows), self.shrink)
+
     @staticmethod
     def _up(bound):
         return bound + 1e-9 * np.abs(bound) + 1e-6
@@ -110,10 +128,10 @@ class DualTree:
 
     def run(self) -> None:
         if len(self.q) and len(self.x):
-            self.visit(Node(self.q, np.arange(len(self.q))), Node(self.x, np.arange(len(self.x))))
+            self.visit(Node(self.asked, np.arange(len(self.q))), Node(self.near, np.arange(len(self.x))))
 
     def visit(self, a: Node, b: Node) -> None:
-        if self.bound(a, b) < self.worst(a.points).min():
+        if self.bound(a, b) < self.to_reach(a.points).min():
             return
         if a.children or a.crumbs is not None:
             for c in a.children:
@@ -127,19 +145,19 @@ class DualTree:
         """Some queries against a node: its children with the highest bounds first."""
         for lo in range(0, len(rows), 512):
             part = rows[lo : lo + 512]
-            q, norm = self.q[part], self.q_norm[part]
+            q, norm = self.asked[part], self.q_norm[part]
             if not b.children and b.crumbs is None:
-                if (self._up(q @ b.center + norm * b.radius) >= self.worst(part)).any():
+                if (self._up(q @ b.center + norm * b.radius) >= self.to_reach(part)).any():
                     self.leaves(part, b.points)
                 continue
             if b.crumbs is not None:
                 centres, radius, points, child = b.crumbs
-                near = (self._up(q @ self.x[centres].T + norm[:, None] * radius) >= self.worst(part)[:, None]).any(0)
+                near = (self._up(q @ self.near[centres].T + norm[:, None] * radius) >= self.to_reach(part)[:, None]).any(0)
                 self.leaves(part, points[near[child]])
             if b.children:
                 top = np.stack([self._up(q @ c.center + norm * c.radius) for c in b.children])
                 for k in np.argsort(-top.max(1)):
-                    keep = top[k] >= self.worst(part)
+                    keep = top[k] >= self.to_reach(part)
                     if keep.any():
                         self.group(part[keep], b.children[k])
 
@@ -187,25 +205,31 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
     table needs vec_id and embedding; is_query is a condition on vec_id. Null, empty, ragged (not of the usual length)
     vectors and those with null or non-finite components take no part, nor do rows with null vec_id. Rows that share
     a vec_id are each a candidate for others, and never for their own query. Fewer candidates than k: all. An empty table
-    gives an empty result. Exact in double precision up to 2^53, beyond in whole numbers; scores stop at 64 bits.
+    gives an empty result. Exact in double precision up to 2^53, beyond in whole numbers; scores stop at 64 bits, and
+    scaled components at the largest double.
     candidates, queries: rows that one task holds of each.
     """
     spark = table.sparkSession
     work = Workspace(spark, "topk")
-    quantised = lambda t: np.floor(scale * matrix(t.column("embedding")))
     base = work.write(valid(table, zero=True), "valid")
-    n = base.count()
+    n, largest = base.agg(F.count("*"), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
+    shrink = shrunk(largest or 0.0, scale)
+
+    def quantised(t) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return np.nan_to_num(np.floor(scale * matrix(t.column("embedding"))))
+
     wanted = min(PIVOTS, -(-n // candidates))
     # A bounded sample by hash of vec_id.
     near = base.where(dealt(1 << 20, "vec_id") < max(1.0, min(1.0, 4 * wanted / max(1, n)) * (1 << 20))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, wanted)).toArrow()
     if not near.num_rows:
         near = base.orderBy("vec_id").limit(max(1, wanted)).toArrow()
-    pivots = Pivots(np.unique(quantised(near), axis=0) if near.num_rows else np.zeros((1, 1)))
+    pivots = Pivots(np.unique(shrink * quantised(near), axis=0) if near.num_rows else np.zeros((1, 1)))
     place = spark.sparkContext.broadcast(pivots)  # at most PIVOTS rows
 
     def assign(batches):
         for batch in batches:
-            at, away = place.value.nearest(quantised(batch)) if len(batch) else (np.empty(0, np.int64), np.empty(0))
+            at, away = place.value.nearest(shrink * quantised(batch)) if len(batch) else (np.empty(0, np.int64), np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(away)], [*batch.schema.names, "pivot", "away"])
 
     placed = work.write(base.mapInArrow(assign, "vec_id long, embedding array<double>, pivot long, away double"), "placed")
@@ -221,7 +245,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
     def route(first: bool):
         def run(batches):
             for batch in batches:
-                q = quantised(batch)
+                q = shrink * quantised(batch)
                 if not len(q):
                     continue
                 bounds = full.value.bounds(q)
@@ -229,7 +253,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
                 if first:
                     who, to = np.arange(len(q)), best
                 else:
-                    who, to = np.nonzero(bounds >= batch.column("floor").to_numpy()[:, None])
+                    who, to = np.nonzero(bounds >= reach(batch.column("floor").to_numpy(), shrink)[:, None])
                 table = batch.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([*table.columns, pa.array(to, pa.int64()), pa.array(to == best[who])], [*batch.schema.names, "pivot", "best"])
 
@@ -239,7 +263,7 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
         asked = np.array(table.column("query").to_numpy(), bool)
         a, b = table.filter(pa.array(~asked)), table.filter(pa.array(asked))
         ids = b.column("vec_id").to_numpy()
-        tree = DualTree(quantised(a), a.column("vec_id").to_numpy(), quantised(b), ids, k, b.column("floor").to_numpy().astype(np.int64))
+        tree = DualTree(quantised(a), a.column("vec_id").to_numpy(), quantised(b), ids, k, b.column("floor").to_numpy().astype(np.int64), shrink)
         if len(a):
             tree.run()
         who, at = np.nonzero(tree.best != LEAST)

@@ -53,6 +53,8 @@ def test_large_values_stay_exact():
 
 
 def test_huge_components(spark):
+    df = spark.createDataFrame([(0, [1.7e308, 1.0]), (1, [1.7e308, 2.0]), (2, [-1.7e308, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") == 0, k=2).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, 2**63 - 1)]
     df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 2**63 - 1), (0, 2, 2, 2 - 2**63)]
 
