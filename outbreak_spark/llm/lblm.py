@@ -31,7 +31,7 @@ CLASSES, GROUPS, DIMS, SHARED = 1088, 64, 32, 16
 NOISE, LEAF_NOISE, BATCH = 64, 2, 4096
 ROUNDS = 2
 #: Text bytes of a row of the token table, and rows that are scored together.
-FLUSH, TOGETHER = 2 << 20, 6
+FLUSH, TOGETHER = 2 << 20, 4
 END, WORD, BEGIN = GROUPS, GROUPS + 1, CLASSES
 END_HASH = U64(0x1F3D5B79A2C4E680)
 #: Leaves in the finest division that is counted; the model's leaves are unions of them.
@@ -194,7 +194,7 @@ class LogBilinear:
         """Of each target in its context, to its leaf if it is one of the rest. The head's probabilities of each distinct
         context are computed once, in blocks of one matrix product; leaves by group."""
         width = CLASSES + 1
-        code = contexts[:, 0].astype(np.int64) * width + contexts[:, 1]
+        code = contexts[:, 0].astype(np.int32) * np.int32(width) + contexts[:, 1]
         order = np.argsort(code, kind="stable")
         s = code[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
@@ -204,7 +204,7 @@ class LogBilinear:
             block = s[first[i : i + 2048]]
             q = self.contexts(np.stack([block // width, block % width], 1))
             lo, hi = first[i], ends[min(i + 2048, len(first)) - 1]
-            row, at = np.repeat(np.arange(len(block)), ends[i : i + 2048] - first[i : i + 2048]), order[lo:hi]
+            row, at = np.repeat(np.arange(len(block), dtype=np.int16), ends[i : i + 2048] - first[i : i + 2048]), order[lo:hi]
             logs[at] = self.softmax_logs(q @ out.T + bias)[row, targets[at]]
             rest = targets[at] < GROUPS
             row, at = row[rest], at[rest]
@@ -222,13 +222,14 @@ class LogBilinear:
 
 def contexts_of(classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The two tokens before each token, as classes; groups of the rest share some. Before a text stands BEGIN."""
-    classes = np.where(classes < GROUPS, classes % SHARED, classes)
+    classes = np.where(classes < GROUPS, classes % SHARED, classes).astype(np.int16)
     starts = np.cumsum(lens) - lens
-    one = np.r_[BEGIN, classes[:-1]]
-    one[starts] = BEGIN
-    two = np.r_[BEGIN, one[:-1]]
-    two[starts] = BEGIN
-    return np.stack([two, one], 1)
+    out = np.empty((len(classes), 2), np.int16)
+    out[1:, 1] = classes[:-1]
+    out[starts, 1] = BEGIN
+    out[1:, 0] = out[:-1, 1]
+    out[starts, 0] = BEGIN
+    return out
 
 
 def summary(words: np.ndarray, sums: np.ndarray) -> tuple[bytes, ...]:
@@ -348,25 +349,28 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
 
     def scored(left, right):
         known = shared.value
-        own, out = LogBilinear(known).load(trained.value), []
+        own = LogBilinear(known).load(trained.value)
         given: dict[int, list] = {}
         for flush, a, d in zip(*(right.column(x).to_pylist() for x in ("flush", "a", "d")), strict=True):
             given.setdefault(flush, []).append((np.frombuffer(a, "<u4"), np.frombuffer(d, "<u8")))
-        parts = []
+        parts, by_text = [], []
         for flush, _, lens, words, at in _read(left):
             c = np.zeros(len(words), np.int64)
-            for where, n in given.get(flush, ()):
+            for where, n in given.pop(flush, ()):
                 c[where] = n
             cls, leaf = known.of(words), known.leaf_of(words)
             base = np.log10((c + 0.1) / (known.total + 0.1 * (known.distinct + 1)))
             inner = np.where(cls < GROUPS, known.in_leaf(leaf, c), 0.0)
-            parts.append((lens, cls[at], leaf[at], (c > 0)[at].astype(np.int64), base[at], inner[at]))
-        lens, cls, leaf, seen, base, inner = (np.concatenate(x) for x in zip(*parts, strict=True))
-        logs = own.token_logs(contexts_of(cls, lens), cls, leaf) / np.log(10) + inner
-        starts = np.cumsum(lens) - lens
-        sums = [np.add.reduceat(x, starts) for x in (seen, base, logs)]
+            starts = np.cumsum(lens) - lens
+            by_text.append([np.add.reduceat(x[at], starts) for x in ((c > 0).astype(np.int32), base, inner)])
+            parts.append((lens, cls.astype(np.int16)[at], leaf.astype(np.int32)[at]))
+        lens, cls, leaf = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        seen, base, inner = (np.concatenate(x) for x in zip(*by_text, strict=True))
+        score = np.add.reduceat(own.token_logs(contexts_of(cls, lens), cls, leaf), np.cumsum(lens) - lens) / np.log(10) + inner
+        release()
         name, missing, training = (np.frombuffer(b"".join(left.column(x).to_pylist()), t) for x, t in (("doc_ids", "<i8"), ("missing", bool), ("training", bool)))
-        out = [pa.array(name, pa.int64(), mask=missing), pa.array(training), pa.array(lens), pa.array(sums[0]), pa.array(np.full(len(lens), known.total)), pa.array(sums[1]), pa.array(sums[2])]
+        out = [pa.array(name, pa.int64(), mask=missing), pa.array(training), pa.array(lens), pa.array(seen.astype(np.int64)), pa.array(np.full(len(lens), known.total)), pa.array(base), pa.array(score)]
         return pa.Table.from_arrays(out, ["doc_id", "training", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     together = F.floor(F.col("flush") / TOGETHER).cast("long").alias("together")
