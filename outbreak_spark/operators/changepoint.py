@@ -19,7 +19,16 @@ CHANGES = "region string, pathogen string, record_index long, changepoint_prob d
 
 
 class RunLengths:
-    """The posterior after each observation; lengths of less than `tail` mass at the far end are dropped."""
+    """The posterior after each observation; lengths of less than `tail` mass at the far end are dropped; none if tail is 0."""
+
+    _norms = np.empty(0)  # by run length, which alone sets the degrees of freedom
+
+    @classmethod
+    def norms(cls, n: int) -> np.ndarray:
+        if len(cls._norms) < n:
+            df = 2.0 + np.arange(2 * n)
+            cls._norms = np.array([math.lgamma((d + 1) / 2) - math.lgamma(d / 2) for d in df]) - 0.5 * np.log(df * math.pi)
+        return cls._norms[:n]
 
     def __init__(self, hazard_lambda: float = 100.0, tail: float = 1e-12):
         if hazard_lambda <= 1:
@@ -31,7 +40,7 @@ class RunLengths:
     def step(self, x: float) -> tuple[float, int, float]:
         df = 2 * self.alpha
         scale2 = np.maximum(self.beta * (self.kappa + 1) / (self.alpha * self.kappa), 1e-20)
-        log_t = _lgamma((df + 1) / 2) - _lgamma(df / 2) - 0.5 * np.log(df * math.pi * scale2) - (df + 1) / 2 * np.log1p((x - self.mu) ** 2 / (df * scale2))
+        log_t = self.norms(len(df)) - 0.5 * np.log(scale2) - (df + 1) / 2 * np.log1p((x - self.mu) ** 2 / (df * scale2))
         joint = self.p * np.maximum(np.exp(log_t), 1e-300)
         new = np.concatenate([[self.hazard * joint.sum()], (1 - self.hazard) * joint])
         new /= new.sum()
@@ -45,9 +54,6 @@ class RunLengths:
         return float(self.p[0]), int(self.p.argmax()), float(self.p @ np.arange(len(self.p)))
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def changepoints(df: DataFrame, hazard_lambda: float = 100.0, threshold: float = 0.5, log: bool = True, column: str = "new_cases") -> DataFrame:
     """Per record: changepoint_prob, map_run_length, expected_run_length, is_changepoint (that probability above the
     threshold) and run_dropped (the likeliest run is shorter than the one before). One task per series."""
@@ -65,3 +71,10 @@ def changepoints(df: DataFrame, hazard_lambda: float = 100.0, threshold: float =
     out = df.select(*KEYS, ORDER, column).groupBy(*KEYS).applyInPandas(run, CHANGES)
     out = out.withColumn("is_changepoint", F.col("changepoint_prob") > threshold)
     return out.withColumn("run_dropped", F.coalesce(F.col("map_run_length") < F.lag("map_run_length").over(series()), F.lit(False)))
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """Per series: the highest changepoint_prob, the number of changepoints and their record indices in order, and how
+    often the likeliest run dropped."""
+    at = F.array_sort(F.collect_list(F.when(F.col("is_changepoint"), F.col(ORDER))))
+    return changes.groupBy(*KEYS).agg(F.max("changepoint_prob").alias("max_prob"), F.count_if("is_changepoint").alias("changepoints"), at.alias("indices"), F.count_if("run_dropped").alias("drops"))

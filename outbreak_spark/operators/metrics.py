@@ -20,23 +20,31 @@ def totals(df: DataFrame) -> DataFrame:
     return df.groupBy(*KEYS).agg(F.count("*").alias("records"), F.sum("new_cases").alias("cases"), F.sum("new_deaths").alias("deaths"), F.max("population").alias("population"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), peak.alias("peak")).select("*", F.col("peak.date").alias("peak_date"), F.col("peak.new_cases").alias("peak_cases")).drop("peak")
 
 
+def _error(df: DataFrame, bad, text: str) -> DataFrame:
+    """Adds the text to the column error of bad rows; the column is null where nothing is wrong."""
+    had = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+    return df.withColumn("error", F.nullif(F.concat_ws("; ", had, F.when(bad, text)), F.lit("")))
+
+
 def case_fatality(df: DataFrame, deaths: str = "deaths", cases: str = "cases", confidence: float = 0.95) -> DataFrame:
-    """Adds cfr: deaths / cases with its Wilson interval; negative counts are an error."""
-    ok = F.assert_true((F.col(deaths) >= 0) & (F.col(cases) >= 0), "counts must not be negative")
-    return df.withColumn("cfr", F.when(ok.isNull(), wilson(F.col(deaths), F.col(cases), confidence)))
+    """Adds cfr: deaths / cases with its Wilson interval; null, with a text in error, for negative counts."""
+    bad = (F.col(deaths) < 0) | (F.col(cases) < 0)
+    return _error(df.withColumn("cfr", F.when(~bad, wilson(F.col(deaths), F.col(cases), confidence))), bad, "counts must not be negative")
 
 
 def attack_rate(df: DataFrame, cases: str = "cases", population: str = "population", confidence: float = 0.95) -> DataFrame:
-    """Adds attack_rate; a population that isn't positive is an error."""
-    ok = F.assert_true(F.col(population) > 0, "population must be positive")
-    return df.withColumn("attack_rate", F.when(ok.isNull(), wilson(F.col(cases), F.col(population), confidence)))
+    """Adds attack_rate; null, with a text in error, for a population that isn't positive."""
+    bad = F.col(population).isNull() | (F.col(population) <= 0)
+    return _error(df.withColumn("attack_rate", F.when(~bad, wilson(F.col(cases), F.col(population), confidence))), bad, "population must be positive")
 
 
 def incidence_rate(df: DataFrame, cases: str = "cases", population: str = "population", per: float = 100_000, confidence: float = 0.95) -> DataFrame:
-    """Adds incidence: cases per so many people with the exact Poisson interval; a population of 0 or less is an error."""
+    """Adds incidence: cases per so many people with the exact Poisson interval; null, with a text in
+    error, for a population of 0 or less and for negative cases."""
     tail = (1 - confidence) / 2
-    ok = F.assert_true((F.col(population) > 0) & (F.col(cases) >= 0), "population must be positive and cases not negative")
-    df = df.withColumn("__value", F.when(ok.isNull(), F.col(cases) / F.col(population) * per))
+    bad = F.col(population).isNull() | (F.col(population) <= 0) | (F.col(cases) < 0)
+    df = _error(df, bad, "incidence needs a positive population and cases of 0 or more")
+    df = df.withColumn("__value", F.when(~bad, F.try_divide(F.col(cases), F.col(population)) * per))
     schema = T.StructType([*df.schema.fields, T.StructField("__lower", T.DoubleType()), T.StructField("__upper", T.DoubleType())])
 
     def interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,12 +52,13 @@ def incidence_rate(df: DataFrame, cases: str = "cases", population: str = "popul
 
         for batch in batches:
             k = batch.column(cases).to_numpy(zero_copy_only=False).astype(float)
+            k[k < 0] = float("nan")
             cols = [gamma_quantile(tail, k, 1.0), gamma_quantile(1 - tail, k + 1, 1.0)]  # half a chi-square of 2k
             cols[0][k == 0] = 0.0
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, from_pandas=True) for c in cols)], schema.names)
 
     out = df.mapInArrow(interval, schema)
-    scale = F.lit(float(per)) / F.col(population)
+    scale = F.when(~bad, F.try_divide(F.lit(float(per)), F.col(population)))
     return out.withColumn("incidence", F.struct(F.col("__value").alias("value"), (F.col("__lower") * scale).alias("lower_ci"), (F.col("__upper") * scale).alias("upper_ci"), F.lit("exact_poisson").alias("method"))).drop("__value", "__lower", "__upper")
 
 
@@ -85,6 +94,12 @@ def epi_metrics(df: DataFrame, window: int = 7, per: float = 100_000) -> DataFra
     return out
 
 
+def contents(df: DataFrame) -> DataFrame:
+    """One row: the regions and the pathogens of a dataset, distinct and sorted."""
+    one = lambda c: F.array_sort(F.collect_set(c)).alias(f"{c}s")
+    return df.select(*KEYS).distinct().agg(one("region"), one("pathogen"))
+
+
 def rolling_curve(df: DataFrame, days: int = 7) -> DataFrame:
     """Mean of the last `days` records, from the first full window on."""
     w = Window.partitionBy(*KEYS).orderBy(ORDER)

@@ -51,12 +51,56 @@ def _line(points: list[tuple[float, float]], width: int = 640, height: int = 160
     return f'<svg viewBox="0 0 {width} {height}"><polyline fill="none" stroke="#1f77b4" points="{path}"/></svg>'
 
 
-def dashboard(daily: DataFrame, report: DataFrame, region: str, pathogen: str) -> str:
-    """A static page for one series, from at most a few thousand collected rows; empty text without records."""
+def rt_panel(rt: DataFrame, days: int = 30) -> DataFrame:
+    """The last records of each series with a known reproduction number."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*KEYS).orderBy(F.desc(ORDER))
+    return rt.where("rt_mean is not null").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= days).drop("__r")
+
+
+def changepoint_overlay(daily: DataFrame, changes: DataFrame) -> DataFrame:
+    """Date, cases and probability at each changepoint that has a record; 0.5 where its probability is unknown."""
+    flagged = changes.where("is_changepoint").select(*KEYS, ORDER, F.coalesce("changepoint_prob", F.lit(0.5)).alias("changepoint_prob"))
+    return daily.select(*KEYS, ORDER, "date", "new_cases").join(flagged, [*KEYS, ORDER])
+
+
+def dashboard(daily: DataFrame, report: DataFrame, region: str, pathogen: str, rt: DataFrame | None = None, forecasts: DataFrame | None = None, drivers: DataFrame | None = None, changes: DataFrame | None = None, curve: DataFrame | None = None, path: str | None = None, points: int = 3660) -> str:
+    """A static page for one series, written to `path` if given; empty text without records. Panels: cases with the
+    changepoints' days, reproduction number, model against cases, forecast, drivers from the least on. Lines have at most
+    `points` points: longer series are shown by means of as many records each as that takes."""
     one = (F.col("region") == region) & (F.col("pathogen") == pathogen)
-    rows = daily.where(one).orderBy(F.desc(ORDER)).limit(3660).select(ORDER, "new_cases").collect()[::-1]
-    if not rows:
+
+    def line(df: DataFrame | None, y: str, x: str = ORDER) -> str:
+        if df is None:
+            return ""
+        own = df.where(one) if "region" in df.columns else df
+        most = own.agg(F.max(x)).first()[0] or 0
+        width = int(most) // points + 1
+        rows = own.groupBy(F.floor(F.col(x) / width).alias("x")).agg(F.avg(y).alias("y")).where("y is not null").orderBy("x").collect()  # at most `points`
+        return _line([(r.x * width, r.y) for r in rows])
+
+    cases = line(daily, "new_cases")
+    if not cases:
         return ""
     card = report.where(one).limit(1).collect()
-    cards = "".join(f"<div><b>{html.escape(k)}</b> {html.escape(str(v))}</div>" for k, v in (card[0].asDict(True).items() if card else ()))
-    return f"<!doctype html><title>{html.escape(pathogen)} in {html.escape(region)}</title><h1>{html.escape(pathogen)} in {html.escape(region)}</h1>{cards}<h2>Daily cases</h2>{_line([(r[0], r[1] or 0) for r in rows])}"
+    cards = "".join(f'<div class="{html.escape(str(v)).lower()}"><b>{html.escape(k)}</b> {html.escape(str(v))}</div>' for k, v in (card[0].asDict(True).items() if card else ()))
+    panels = [("Daily cases", cases)]
+    if changes is not None:
+        days = [f"{r.date} ({r.changepoint_prob:.2f})" for r in changepoint_overlay(daily.where(one), changes.where(one)).orderBy(F.desc("changepoint_prob"), ORDER).limit(20).collect()]
+        panels.append(("Likeliest changes", html.escape(", ".join(days) or "none")))
+    if rt is not None:
+        panels.append(("Reproduction number", line(rt_panel(rt.where(one)), "rt_mean")))
+    if curve is not None:
+        panels.append(("Model", line(model_overlay(daily.where(one), curve).withColumn(ORDER, F.datediff("date", F.lit("1970-01-01"))), "modelled")))
+    if forecasts is not None:
+        panels.append(("Forecast", line(forecasts.where(one).groupBy(*KEYS, "step").agg(F.avg("predicted").alias("predicted")), "predicted", "step")))
+    if drivers is not None:
+        top = drivers.where(one).orderBy(F.desc("rank")).limit(20).collect()
+        panels.append(("Drivers", "".join(f"<div>{html.escape(r.label)}: {r.importance:.2f}</div>" for r in top)))
+    title = f"{html.escape(pathogen)} in {html.escape(region)}"
+    page = f"<!doctype html><title>{title}</title><h1>{title}</h1>{cards}" + "".join(f"<h2>{name}</h2>{body}" for name, body in panels if body)
+    if path:
+        with open(path, "w", encoding="utf-8") as out:
+            out.write(page)
+    return page

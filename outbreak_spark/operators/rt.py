@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from outbreak_spark.functions.expressions import phase
-from outbreak_spark.model import KEYS, ORDER, interval_of, serial_interval, series
+from outbreak_spark.model import ALIASES, DEFAULT_PATHOGEN, KEYS, ORDER, SERIAL_INTERVALS, interval_of, serial_interval, series
 
 
 def weights_of(pathogen: str | None, max_days: int = 20) -> list[float]:
@@ -18,16 +18,30 @@ def weights_of(pathogen: str | None, max_days: int = 20) -> list[float]:
     return [round(w, 15) for w in serial_interval(*interval_of(pathogen), max_days)]
 
 
-def infectiousness(df: DataFrame, weights: list[float], column: str = "new_cases") -> DataFrame:
-    """Adds lam: cases of the last days, each weighted by the chance that it infects today. One exchange and sort."""
-    w = series()
-    lam = F.lit(0.0)
-    for s in range(1, len(weights)):
-        lam = lam + F.coalesce(F.lag(column, s).over(w), F.lit(0)) * F.lit(weights[s])
+def weights_by_pathogen(max_days: int = 20) -> list[Column]:
+    """Each row's weights, by its pathogen's name or other name in any case; unknown ones have the default pathogen's."""
+    name, known = F.lower("pathogen"), {n: weights_of(n, max_days) for n in SERIAL_INTERVALS}
+    called = {n: [n, *(a for a, m in ALIASES.items() if m == n)] for n in known if n != DEFAULT_PATHOGEN}
+    out = []
+    for s in range(max_days + 1):
+        w = F
+        for n, names in called.items():
+            w = w.when(name.isin(names), F.lit(known[n][s]))
+        out.append(w.otherwise(F.lit(known[DEFAULT_PATHOGEN][s])))
+    return out
+
+
+def infectiousness(df: DataFrame, weights: list[float] | None = None, column: str = "new_cases") -> DataFrame:
+    """Adds lam: cases of the last days, each weighted by the chance that it infects today. One exchange and sort.
+    Without weights, each series has those of its pathogen."""
+    w, lam = series(), F.lit(0.0)
+    own = weights_by_pathogen() if weights is None else [F.lit(x) for x in weights]
+    for s in range(1, len(own)):
+        lam = lam + F.coalesce(F.lag(column, s).over(w), F.lit(0)) * own[s]
     return df.withColumn("lam", lam)
 
 
-def posterior(df: DataFrame, weights: list[float], window: int = 7, prior: tuple[float, float] = (1.0, 5.0), column: str = "new_cases") -> DataFrame:
+def posterior(df: DataFrame, weights: list[float] | None = None, window: int = 7, prior: tuple[float, float] = (1.0, 5.0), column: str = "new_cases") -> DataFrame:
     """Adds shape, scale, rt_mean and is_prior_dominated from day `window` on (records before it are left out). Without
     any infectiousness in the window they are null."""
     if window < 1:
@@ -43,7 +57,7 @@ def posterior(df: DataFrame, weights: list[float], window: int = 7, prior: tuple
     return x.withColumn("is_prior_dominated", known & (F.col("sum_i") + F.col("sum_lam") < prior[0])).drop("at")
 
 
-def estimate_rt(df: DataFrame, weights: list[float], window: int = 7, prior: tuple[float, float] = (1.0, 5.0), confidence: float = 0.95) -> DataFrame:
+def estimate_rt(df: DataFrame, weights: list[float] | None = None, window: int = 7, prior: tuple[float, float] = (1.0, 5.0), confidence: float = 0.95) -> DataFrame:
     """posterior() with rt_lower, rt_upper (quantiles, by Arrow batch) and phase."""
     x = posterior(df, weights, window, prior)
     schema = T.StructType([*x.schema.fields, T.StructField("rt_lower", T.DoubleType()), T.StructField("rt_upper", T.DoubleType())])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from outbreak_spark.model import KEYS, ORDER
 
-CURVE = "scenario_id string, day int, s double, e double, i double, r double, incidence double"
+CURVE = "scenario_id string, day int, s double, e double, i double, r double, incidence double, error string"
 
 
 def curves_of(r0, latent, infectious, population, infected, days: int, tol: float = 1e-8) -> np.ndarray:
@@ -27,26 +27,39 @@ def curves_of(r0, latent, infectious, population, infected, days: int, tol: floa
 
 def seir_curves(scenarios: DataFrame) -> DataFrame:
     """A row per day 0 .. t_max of each scenario: scenario_id, r0, latent_days, infectious_days, population,
-    initial_infected, t_max. Scenarios of a batch with the same t_max are integrated together."""
+    initial_infected, t_max. Scenarios of a batch with the same t_max are integrated together. One that can't be integrated
+    is a row without a day, with the reason in error."""
+    columns = ["scenario_id", "r0", "latent_days", "infectious_days", "population", "initial_infected", "t_max"]
+
+    def failed(p: pd.DataFrame, why: str) -> pd.DataFrame:
+        return pd.DataFrame({"scenario_id": p.scenario_id, "day": pd.array([None] * len(p), "Int32"), **{c: np.nan for c in ("s", "e", "i", "r", "incidence")}, "error": why})
+
+    def curves(p: pd.DataFrame, t_max: int) -> pd.DataFrame:
+        try:
+            c = curves_of(p.r0, p.latent_days, p.infectious_days, p.population, p.initial_infected, t_max)
+        except ArithmeticError as e:
+            return pd.concat([curves(p.iloc[k : k + 1], t_max) for k in range(len(p))]) if len(p) > 1 else failed(p, str(e))
+        n = c.shape[0]
+        flat = {name: c[:, k].T.ravel() for k, name in enumerate(("s", "e", "i", "r", "incidence"))}
+        return pd.DataFrame({"scenario_id": np.repeat(p.scenario_id.to_numpy(), n), "day": pd.array(np.tile(np.arange(n, dtype=np.int32), len(p)), "Int32"), **flat, "error": None})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for t_max, part in pdf.groupby("t_max"):
+            number = pdf[columns[1:]].astype(float)
+            good = np.isfinite(number).all(axis=1) & (number[["latent_days", "infectious_days", "population"]] > 0).all(axis=1) & (number[["r0", "initial_infected", "t_max"]] >= 0).all(axis=1)
+            if not good.all():
+                yield failed(pdf[~good], "periods and population must be positive, and no parameter null or negative")
+            for t_max, part in pdf[good].groupby("t_max"):
                 for at in range(0, len(part), 64):
-                    p = part.iloc[at : at + 64]
-                    c = curves_of(p.r0, p.latent_days, p.infectious_days, p.population, p.initial_infected, int(t_max))
-                    n = c.shape[0]
-                    flat = {name: c[:, k].T.ravel() for k, name in enumerate(("s", "e", "i", "r", "incidence"))}
-                    yield pd.DataFrame({"scenario_id": np.repeat(p.scenario_id.to_numpy(), n), "day": np.tile(np.arange(n, dtype=np.int32), len(p)), **flat})
+                    yield curves(part.iloc[at : at + 64], int(t_max))
 
-    columns = ["scenario_id", "r0", "latent_days", "infectious_days", "population", "initial_infected", "t_max"]
     return scenarios.select(*columns).mapInPandas(run, CURVE)
 
 
 def seir_summary(curves: DataFrame) -> DataFrame:
     """Per scenario: peak day and size of I, final_recovered, attack_rate, last day."""
     first = F.min_by(F.col("s") + F.col("e") + F.col("i") + F.col("r"), "day")
-    return curves.groupBy("scenario_id").agg(F.max_by("day", F.struct("i", -F.col("day"))).alias("peak_day"), F.max("i").alias("peak_infectious"), F.max_by("r", "day").alias("final_recovered"), (F.max_by("r", "day") / first).alias("attack_rate"), F.max("day").alias("last_day"))
+    return curves.groupBy("scenario_id").agg(F.max_by("day", F.struct("i", -F.col("day"))).alias("peak_day"), F.max("i").alias("peak_infectious"), F.max_by("r", "day").alias("final_recovered"), (F.max_by("r", "day") / first).alias("attack_rate"), F.max("day").alias("last_day"), F.max("error").alias("error"))
 
 
 class SeirTable:
@@ -62,20 +75,25 @@ def register(spark) -> None:
     spark.udtf.register("seir", F.udtf(SeirTable, returnType="day int, s double, e double, i double, r double, incidence double"))
 
 
-FIT = "region string, pathogen string, r0 double, latent_days double, infectious_days double, rmse double, r_squared double, n long"
+FIT = "region string, pathogen string, r0 double, latent_days double, infectious_days double, rmse double, r_squared double, n long, error string"
 
 
 def fit_seir(df: DataFrame, guess: tuple[float, float, float] = (2.5, 5.2, 2.9), least: int = 7) -> DataFrame:
-    """Reproduction number, latent and infectious days of each series, fitted to new_cases by simplex search; series
-    shorter than `least` give nulls. One task per series."""
+    """Reproduction number, latent and infectious days of each series, fitted to new_cases by simplex search over the
+    days whose count is known; fewer than `least` of them, or no positive population, give nulls and the reason in error.
+    One task per series."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         from outbreak_spark.kernels.epidemic import daily_infections, nelder_mead
 
         pdf = pdf.sort_values(ORDER)
-        seen, people = pdf.new_cases.to_numpy(float), float(pdf.population.iloc[0])
-        best, rmse, r2 = [None] * 3, None, None
-        if len(seen) >= least:
+        seen, people = pdf.new_cases.to_numpy(float), float(pd.to_numeric(pdf.population).max())
+        best, rmse, r2, error, known = [None] * 3, None, None, None, np.isfinite(seen)
+        if not people > 0:
+            error = "population must be positive"
+        elif known.sum() < least:
+            error = f"fewer than {least} known days"
+        else:
             positive = seen[seen > 0]
             infected = float(int(max(positive[0] if len(positive) else 1, 1)))
 
@@ -85,13 +103,13 @@ def fit_seir(df: DataFrame, guess: tuple[float, float, float] = (2.5, 5.2, 2.9),
                 model = daily_infections(p[0] / p[2], 1 / p[1], 1 / p[2], people, infected, len(seen) - 1)
                 if not np.isfinite(model).all():
                     return 1e10
-                return float(((model - seen) ** 2).mean())
+                return float(((model - seen)[known] ** 2).mean())
 
             p, _ = nelder_mead(loss, guess)
             best = [float(np.clip(p[0], 0.1, 30)), *(float(v) for v in np.clip(p[1:], 0.5, 30))]
             model = curves_of(*best, people, infected, len(seen) - 1)[:, 4, 0]
-            rest, total = float(((model - seen) ** 2).sum()), float(((seen - seen.mean()) ** 2).sum())
-            rmse, r2 = (rest / len(seen)) ** 0.5, 1 - rest / total if total else 0.0
-        return pd.DataFrame([[*key, *best, rmse, r2, len(seen)]], columns=["region", "pathogen", "r0", "latent_days", "infectious_days", "rmse", "r_squared", "n"])
+            rest, total = float(((model - seen)[known] ** 2).sum()), float(((seen[known] - seen[known].mean()) ** 2).sum())
+            rmse, r2 = (rest / known.sum()) ** 0.5, 1 - rest / total if total else 0.0
+        return pd.DataFrame([[*key, *best, rmse, r2, len(seen), error]], columns=[c.split()[0] for c in FIT.split(", ")])
 
     return df.select(*KEYS, ORDER, "new_cases", "population").groupBy(*KEYS).applyInPandas(run, FIT)

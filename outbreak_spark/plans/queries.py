@@ -57,23 +57,42 @@ def calendar_fill(spark, path):
 
 
 def rt_infectiousness(spark, path):
-    return rounded(day(rt.infectiousness(tables.from_events(spark, path), WEIGHTS).select(*KEYS, "date", "new_cases", "lam")))
+    return rounded(day(rt.infectiousness(tables.from_events(spark, path)).select(*KEYS, "date", "new_cases", "lam")))
 
 
 def rt_posterior(spark, path):
-    return rounded(day(rt.posterior(tables.from_events(spark, path), WEIGHTS).select(*KEYS, "date", "shape", "scale", "rt_mean")), 8)
+    return rounded(day(rt.posterior(tables.from_events(spark, path)).select(*KEYS, "date", "shape", "scale", "rt_mean")), 8)
 
 
 def rt_credible(spark, path):
-    return rounded(day(rt.estimate_rt(tables.from_events(spark, path), WEIGHTS).select(*KEYS, "date", "rt_mean", "rt_lower", "rt_upper", "phase", "is_prior_dominated")))
+    return rounded(day(rt.estimate_rt(tables.from_events(spark, path)).select(*KEYS, "date", "rt_mean", "rt_lower", "rt_upper", "phase", "is_prior_dominated")))
 
 
 def rt_current(spark, path):
-    return rounded(day(rt.current(rt.posterior(tables.from_events(spark, path), WEIGHTS), "date", "rt_mean")))
+    return rounded(day(rt.current(rt.posterior(tables.from_events(spark, path)), "date", "rt_mean")))
+
+
+def rt_by_pathogen(spark, path):
+    """Series of pathogens that have serial intervals of their own, by name and other name, and of unknown ones."""
+    name = F.when(F.col("pathogen") == "click", "Flu").when(F.col("pathogen") == "purchase", "measles").otherwise(F.col("pathogen"))
+    return rounded(day(rt.posterior(tables.from_events(spark, path).withColumn("pathogen", name)).select(*KEYS, "date", "lam", "rt_mean")))
+
+
+def dataset_contents(spark, path):
+    return metrics.contents(tables.from_events(spark, path)).select(*(F.array_join(c, ",").alias(c) for c in ("regions", "pathogens")))
+
+
+def first_issues(spark, path):
+    return quality.first_issues(messy_issues(spark, path)).select("rank", *KEYS, ORDER, "check_seq", "severity", "field")
+
+
+def dataset_issues(spark, path):
+    scored = quality.report(messy(spark, path), messy_issues(spark, path), by=tuple(KEYS))
+    return quality.dataset_issues(scored, completeness=0.95, by=tuple(KEYS)).select(*KEYS, ORDER, "severity", "field")
 
 
 def alert_levels(spark, path):
-    now = rt.current(rt.posterior(tables.from_events(spark, path), WEIGHTS), "rt_mean")
+    now = rt.current(rt.posterior(tables.from_events(spark, path)), "rt_mean")
     return now.select(*KEYS, alert_level(F.col("rt_mean")).alias("alert_level"))
 
 
@@ -133,11 +152,11 @@ def valid_records(spark, path):
 
 
 def spikes(spark, path):
-    return messy_issues(spark, path).where("message like 'Temporal spike%'").select(*KEYS, ORDER, F.col("value").cast("double").alias("fold"))
+    return messy_issues(spark, path).where("check = 'spike'").select(*KEYS, ORDER, F.col("value").cast("double").alias("fold"))
 
 
 def monotonicity(spark, path):
-    return messy_issues(spark, path).where("message like 'Non-monotonic%'").select(*KEYS, ORDER, "field", F.col("value").cast("long").alias("value"))
+    return messy_issues(spark, path).where("check = 'falling_total'").select(*KEYS, ORDER, "field", F.col("value").cast("long").alias("value"))
 
 
 def completeness(spark, path):
@@ -222,6 +241,11 @@ def changepoint_prob(spark, path):
     return rounded(changepoint.changepoints(tables.from_events(spark, path)).select(*KEYS, ORDER, "changepoint_prob", "is_changepoint"))
 
 
+def changepoint_summary(spark, path):
+    x = changepoint.summary(changepoint.changepoints(tables.from_events(spark, path)))
+    return rounded(x.select(*KEYS, "max_prob", "changepoints", F.array_join("indices", ",").alias("indices")))
+
+
 def changepoint_runlength(spark, path):
     return rounded(changepoint.changepoints(tables.from_shipments(spark, path)).select("region", ORDER, "map_run_length", "expected_run_length", "run_dropped"))
 
@@ -294,7 +318,7 @@ def driver_trends(spark, path):
 
 def situation_reports(spark, path):
     x = tables.from_events(spark, path)
-    now = rt.current(rt.estimate_rt(x, WEIGHTS), "rt_mean", "phase")
+    now = rt.current(rt.estimate_rt(x), "rt_mean", "phase")
     score = quality.report(x, quality.issues(x, as_of=AS_OF), by=tuple(KEYS))
     return report.envelope(report.situation_report(metrics.epi_metrics(x), now, score))
 
@@ -303,7 +327,7 @@ def situation_reports(spark, path):
 ITERATIVE = [rt_credible, epi_metrics, incidence_interval, changepoint_runlength, seir_curve, seir_summary, seir_fit, synthetic_epidemic, multi_wave, forecasts, ensemble_forecast, shap_drivers, situation_reports]
 RELATIONAL = [
     surveillance_daily, cumulative_counts, calendar_fill, rt_infectiousness, rt_posterior, rt_current, alert_levels, cfr_wilson, attack_rate, wilson_edges, incidence_rate, growth_rate, doubling_time, quality_issues, quality_score, quality_overall, valid_records, spikes, monotonicity, completeness, pii_detect_counts,
-    pii_redact_docs, pii_types, pii_audit, dataset_hash, lag_features, rolling_curve, top_days, dataset_summary, peak_day, epiweek_dates, fluview_records, population_join, pathogen_profiles, serial_interval_pmf, changepoint_prob, ensemble_weights, shap_time_buckets, top_drivers, driver_trends,
+    pii_redact_docs, pii_types, pii_audit, dataset_hash, lag_features, rolling_curve, top_days, dataset_summary, peak_day, epiweek_dates, fluview_records, population_join, pathogen_profiles, serial_interval_pmf, changepoint_prob, changepoint_summary, rt_by_pathogen, dataset_contents, first_issues, dataset_issues, ensemble_weights, shap_time_buckets, top_drivers, driver_trends,
 ]
 
 QUERIES = {f.__name__: f for f in RELATIONAL + ITERATIVE}

@@ -8,7 +8,7 @@ from outbreak_spark.functions.expressions import alert_level, iso_date, phase, q
 from outbreak_spark.kernels.gamma import chi2_quantile, gamma_cdf, gamma_quantile
 from outbreak_spark.kernels.trees import Booster
 from outbreak_spark.model import RECORD, serial_interval
-from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, quality, rt, seir
+from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, quality, report, rt, seir
 from outbreak_spark.sources import records, synthetic, tables
 from pyspark.sql import functions as F
 
@@ -55,14 +55,14 @@ def test_zero_cases_with_deaths_is_no_issue(spark):
 def test_looking_back(spark):
     rows = [record(k, date=f"2024-01-0{k + 1}", new_cases=n, cumulative_cases=c) for k, (n, c) in enumerate([(100, 10_000), (100, 20_000), (5000, 15_000), (100, None), (100, 12_000)])]
     found = checked(spark, rows)[1].collect()
-    assert [(i.record_index, i.field) for i in found if "spike" in i.message] == [(2, "new_cases")]
-    assert [(i.record_index, i.field) for i in found if "monotonic" in i.message] == [(2, "cumulative_cases")]  # the null breaks the chain
+    assert [(i.record_index, i.field) for i in found if i.check == "spike"] == [(2, "new_cases")]
+    assert [(i.record_index, i.field) for i in found if i.check == "falling_total"] == [(2, "cumulative_cases")]  # the null breaks the chain
 
 
 def test_series_are_apart_unless_asked(spark):
     rows = [record(0, region="a", new_cases=1), record(1, region="b", new_cases=500)]
-    assert not [i for i in checked(spark, rows)[1].collect() if "spike" in i.message]
-    assert [i for i in checked(spark, rows, partitioned=False)[1].collect() if "spike" in i.message]
+    assert not [i for i in checked(spark, rows)[1].collect() if i.check == "spike"]
+    assert [i for i in checked(spark, rows, partitioned=False)[1].collect() if i.check == "spike"]
 
 
 def test_empty_records(spark):
@@ -128,6 +128,9 @@ def test_schema_errors(spark):
 def test_hash_depends_on_values_only(spark):
     h = lambda cases, parts: privacy.dataset_hash(frame(spark, cases).repartition(parts), ["new_cases"], ["region", "record_index"]).first().data_hash
     assert h([100, 2], 1) == h([100, 2], 3) != h([101, 2], 1) and len(h([1], 1)) == 64
+    two = lambda *rows: privacy.dataset_hash(spark.createDataFrame(rows, "a string, b string, i int"), ["a", "b"], ["i"]).first().data_hash
+    every = [two(("a|b", "c", 1)), two(("a", "b|c", 1)), two(("ab", "c", 1)), two((None, "c", 1)), two(("\\N", "c", 1)), two(("-", "c", 1)), two(("a", "c", 1), ("a", "c", 2)), two(("a", "c", 1), ("a", "c", 1))]
+    assert len(set(every)) == len(every)
     assert len(privacy.python_hash([{"cases": 100}])) == 64
 
 
@@ -164,8 +167,75 @@ def test_metrics(spark):
     i = metrics.incidence_rate(spark.createDataFrame([(500, 1_000_000), (0, 1_000_000)], "cases long, population long")).collect()
     assert i[0].incidence.value == 50 and i[0].incidence.lower_ci < 50 < i[0].incidence.upper_ci
     assert i[1].incidence.lower_ci == 0 and abs(i[1].incidence.upper_ci - -math.log(0.025) / 10) < 1e-9
-    with pytest.raises(Exception, match="positive"):
-        metrics.attack_rate(spark.createDataFrame([(1, 0)], "cases long, population long")).collect()
+
+
+def test_bad_series_dont_stop_others(spark):
+    rows = spark.createDataFrame([("a", 50, 1, 1000), ("b", 5, 1, 0), ("c", -5, 1, 1000), ("d", 5, -1, None)], "k string, cases long, deaths long, population long")
+    got = {r.k: r for r in metrics.incidence_rate(metrics.attack_rate(metrics.case_fatality(rows))).collect()}
+    assert got["a"].error is None and got["a"].incidence.lower_ci < 5000 < got["a"].incidence.upper_ci and got["a"].cfr.value == 0.02
+    assert got["b"].attack_rate is None and got["b"].incidence.value is None and got["b"].incidence.upper_ci is None and "population" in got["b"].error and got["b"].cfr.value == 0.2
+    assert got["c"].cfr is None and "negative" in got["c"].error and got["d"].cfr is None and got["d"].incidence.value is None
+    s = spark.createDataFrame([("a", 2.0, 5.0, 3.0, 1e5, 1.0, 5), ("b", 2.0, 0.0, 3.0, 1e5, 1.0, 5), ("c", 2.0, 5.0, 3.0, None, 1.0, 5), ("d", 2.0, 5.0, 3.0, 1e5, 1.0, None)], "scenario_id string, r0 double, latent_days double, infectious_days double, population double, initial_infected double, t_max int")
+    out = seir.seir_curves(s).collect()
+    assert sorted((r.scenario_id, r.day is None, r.error is None) for r in out) == sorted([("a", False, True)] * 6 + [(k, True, False) for k in "bcd"])
+    good = [3 * k + 5 for k in range(12)]
+    rows = frame(spark, good, population=1000).unionByName(frame(spark, good, "zero", population=0)).unionByName(frame(spark, [None, *good[1:]], "hole", population=1000)).unionByName(frame(spark, [None] * 12, "null", population=1000))
+    fits = {r.region: r for r in seir.fit_seir(rows).collect()}
+    assert fits["r"].error is None and fits["hole"].error is None and fits["hole"].rmse is not None and (fits["zero"].r0, fits["null"].r0) == (None, None) and fits["zero"].error and fits["null"].error
+
+
+def test_weights_by_pathogen(spark):
+    rows = frame(spark, [k * k % 23 + 1 for k in range(40)])
+    for name, known in (("FLU", "influenza"), ("Measles", "measles"), ("covid", "covid-19"), ("other", "covid-19")):
+        own = rows.withColumn("pathogen", F.lit(name))
+        a, b = (sorted((r.record_index, r.rt_mean) for r in rt.posterior(own, *w).collect()) for w in ((), (rt.weights_of(known),)))
+        assert a == b
+
+
+def test_first_issues_and_validation(spark):
+    rows = [record(k, new_cases=-1 if k % 2 else 100, population=None if k == 3 else 1000, date="2024-01-15") for k in range(60)]
+    r = quality.validation(spark.createDataFrame(rows, RECORD), as_of=datetime.date(2024, 6, 1)).first()
+    assert r.total_records == 60 and len(r.issues) == 20 and [(i.record_index, i.check) for i in r.issues[:4]] == [(1, "negative"), (3, "negative"), (3, "population"), (5, "negative")]
+    r = quality.validation(spark.createDataFrame([], RECORD)).first()
+    assert [(i.record_index, i.check, i.severity) for i in r.issues] == [(-1, "empty", "error")]
+    holes = spark.createDataFrame([record(k, date=None, region=None) for k in range(3)], RECORD)
+    assert (-1, "incomplete") in [(i.record_index, i.check) for i in quality.validation(holes).first().issues]
+
+
+def test_changepoint_summary_and_tail(spark):
+    out = changepoint.changepoints(frame(spark, [10] * 50 + [1000] * 50), threshold=0.005)
+    r = changepoint.summary(out).first()
+    assert r.changepoints == 100 and r.indices == list(range(100)) and r.drops == 1 and abs(r.max_prob - 0.01) < 1e-6
+    a, b = changepoint.RunLengths(), changepoint.RunLengths(tail=0)
+    for k in range(300):
+        x, y = (s.step(math.sin(k) + (k > 150) * 5) for s in (a, b))
+        assert x[1] == y[1] and abs(x[2] - y[2]) < 1e-6
+    assert len(b.p) == 301
+
+
+def test_panels_and_dashboard(spark, tmp_path):
+    daily = frame(spark, [k % 7 + 5 for k in range(90)], population=1000).withColumn("cumulative_cases", F.col("new_cases")).withColumn("new_deaths", F.lit(0).cast("long"))
+    now, out = rt.estimate_rt(daily), changepoint.changepoints(daily, threshold=0.005)
+    assert report.rt_panel(now).count() == 30 and report.changepoint_overlay(daily, out.where("record_index < 95")).count() == 90
+    curve = seir.seir_curves(spark.createDataFrame([("a", 2.0, 5.0, 3.0, 1e5, 1.0, 100)], "scenario_id string, r0 double, latent_days double, infectious_days double, population double, initial_infected double, t_max int"))
+    assert report.model_overlay(daily, curve).count() == 60
+    drivers = spark.createDataFrame([("r", "p", "lag_1", 2.5, 1, "a<b")], "region string, pathogen string, feature string, importance double, rank int, label string")
+    f = forecast.forecast(daily, horizon=7)
+    assert report.forecast_panel(daily, f).where("kind = 'history'").count() == 60
+    page = report.dashboard(daily, metrics.epi_metrics(daily), "r", "p", rt=now, forecasts=f, drivers=drivers, changes=out, curve=curve, path=str(tmp_path / "p.html"), points=30)
+    assert all(f"<h2>{x}" in page for x in ("Daily cases", "Likeliest changes", "Reproduction", "Model", "Forecast", "Drivers")) and "a&lt;b" in page and (tmp_path / "p.html").read_text() == page
+    assert report.dashboard(daily, metrics.epi_metrics(daily), "x", "p") == ""
+
+
+def test_pii_spans(spark):
+    texts = ["mail a.b@c.org or 555-123-4567, fax: 555-123-4567", "é 😀 x@y.io", "", None, "\x01 see 10.0.0.1"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", privacy.pii_spans(F.col("t")).alias("s"), privacy.pii_matches(F.col("t")).alias("m")).orderBy("k").collect()
+    assert got[0].s and got[1].s and got[4].s and not got[2].s and not got[3].s
+    units = lambda t: "".join(t)
+    for r, t in zip(got, texts, strict=True):
+        assert [(x.name, x.match) for x in r.s] == [(x.name, x.match) for x in r.m]
+        assert all(units(t)[x.start : x.end] == x.match for x in r.s)
 
 
 def test_growth(spark):

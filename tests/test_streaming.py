@@ -33,3 +33,14 @@ def test_counts_rt_and_changepoints(spark, tmp_path):
     want = {r.date: r.rt_mean for r in rt.posterior(batch, rt.weights_of("flu")).collect()}
     assert len(got) == 33 and all(abs(got[d] - want[d]) < 1e-9 for d in got)
     assert len(run(spark, online.stream_changepoints(source()), "changes")) == 40
+
+    # Days without events count 0, as the calendar of a batch.
+    (tmp_path / "gaps").mkdir()
+    holes = daily.where("day(day) not in (11, 12, 25)")
+    holes.coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "gaps"))
+    source = lambda: spark.readStream.schema(daily.schema).parquet(str(tmp_path / "gaps"))
+    got = {r.day: r.rt_mean for r in run(spark, online.stream_rt(source(), rt.weights_of("flu")), "gapped")}
+    batch = tables.cumulative(tables.calendar(holes.selectExpr(*KEYS, "day as date", "new_cases", "0L as new_deaths", "1L as population")))
+    want = {r.date: r.rt_mean for r in rt.posterior(batch, rt.weights_of("flu")).collect()}
+    assert set(got) == set(want) and len(got) == 33 and all(abs(got[d] - want[d]) < 1e-9 for d in got)
+    assert len(run(spark, online.stream_changepoints(source()), "gapped_changes")) == 40
