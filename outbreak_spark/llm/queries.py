@@ -7,6 +7,7 @@ from outbreak_spark.llm.langid import op1_language_id
 from outbreak_spark.llm.lblm import op4_log_bilinear_lm
 from outbreak_spark.llm.mixing import op7_pivotal_mix
 from outbreak_spark.llm.packing import op5_pack_sum_of_squares
+from outbreak_spark.llm.sql import OP2_SQL, OP9_SQL, OP10_SQL
 from outbreak_spark.llm.suffix_dedup import op10_suffix_dedup
 from outbreak_spark.llm.tokenio import op6_token_files
 from outbreak_spark.llm.topk import OP3_SQL, op3_cover_tree_top_k
@@ -24,4 +25,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_cover_tree_top_k": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_grouped_prefix_join": OP2_SQL, "op3_cover_tree_top_k": OP3_SQL, "op9_cover_dedup": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
