@@ -36,6 +36,8 @@ SAMPLE, OFTEN, MOST_FREQUENT = 32, 3, 1_000_000
 SMALL = 12
 #: Rounds in which members of longer lists try so many partners each, as long as there are FEW pairs to try.
 TRIES, FEW = (4, 24), 200
+#: Text bytes of a flush: what the JVM holds of it, a row and its Arrow copies, is as large as its prefixes.
+FLUSH = 8 << 20
 #: Members of a list that one row holds when it is compared with itself: longer lists are several rows.
 CHUNK = 4096
 
@@ -95,7 +97,7 @@ def indexed(rows: DataFrame, total: int, k: int, percent: int, work: Workspace,
 
     def prefixes(batches):
         cache, late = WordHashes(), hot.value
-        for flush, (names, keys, texts) in flushes(batches, ["doc_id", KEY, "text"]):
+        for flush, (names, keys, texts) in flushes(batches, ["doc_id", KEY, "text"], FLUSH):
             table, tokens, owner, seen = np.zeros((3, len(texts)), "<u8"), [], [], set()
             for i, text in enumerate(texts):
                 s = shingle_set(text, k, cache)
@@ -304,6 +306,8 @@ def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent:
         for batch in batches:
             out = [shingle_set(t, k, cache).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(out, pa.binary())], ["v", "s"])
+        out = cache = None
+        release()
 
     found = work.attach(rows, f"{name}-one", one, KEY, "inner").select("v", "text").mapInArrow(sets, "v long, s binary")
     found = work.write(found, f"{name}-sets").groupBy("v").agg(F.max("s").alias("s"))
@@ -321,6 +325,7 @@ def verify(pairs: DataFrame, rows: DataFrame, table: DataFrame, k: int, percent:
                 keep.append(100 * same >= percent * (len(both) - same))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        release()
 
     joined = pairs.join(found.withColumnRenamed("v", "a"), "a").join(found.select(F.col("v").alias("b"), F.col("s").alias("t")), "b")
     links = work.write(joined.select("a", "b", "s", "t").mapInArrow(link, "a long, b long"), f"{name}-links")
