@@ -126,6 +126,18 @@ def spread_join(rows: DataFrame, side: DataFrame, on: str, size: str) -> DataFra
     return rows.join(few, on).unionByName(rows.join(F.broadcast(side.where(F.col(size) > limit).select(on)), on, "left_anti").join(many, on))
 
 
+def plain(x):
+    """An object's attributes, for a broadcast: workers may not find its class by name, and closures bring it along."""
+    return vars(x)
+
+
+def rebuilt(kind: type, attributes: dict):
+    """The object of a class with such attributes."""
+    x = kind.__new__(kind)
+    vars(x).update(attributes)
+    return x
+
+
 def row_key() -> Column:
     """A key of 128 bits that equal rows share; doc_id may be null or repeat with another text."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00null"))

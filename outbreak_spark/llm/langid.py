@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import U64, fresh, mix, release
+from outbreak_spark.llm.common import U64, fresh, mix, plain, rebuilt, release
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")  # and numbers such as one half, which aren't decimal digits: taken out below
@@ -101,6 +101,14 @@ class KneserNey:
             self.grams.append(Table(h, discounted + weight[ctx_at] * lower))
             self.contexts.append(Table(ctx_hash, weight))
 
+    def plain(self) -> dict:
+        """Attributes without classes of this package: see common.plain."""
+        return plain(self) | {name: [plain(t) for t in getattr(self, name)] for name in ("grams", "contexts")}
+
+    @classmethod
+    def rebuilt(cls, attributes: dict) -> KneserNey:
+        return rebuilt(cls, attributes | {name: [rebuilt(Table, t) for t in attributes[name]] for name in ("grams", "contexts")})
+
     def probabilities(self, points: np.ndarray, k: int) -> np.ndarray:
         """Of the last of each k letters after the others, a column per language."""
         n = len(self.languages)
@@ -213,11 +221,11 @@ def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, lim
     lm = KneserNey({lang: g for lang, g in got.items() if g}) if any(got.values()) else None
     if lm is None:
         return None
-    shared = spark.sparkContext.broadcast(lm)
+    shared = spark.sparkContext.broadcast(lm.plain())
 
     def calibrate(batches):
         fresh()
-        scorer, rng = Scorer(shared.value), random.Random(1)
+        scorer, rng = Scorer(KneserNey.rebuilt(shared.value)), random.Random(1)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             mixed = []
@@ -258,12 +266,12 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
     schema = type(first)(first.fields[:])
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("cross_entropy", "double"), ("letters", "long"), ("rejected", "boolean")):
         schema = schema.add(name, kind)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.lm.plain(), model.limit) if model else None)
     place = "text" if "text" in columns else "__text"
 
     def run(batches):
         fresh()
-        own = shared.value
+        own = Model(KneserNey.rebuilt(shared.value[0]), shared.value[1]) if shared.value else None
         scorer = Scorer(own.lm) if own else None
         for batch in batches:
             texts = [t or "" for t in batch.column(place).to_pylist()]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import SENT, SUMMARY, U64, Exchange, WordHashes, Workspace, flushes, release, text_bytes
+from outbreak_spark.llm.common import SENT, SUMMARY, U64, Exchange, WordHashes, Workspace, flushes, plain, rebuilt, release, text_bytes
 
 #: Head classes, of which the first GROUPS are those of the rest; dimensions; vectors that the rest shares as context.
 CLASSES, GROUPS, DIMS, SHARED = 1088, 64, 32, 16
@@ -310,12 +310,12 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
     by_leaf = [leaf.column(c).to_numpy() for c in ("leaf", "n", "v")]
     vocabulary = Vocabulary(best.column("h").to_numpy().view(U64), best.column("n").to_numpy(), size.n or 0, size.v or 0, size.ends or 0, *by_leaf)
     model = LogBilinear(vocabulary)
-    shared = spark.sparkContext.broadcast(vocabulary)  # bounded: CLASSES words and FINEST leaves
+    shared = spark.sparkContext.broadcast(plain(vocabulary))  # bounded: CLASSES words and FINEST leaves
     for step in range(ROUNDS if size.n else 0):
         start = spark.sparkContext.broadcast(model.flat())
 
         def local(batches, start=start, step=step):
-            known, part = shared.value, TaskContext.get().partitionId()
+            known, part = rebuilt(Vocabulary, shared.value), TaskContext.get().partitionId()
             own, seen = LogBilinear(known).load(start.value), 0
             for batch in batches:
                 for flush, training, lens, words, at in _read(batch):
@@ -348,7 +348,7 @@ def score(docs: DataFrame, is_training, most_buckets: int = 512) -> DataFrame:
     trained = spark.sparkContext.broadcast(model.flat())
 
     def scored(left, right):
-        known = shared.value
+        known = rebuilt(Vocabulary, shared.value)
         own = LogBilinear(known).load(trained.value)
         given: dict[int, list] = {}
         for flush, a, d in zip(*(right.column(x).to_pylist() for x in ("flush", "a", "d")), strict=True):

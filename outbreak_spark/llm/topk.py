@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import Workspace
+from outbreak_spark.llm.common import Workspace, plain, rebuilt
 from outbreak_spark.llm.vectors import dealt, every, matrix, queries_of, ranked, valid
 
 LEAF = 64
@@ -225,17 +225,18 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
     if not near.num_rows:
         near = base.orderBy("vec_id").limit(max(1, wanted)).toArrow()
     pivots = Pivots(np.unique(shrink * quantised(near), axis=0) if near.num_rows else np.zeros((1, 1)))
-    place = spark.sparkContext.broadcast(pivots)  # at most PIVOTS rows
+    place = spark.sparkContext.broadcast(plain(pivots))  # at most PIVOTS rows
 
     def assign(batches):
+        pivots = rebuilt(Pivots, place.value)
         for batch in batches:
-            at, away = place.value.nearest(shrink * quantised(batch)) if len(batch) else (np.empty(0, np.int64), np.empty(0))
+            at, away = pivots.nearest(shrink * quantised(batch)) if len(batch) else (np.empty(0, np.int64), np.empty(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64()), pa.array(away)], [*batch.schema.names, "pivot", "away"])
 
     placed = work.write(base.mapInArrow(assign, "vec_id long, embedding array<double>, pivot long, away double"), "placed")
     for r in placed.groupBy("pivot").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect():  # a row per pivot
         pivots.radius[r.pivot], pivots.blocks[r.pivot] = r.radius * (1 + 1e-9) + 1e-6, -(-r.n // candidates)
-    full = spark.sparkContext.broadcast(pivots)
+    full = spark.sparkContext.broadcast(plain(pivots))
     asked = work.write(queries_of(base, is_query), "queries")
     qb = max(1, -(-asked.count() // queries))
     blocks = F.element_at(F.array(*(F.lit(int(b)) for b in pivots.blocks)), (F.col("pivot") + 1).cast("int"))
@@ -244,11 +245,12 @@ def top_k(table: DataFrame, is_query, k: int = 5, scale: int = 256, candidates:
 
     def route(first: bool):
         def run(batches):
+            pivots = rebuilt(Pivots, full.value)
             for batch in batches:
                 q = shrink * quantised(batch)
                 if not len(q):
                     continue
-                bounds = full.value.bounds(q)
+                bounds = pivots.bounds(q)
                 best = bounds.argmax(1)
                 if first:
                     who, to = np.arange(len(q)), best
