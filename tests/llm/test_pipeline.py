@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def test_a_query_per_operator():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 13)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.fixture(scope="module")

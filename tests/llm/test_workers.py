@@ -22,7 +22,7 @@ for name in sys.argv[3:]:
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_workers_need_no_package(tmp_path):
-    names = ["op1_language_id", "op3_cover_tree_top_k", "op4_log_bilinear_lm"]
+    names = ["op1_language_id", "op3_cover_tree_top_k", "op4_log_bilinear_lm", "op12_tag_path_ratios"]
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", RUN, ROOT, DATA, *names], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert out.returncode == 0, out.stderr[-2000:]
