@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from outbreak_spark.functions.expressions import wilson, z_of
+from outbreak_spark.functions.quantiles import gamma_quantile
 from outbreak_spark.model import KEYS, ORDER
 
 
@@ -44,22 +42,10 @@ def incidence_rate(df: DataFrame, cases: str = "cases", population: str = "popul
     tail = (1 - confidence) / 2
     bad = F.col(population).isNull() | (F.col(population) <= 0) | (F.col(cases) < 0)
     df = _error(df, bad, "incidence needs a positive population and cases of 0 or more")
-    df = df.withColumn("__value", F.when(~bad, F.try_divide(F.col(cases), F.col(population)) * per))
-    schema = T.StructType([*df.schema.fields, T.StructField("__lower", T.DoubleType()), T.StructField("__upper", T.DoubleType())])
-
-    def interval(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from outbreak_spark.kernels.gamma import gamma_quantile
-
-        for batch in batches:
-            k = batch.column(cases).to_numpy(zero_copy_only=False).astype(float)
-            k[k < 0] = float("nan")
-            cols = [gamma_quantile(tail, k, 1.0), gamma_quantile(1 - tail, k + 1, 1.0)]  # half a chi-square of 2k
-            cols[0][k == 0] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, from_pandas=True) for c in cols)], schema.names)
-
-    out = df.mapInArrow(interval, schema)
+    k = F.when(~bad, F.col(cases).cast("double"))
+    lower = F.when(k == 0, 0.0).otherwise(gamma_quantile(tail, k))  # half a chi-square of 2k
     scale = F.when(~bad, F.try_divide(F.lit(float(per)), F.col(population)))
-    return out.withColumn("incidence", F.struct(F.col("__value").alias("value"), (F.col("__lower") * scale).alias("lower_ci"), (F.col("__upper") * scale).alias("upper_ci"), F.lit("exact_poisson").alias("method"))).drop("__value", "__lower", "__upper")
+    return df.withColumn("incidence", F.struct((F.try_divide(k, F.col(population)) * per).alias("value"), (lower * scale).alias("lower_ci"), (gamma_quantile(1 - tail, k + 1) * scale).alias("upper_ci"), F.lit("exact_poisson").alias("method")))
 
 
 def growth(df: DataFrame, window: int = 7, confidence: float = 0.95) -> DataFrame:

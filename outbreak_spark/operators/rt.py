@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from outbreak_spark.functions.expressions import phase
+from outbreak_spark.functions.quantiles import gamma_quantile
 from outbreak_spark.model import ALIASES, DEFAULT_PATHOGEN, KEYS, ORDER, SERIAL_INTERVALS, interval_of, serial_interval, series
 
 
@@ -58,20 +55,11 @@ def posterior(df: DataFrame, weights: list[float] | None = None, window: int = 7
 
 
 def estimate_rt(df: DataFrame, weights: list[float] | None = None, window: int = 7, prior: tuple[float, float] = (1.0, 5.0), confidence: float = 0.95) -> DataFrame:
-    """posterior() with rt_lower, rt_upper (quantiles, by Arrow batch) and phase."""
-    x = posterior(df, weights, window, prior)
-    schema = T.StructType([*x.schema.fields, T.StructField("rt_lower", T.DoubleType()), T.StructField("rt_upper", T.DoubleType())])
-    tail = (1 - confidence) / 2
-
-    def quantiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from outbreak_spark.kernels.gamma import gamma_quantile
-
-        for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shape", "scale"))
-            cols = [pa.array(gamma_quantile(p, a, b), from_pandas=True) for p in (tail, 1 - tail)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], schema.names)
-
-    return x.mapInArrow(quantiles, schema).withColumn("phase", phase(F.col("rt_lower"), F.col("rt_upper")))
+    """posterior() with rt_lower, rt_upper (quantiles) and phase."""
+    tail, x = (1 - confidence) / 2, posterior(df, weights, window, prior)
+    for name, p in (("rt_lower", tail), ("rt_upper", 1 - tail)):
+        x = x.withColumn(name, gamma_quantile(p, F.col("shape"), F.col("scale")))
+    return x.withColumn("phase", phase(F.col("rt_lower"), F.col("rt_upper")))
 
 
 def current(df: DataFrame, *columns: str) -> DataFrame:
