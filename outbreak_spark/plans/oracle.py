@@ -107,15 +107,15 @@ def _wilson(k: str, n: str) -> str:
   CASE WHEN {n} > 0 THEN CASE WHEN {root} >= 0 THEN round(least(1.0, ({mid} + {half}) / {c}), 9) ELSE 1.0 END END AS upper_ci"""
 
 
-def _quantiles(source: str) -> str:
-    """gq(a, p, x): quantiles of gamma variables of the shapes a and shares p that `source` lists, by bisection over the
+def _quantiles(source: str, name: str = "gq") -> str:
+    """A table of that name, (a, p, x): quantiles of gamma variables of the shapes a and shares p that `source` lists, by bisection over the
     power series of the distribution function."""
     series = "list_sum(list_transform(range(0, CAST(80 + 12 * sqrt(a) AS BIGINT)), lambda n: exp((a + n) * ln(m) - m - lgamma(a + n + 1))))"
-    return f"""gb(a, p, lo, hi, k) AS (
+    return f"""{name}b(a, p, lo, hi, k) AS (
   SELECT DISTINCT a::DOUBLE, p::DOUBLE, 0.0::DOUBLE, 2 * a::DOUBLE + 30, 0 FROM ({source}) AS s
   UNION ALL SELECT a, p, CASE WHEN c < p THEN m ELSE lo END, CASE WHEN c < p THEN hi ELSE m END, k + 1
-  FROM (SELECT *, {series} AS c FROM (SELECT *, (lo + hi) / 2 AS m FROM gb WHERE k < 64) AS h) AS s
-), gq AS (SELECT a, p, (lo + hi) / 2 AS x FROM gb WHERE k = 64)"""
+  FROM (SELECT *, {series} AS c FROM (SELECT *, (lo + hi) / 2 AS m FROM {name}b WHERE k < 64) AS h) AS s
+), {name} AS (SELECT a, p, (lo + hi) / 2 AS x FROM {name}b WHERE k = 64)"""
 
 
 def _quoted(text: str) -> str:
@@ -126,13 +126,13 @@ TEXTS = "x AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT
 COUNTS = f"{TEXTS}, n AS (\n  " + "\n  UNION ALL ".join(f"SELECT id, '{name}' AS type, len(regexp_extract_all(text, {_quoted('(?i)' + p)})) AS n FROM x" for name, p, _ in PATTERNS) + "\n)"
 
 
-def _redact() -> str:
+def _redact(texts: str = TEXTS, keys: str = "id") -> str:
     steps, before = [], "x"
     for k, (name, p, r) in enumerate(PATTERNS):
         had = "[]::VARCHAR[]" if k == 0 else "types"
-        steps.append(f"s{k} AS (SELECT id, regexp_replace(text, {_quoted(p)}, '{r}', 'gi') AS text, CASE WHEN regexp_matches(text, {_quoted(p)}, 'i') THEN list_append({had}, '{name}') ELSE {had} END AS types FROM {before})")
+        steps.append(f"s{k} AS (SELECT {keys}, regexp_replace(text, {_quoted(p)}, '{r}', 'gi') AS text, CASE WHEN regexp_matches(text, {_quoted(p)}, 'i') THEN list_append({had}, '{name}') ELSE {had} END AS types FROM {before})")
         before = f"s{k}"
-    return f"WITH {TEXTS}, " + ",\n".join(steps) + f"\nSELECT id, text AS clean, array_to_string(list_sort(types), ',') AS types FROM {before}"
+    return f"WITH {texts}, " + ",\n".join(steps) + f"\nSELECT {keys}, text AS clean, array_to_string(list_sort(types), ',') AS types FROM {before}"
 
 
 def _lags() -> str:
@@ -177,11 +177,35 @@ RT_CREDIBLE = f"""{RT}, {_quantiles("SELECT shape AS a, p FROM rt, (VALUES (0.02
   SELECT region, pathogen, record_index, date, shape * scale AS rt_mean, l.x * scale AS rt_lower, u.x * scale AS rt_upper, coalesce(sl > 0 AND si + sl < 1.0, false) AS is_prior_dominated
   FROM rt LEFT JOIN gq l ON l.a = shape AND l.p < 0.5 LEFT JOIN gq u ON u.a = shape AND u.p > 0.5
 ), rp AS (SELECT *, CASE WHEN rt_lower IS NULL THEN 'unknown' WHEN rt_lower > 1 THEN 'growing' WHEN rt_upper < 1 THEN 'declining' ELSE 'stable' END AS phase FROM rc)"""
-INCIDENCE = f"""{TOTALS}, {_quantiles("SELECT cases::DOUBLE AS a, 0.025::DOUBLE AS p FROM t WHERE cases > 0 UNION ALL SELECT cases + 1.0, 0.975 FROM t")}, ic AS (
+INCIDENCE = f"""{TOTALS}, {_quantiles("SELECT cases::DOUBLE AS a, 0.025::DOUBLE AS p FROM t WHERE cases > 0 UNION ALL SELECT cases + 1.0, 0.975 FROM t", "gi")}, ic AS (
   SELECT t.*, cases / population::DOUBLE * 100000 AS value, CASE WHEN cases = 0 THEN 0.0 ELSE l.x END * 100000 / population AS lower_ci, u.x * 100000 / population AS upper_ci
-  FROM t LEFT JOIN gq l ON l.a = cases AND l.p < 0.5 LEFT JOIN gq u ON u.a = cases + 1 AND u.p > 0.5
+  FROM t LEFT JOIN gi l ON l.a = cases AND l.p < 0.5 LEFT JOIN gi u ON u.a = cases + 1 AND u.p > 0.5
 )"""
 
+
+def _interval(k: str, n: str, name: str) -> str:
+    return _wilson(k, n).replace(" AS value", f" AS {name}").replace("lower_ci", f"{name}_lower").replace("upper_ci", f"{name}_upper").replace(", 9)", ", 6)")
+
+
+_TEXTS = "x AS (SELECT 'document' AS kind, coalesce(source, 'none') AS part, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'conversation', coalesce(role, 'none'), conv_id || '-' || turn, text FROM conversations)"
+DEIDENTIFIED = _redact(_TEXTS, "kind, part, id").replace("SELECT kind, part, id, text AS clean", "SELECT kind, part, id, length(text)::BIGINT AS n_chars, text AS clean")
+SURVEILLANCE = f"""WITH RECURSIVE {RT_CREDIBLE}, {INCIDENCE.removeprefix(EV + ", ")}, {GROWTH.removeprefix(EV + ", ")}, sp AS (
+  SELECT region, pathogen, count(*) FILTER (before > 0 AND new_cases / before > 3.0) AS spikes FROM (SELECT *, lag(new_cases) OVER (PARTITION BY region, pathogen ORDER BY record_index) AS before FROM ev) GROUP BY 1, 2
+), sc AS (SELECT *, 0.8 + 0.2 * (1.0 - least(spikes * 0.02, 0.2))::DOUBLE AS quality_score FROM sp
+), nw AS (SELECT region, pathogen, arg_max(rt_mean, record_index) AS rt_mean, arg_max(rt_lower, record_index) AS rt_lower, arg_max(rt_upper, record_index) AS rt_upper, arg_max(phase, record_index) AS phase FROM rp WHERE rt_mean IS NOT NULL GROUP BY 1, 2
+), sm AS (
+  SELECT ic.*, {_interval("deaths", "cases", "cfr")}, {_interval("cases", "population", "attack_rate")}, quality_score, CASE WHEN records >= 7 THEN rate END AS growth_rate, CASE WHEN records >= 7 AND rate > 1e-12 THEN ln(2) / rate END AS doubling_time, rt_mean, rt_lower, rt_upper, phase
+  FROM ic LEFT JOIN w USING (region, pathogen) LEFT JOIN sc USING (region, pathogen) LEFT JOIN nw USING (region, pathogen)
+)
+SELECT region, pathogen, CASE WHEN sm.rt_mean < 0.8 THEN 'GREEN' WHEN sm.rt_mean < 1.0 THEN 'YELLOW' WHEN sm.rt_mean < 1.5 THEN 'ORANGE' WHEN sm.rt_mean >= 1.5 THEN 'RED' END AS series_alert_level,
+  CASE WHEN quality_score >= 0.7 THEN 'PASS' WHEN quality_score >= 0.5 THEN 'CONDITIONAL' ELSE 'FAIL' END AS series_gate, round(quality_score, 6) AS series_quality_score, cases AS series_cases, deaths AS series_deaths,
+  cfr AS series_cfr, cfr_lower AS series_cfr_lower, cfr_upper AS series_cfr_upper, attack_rate AS series_attack_rate, attack_rate_lower AS series_attack_rate_lower, attack_rate_upper AS series_attack_rate_upper,
+  round(value, 6) AS series_incidence, round(lower_ci, 6) AS series_incidence_lower, round(upper_ci, 6) AS series_incidence_upper, round(growth_rate, 6) AS series_growth_rate, round(doubling_time, 6) AS series_doubling_time,
+  round(sm.rt_mean, 6) AS series_rt_mean, round(sm.rt_lower, 6) AS series_rt_lower, round(sm.rt_upper, 6) AS series_rt_upper, sm.phase AS series_phase, CAST(peak_date AS VARCHAR) AS series_peak_date, peak_cases AS series_peak_cases,
+  upper(pathogen[1]) || pathogen[2:] || ' in ' || region || ': ' || format('{{:,}}', cases) || ' cases, ' || format('{{:,}}', deaths) || ' deaths, Rt ' || coalesce(printf('%.2f', sm.rt_mean), 'unknown') || ' (' || coalesce(sm.phase, 'unknown') || ').' AS series_summary,
+  d.record_index, CAST(d.date AS VARCHAR) AS date, ev.new_cases, round(d.rt_mean, 6) AS rt_mean, round(d.rt_lower, 6) AS rt_lower, round(d.rt_upper, 6) AS rt_upper, d.phase
+FROM sm LEFT JOIN rp d USING (region, pathogen) LEFT JOIN ev USING (region, pathogen, record_index)"""
+
 SQL = {
     "rt_credible": f"WITH RECURSIVE {RT_CREDIBLE} SELECT region, pathogen, CAST(date AS VARCHAR) AS date, round(rt_mean, 6) AS rt_mean, round(rt_lower, 6) AS rt_lower, round(rt_upper, 6) AS rt_upper, phase, is_prior_dominated FROM rp",
     "incidence_interval": f"WITH RECURSIVE {INCIDENCE} SELECT region, pathogen, round(value, 9) AS value, round(lower_ci, 9) AS lower_ci, round(upper_ci, 9) AS upper_ci FROM ic",
