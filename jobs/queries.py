@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import deidentify, surveillance
 from outbreak_spark.model import KEYS
 from outbreak_spark.plans import oracle
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of a new name under spark.checkpoint.dir, or where that is unset, under a local temporary one, which only a
-    local master allows."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, where[len("file://") :], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from outbreak_spark.shared import new_folder
 
 
 def job1_deidentify(spark: SparkSession, path: str) -> DataFrame:
