@@ -45,24 +45,36 @@ def seir(beta, sigma, gamma, n, start: np.ndarray, days: int, tol: float = 1e-8)
     return np.stack(out)
 
 
-def daily_infections(beta: float, sigma: float, gamma: float, n: float, infected: float, days: int, steps: int = 8) -> np.ndarray:
-    """incidence() of one scenario by fixed fourth-order steps on plain floats: for searches that need many curves."""
-
-    def slope(s: float, e: float, i: float) -> tuple[float, float, float]:
-        force = max(beta * s * i / n, 0.0)
-        return -force, force - sigma * e, sigma * e - gamma * i
-
-    h, y, out = 1 / steps, (n - infected, 0.0, infected), [0.0]
-    for _ in range(days):
-        before = y[0]
-        for _ in range(steps):
-            a = slope(*y)
-            b = slope(*(v + h / 2 * d for v, d in zip(y, a, strict=True)))
-            c = slope(*(v + h / 2 * d for v, d in zip(y, b, strict=True)))
-            d = slope(*(v + h * x for v, x in zip(y, c, strict=True)))
-            y = tuple(v + h / 6 * (p + 2 * q + 2 * r + t) for v, p, q, r, t in zip(y, a, b, c, d, strict=True))
-        out.append(max(before - y[0], 0.0))
-    return np.array(out)
+def daily_infections(beta, sigma, gamma, n, infected, days: int, steps: int = 8) -> np.ndarray:
+    """incidence() of many scenarios (columns), a row per day 0 .. days, by fixed fourth-order steps: for searches that need
+    many curves."""
+    beta, sigma, gamma, n, infected = np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, float)) for v in (beta, sigma, gamma, n, infected)))
+    rate, h, m = beta / n, 1 / steps, len(beta)
+    y, out = np.stack([n - infected, np.zeros(m), infected]), np.zeros((days + 1, m))
+    k, at, total = np.empty((3, m)), np.empty((3, m)), np.empty((3, m))
+
+    def slope(v: np.ndarray) -> np.ndarray:
+        force = np.maximum(rate * v[0] * v[2], 0.0)
+        moved = sigma * v[1]
+        np.negative(force, out=k[0])
+        np.subtract(force, moved, out=k[1])
+        np.subtract(moved, gamma * v[2], out=k[2])
+        return k
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        for day in range(1, days + 1):
+            before = y[0].copy()
+            for _ in range(steps):
+                np.copyto(total, slope(y))
+                for ahead, weight in ((h / 2, 2.0), (h / 2, 2.0), (h, 1.0)):
+                    np.multiply(k, ahead, out=at)
+                    at += y
+                    slope(at)
+                    total += k * weight if weight != 1.0 else k
+                total *= h / 6
+                y += total
+            np.maximum(before - y[0], 0.0, out=out[day])
+    return out
 
 
 def incidence(curve: np.ndarray) -> np.ndarray:
@@ -71,30 +83,36 @@ def incidence(curve: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros((1, s.shape[1])), np.maximum(s[:-1] - s[1:], 0.0)])
 
 
-def nelder_mead(f: Callable[[np.ndarray], float], start, most: int = 2000, tol: float = 1e-6) -> tuple[np.ndarray, float]:
-    """A local minimum by reflection, expansion, contraction and shrinking of a simplex."""
-    x = np.array(start, float)
-    points = [x] + [np.where(np.arange(len(x)) == k, np.where(x != 0, 1.05 * x, 0.00025), x) for k in range(len(x))]
-    values = [f(p) for p in points]
-    for _ in range(most):
-        order = np.argsort(values, kind="stable")
-        points, values = [points[k] for k in order], [values[k] for k in order]
-        if max(np.abs(p - points[0]).max() for p in points[1:]) <= tol and abs(values[-1] - values[0]) <= tol:
+def nelder_mead(f: Callable[[np.ndarray, np.ndarray], np.ndarray], start, count: int, most: int = 2000, tol: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """Local minima of `count` functions in lock-step, by reflection, expansion, contraction and shrinking of a simplex each.
+
+    f(which, points): values of the functions of those numbers, each at its points (functions x points x dimensions). Every
+    round asks for all four points that a simplex may move to at once; functions that have converged are dropped.
+    """
+    x, dims = np.array(start, float), len(start)
+    corner = np.stack([x] + [np.where(np.arange(dims) == k, np.where(x != 0, 1.05 * x, 0.00025), x) for k in range(dims)])
+    points, live = np.repeat(corner[None], count, 0), np.arange(count)
+    values = f(live, points) if count else np.zeros((0, dims + 1))
+    found, least = np.zeros((count, dims)), np.zeros(count)
+    steps = np.array([1.0, 2.0, 0.5, -0.5])
+    for turn in range(most + 1):
+        order = np.argsort(values, axis=1, kind="stable")
+        points, values = np.take_along_axis(points, order[:, :, None], 1), np.take_along_axis(values, order, 1)
+        done = (np.abs(points[:, 1:] - points[:, :1]).max((1, 2)) <= tol) & (np.abs(values[:, -1] - values[:, 0]) <= tol) if turn < most else np.ones(len(live), bool)
+        found[live[done]], least[live[done]] = points[done, 0], values[done, 0]
+        points, values, live = points[~done], values[~done], live[~done]
+        if not len(live):
             break
-        centre = np.mean(points[:-1], axis=0)
-        try_at = lambda t: (p := centre + t * (centre - points[-1]), f(p))  # noqa: B023, E731
-        p, v = try_at(1.0)
-        if v < values[0]:
-            q, w = try_at(2.0)
-            points[-1], values[-1] = (q, w) if w < v else (p, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = p, v
-        else:
-            q, w = try_at(0.5 if v < values[-1] else -0.5)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = q, w
-            else:
-                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
-                values = [values[0]] + [f(p) for p in points[1:]]
-    best = int(np.argmin(values))
-    return points[best], values[best]
+        centre, rows = points[:, :-1].mean(1), np.arange(len(live))
+        tried = centre[:, None] + steps[:, None] * (centre - points[:, -1])[:, None]
+        v = f(live, tried)
+        inner = np.where(v[:, 0] < values[:, -1], 2, 3)
+        best, second = v[:, 0] < values[:, 0], v[:, 0] < values[:, -2]
+        contracted = v[rows, inner] < np.minimum(v[:, 0], values[:, -1])
+        pick = np.select([best & (v[:, 1] < v[:, 0]), best | second, contracted], [1, 0, inner], -1)
+        move, shrink = np.flatnonzero(pick >= 0), np.flatnonzero(pick < 0)
+        points[move, -1], values[move, -1] = tried[move, pick[move]], v[move, pick[move]]
+        if len(shrink):
+            points[shrink, 1:] = points[shrink, :1] + 0.5 * (points[shrink, 1:] - points[shrink, :1])
+            values[shrink, 1:] = f(live[shrink], points[shrink, 1:])
+    return found, least

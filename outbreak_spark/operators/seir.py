@@ -9,20 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from outbreak_spark.kernels import epidemic
 from outbreak_spark.model import KEYS, ORDER
 
 CURVE = "scenario_id string, day int, s double, e double, i double, r double, incidence double, error string"
 
 
 def curves_of(r0, latent, infectious, population, infected, days: int, tol: float = 1e-8) -> np.ndarray:
-    from outbreak_spark.kernels.epidemic import incidence, seir
-
     r0, latent, infectious, population, infected = (np.atleast_1d(np.asarray(v, float)) for v in (r0, latent, infectious, population, infected))
     if (latent <= 0).any() or (infectious <= 0).any():
         raise ValueError("periods must be positive")
     start = np.stack([population - infected, np.zeros_like(infected), infected, np.zeros_like(infected)])
-    curve = seir(r0 / infectious, 1 / latent, 1 / infectious, population, start, days, tol)
-    return np.concatenate([curve, incidence(curve)[:, None]], 1)
+    curve = epidemic.seir(r0 / infectious, 1 / latent, 1 / infectious, population, start, days, tol)
+    return np.concatenate([curve, epidemic.incidence(curve)[:, None]], 1)
 
 
 def seir_curves(scenarios: DataFrame) -> DataFrame:
@@ -78,38 +77,66 @@ def register(spark) -> None:
 FIT = "region string, pathogen string, r0 double, latent_days double, infectious_days double, rmse double, r_squared double, n long, error string"
 
 
+#: Series that a task fits together; series-days of curves that it holds at once.
+TOGETHER, CELLS = 256, 1 << 20
+
+
+def fit_together(seen: np.ndarray, known: np.ndarray, people: np.ndarray, guess: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters, rmse and r_squared of series (rows; padded with days that aren't known), by one lock-step search."""
+    count, days = seen.shape
+    positive = seen > 0
+    first = np.where(positive.any(1), seen[np.arange(count), positive.argmax(1)], 1.0)
+    infected, n = np.floor(np.maximum(first, 1.0)), known.sum(1)
+
+    def loss(which: np.ndarray, points: np.ndarray) -> np.ndarray:
+        flat, own = points.reshape(-1, 3), np.repeat(which, points.shape[1])
+        fine = (flat[:, 0] > 0) & (flat[:, 0] <= 50) & (flat[:, 1:] >= 0.25).all(1) & (flat[:, 1:] <= 100).all(1)
+        out, good = np.full(len(flat), 1e10), np.flatnonzero(fine)
+        for at in range(0, len(good), max(1, CELLS // days)):
+            some = good[at : at + max(1, CELLS // days)]
+            p, s = flat[some], own[some]
+            model = epidemic.daily_infections(p[:, 0] / p[:, 2], 1 / p[:, 1], 1 / p[:, 2], people[s], infected[s], days - 1).T
+            off = np.where(known[s], model - seen[s], 0.0)
+            value = (off**2).sum(1) / n[s]
+            out[some] = np.where(np.isfinite(model).all(1) & np.isfinite(value), value, 1e10)
+        return out.reshape(points.shape[:2])
+
+    p, _ = epidemic.nelder_mead(loss, guess, count)
+    best = np.c_[np.clip(p[:, 0], 0.1, 30), np.clip(p[:, 1:], 0.5, 30)]
+    rmse, r2 = np.zeros(count), np.zeros(count)
+    for at in range(0, count, 64):
+        s = slice(at, at + 64)
+        off = np.where(known[s], curves_of(best[s, 0], best[s, 1], best[s, 2], people[s], infected[s], days - 1)[:, 4].T - seen[s], 0.0)
+        rest, mean = (off**2).sum(1), (np.where(known[s], seen[s], 0.0).sum(1) / n[s])[:, None]
+        total = np.where(known[s], (seen[s] - mean) ** 2, 0.0).sum(1)
+        rmse[s], r2[s] = np.sqrt(rest / n[s]), np.where(total > 0, 1 - rest / np.where(total > 0, total, 1), 0.0)
+    return best, rmse, r2
+
+
 def fit_seir(df: DataFrame, guess: tuple[float, float, float] = (2.5, 5.2, 2.9), least: int = 7) -> DataFrame:
     """Reproduction number, latent and infectious days of each series, fitted to new_cases by simplex search over the
     days whose count is known; fewer than `least` of them, or no positive population, give nulls and the reason in error.
-    One task per series."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        from outbreak_spark.kernels.epidemic import daily_infections, nelder_mead
-
-        pdf = pdf.sort_values(ORDER)
-        seen, people = pdf.new_cases.to_numpy(float), float(pd.to_numeric(pdf.population).max())
-        best, rmse, r2, error, known = [None] * 3, None, None, None, np.isfinite(seen)
-        if not people > 0:
-            error = "population must be positive"
-        elif known.sum() < least:
-            error = f"fewer than {least} known days"
-        else:
-            positive = seen[seen > 0]
-            infected = float(int(max(positive[0] if len(positive) else 1, 1)))
-
-            def loss(p: np.ndarray) -> float:
-                if not 0 < p[0] <= 50 or (p[1:] < 0.25).any() or (p[1:] > 100).any():
-                    return 1e10
-                model = daily_infections(p[0] / p[2], 1 / p[1], 1 / p[2], people, infected, len(seen) - 1)
-                if not np.isfinite(model).all():
-                    return 1e10
-                return float(((model - seen)[known] ** 2).mean())
-
-            p, _ = nelder_mead(loss, guess)
-            best = [float(np.clip(p[0], 0.1, 30)), *(float(v) for v in np.clip(p[1:], 0.5, 30))]
-            model = curves_of(*best, people, infected, len(seen) - 1)[:, 4, 0]
-            rest, total = float(((model - seen)[known] ** 2).sum()), float(((seen[known] - seen[known].mean()) ** 2).sum())
-            rmse, r2 = (rest / known.sum()) ** 0.5, 1 - rest / total if total else 0.0
-        return pd.DataFrame([[*key, *best, rmse, r2, len(seen), error]], columns=[c.split()[0] for c in FIT.split(", ")])
-
-    return df.select(*KEYS, ORDER, "new_cases", "population").groupBy(*KEYS).applyInPandas(run, FIT)
+    A series is one row with its counts as an array; a task fits TOGETHER of them, of like length, in lock-step."""
+    rows = df.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct(ORDER, F.col("new_cases").cast("double").alias("c")))), lambda x: x["c"]).alias("seen"), F.max(F.col("population").cast("double")).alias("people"))
+    tasks = max(1, -(-df.select(*KEYS).distinct().count() // TOGETHER))
+    names = [c.split()[0] for c in FIT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf.assign(n=pdf.seen.map(len)).sort_values("n", kind="stable")
+            for at in range(0, len(pdf), TOGETHER):
+                part = pdf.iloc[at : at + TOGETHER]
+                seen = np.full((len(part), int(part.n.max())), np.nan)
+                for k, x in enumerate(part.seen):
+                    seen[k, : len(x)] = np.array(x, float)
+                known, people = np.isfinite(seen), part.people.to_numpy(float)
+                seen = np.where(known, seen, 0.0)
+                peopled, enough = people > 0, known.sum(1) >= least
+                good = peopled & enough
+                out = part[KEYS].assign(r0=np.nan, latent_days=np.nan, infectious_days=np.nan, rmse=np.nan, r_squared=np.nan, n=part.n, error=np.where(~peopled, "population must be positive", np.where(~enough, f"fewer than {least} known days", None)))
+                if good.any():
+                    best, rmse, r2 = fit_together(seen[good], known[good], people[good], guess)
+                    out.loc[good, ["r0", "latent_days", "infectious_days", "rmse", "r_squared"]] = np.c_[best, rmse, r2]
+                yield out[names]
+
+    return rows.repartition(tasks).mapInPandas(run, FIT)

@@ -3,8 +3,9 @@ import math
 
 import numpy as np
 import pytest
-from outbreak_spark.functions import privacy
+from outbreak_spark.functions import privacy, quantiles
 from outbreak_spark.functions.expressions import alert_level, iso_date, phase, quality_gate, seir_periods, wilson
+from outbreak_spark.kernels import epidemic
 from outbreak_spark.kernels.gamma import chi2_quantile, gamma_cdf, gamma_quantile
 from outbreak_spark.kernels.trees import Booster
 from outbreak_spark.model import RECORD, serial_interval
@@ -371,3 +372,44 @@ def test_calendar_fills_gaps(spark):
 def test_fit_goes_on_until_it_converges(spark):
     got = seir.fit_seir(frame(spark, [round(100 - 99 * k / 29) for k in range(30)], population=100_000)).first()
     assert abs(got.infectious_days - 0.6537) < 0.01 and abs(got.r0 - 0.9525) < 0.01
+
+
+def test_fits_in_lock_step_equal_fits_alone():
+    rng = np.random.default_rng(5)
+    series = [np.round(seir.curves_of(r0, 5, 3, 1e5, 10, days - 1)[:, 4, 0] + rng.integers(0, 3, days)) for r0, days in ((1.5, 40), (2.5, 60), (3.5, 25), (0.9, 30))]
+    longest = max(map(len, series))
+    seen, known = (np.array([np.pad(x, (0, longest - len(x))) for x in xs]) for xs in (series, [np.ones(len(x), bool) for x in series]))
+    together = seir.fit_together(seen, known, np.full(4, 1e5), (2.5, 5.2, 2.9))
+    for k, x in enumerate(series):
+        alone = seir.fit_together(x[None], np.ones((1, len(x)), bool), np.array([1e5]), (2.5, 5.2, 2.9))
+        assert np.allclose(alone[0][0], together[0][k], rtol=1e-4) and np.allclose([alone[1][0], alone[2][0]], [together[1][k], together[2][k]], rtol=1e-4)
+        for d in range(3):  # no neighbour fits better
+            for f in (0.98, 1.02):
+                p = together[0][k] * np.where(np.arange(3) == d, f, 1.0)
+                infected = max(1.0, x[x > 0][0])
+                other = seir.curves_of(*p, 1e5, infected, len(x) - 1)[:, 4, 0]
+                assert ((other - x) ** 2).mean() ** 0.5 >= together[1][k] - 1e-3
+
+
+def test_simplex_search_of_many():
+    def f(which, points):
+        a = 1.0 + which[:, None]
+        return (a - points[..., 0]) ** 2 + 10 * (points[..., 1] - points[..., 0] ** 2) ** 2
+
+    found, least = epidemic.nelder_mead(f, (0.5, 0.5), 5, most=5000, tol=1e-9)
+    assert np.allclose(found, [[a, a * a] for a in range(1, 6)], atol=1e-3) and (least < 1e-6).all()
+    assert epidemic.nelder_mead(f, (0.5, 0.5), 0)[0].shape == (0, 2)
+
+
+def test_quantiles_in_the_plan(spark):
+    """Shapes below, at and above where the method changes, and values that have no quantile."""
+    shapes = [0.05, 0.3, 1.0, 1.5, 4.0, 19.5, 20.0, 20.5, 101.0, 3e3, 1e5]
+    rows = spark.createDataFrame([(a,) for a in [*shapes, 0.0, -1.0, None]], "a double").coalesce(1)
+    for p in (0.0001, 0.025, 0.5, 0.975, 0.9999):
+        got = [r.q for r in rows.select(quantiles.gamma_quantile(p, F.col("a"), 3.0).alias("q")).collect()]
+        assert got[-3:] == [None] * 3 and np.allclose(got[:-3], gamma_quantile(p, shapes, 3.0), rtol=1e-9)
+    assert abs(rows.where("a = 101").select(quantiles.gamma_quantile(0.025, F.col("a"), 0.01)).first()[0] - 0.8226615879) < 1e-9  # fixed value
+    logs = [r.g for r in rows.where("a > 0").select(quantiles.log_gamma(F.col("a")).alias("g")).collect()]
+    assert np.allclose(logs, [math.lgamma(a) for a in shapes], rtol=1e-13, atol=1e-13)
+    plan = rows.select(quantiles.gamma_quantile(0.5, F.col("a")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
