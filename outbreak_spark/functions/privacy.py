@@ -33,14 +33,49 @@ PATTERNS = [
 ]
 
 
+#: What a text must hold if any pattern of a group is to match: few texts pass, and one look serves the group.
+TRIGGERS = {
+    "digit": "[0-9]",
+    "word": r"(?i)\b(?:MRN|Medical|Health|Beneficiary|Member|License|Cert|Serial|Device|fingerprint|retina|voice|facial|dna|Patient|Subject|Participant)",
+    "title": r"(?i)\b(?:Mr|Mrs|Ms|Dr|Prof)\b",
+    "at": "@",
+    "scheme": "://",
+    "underscore": "_",
+}
+GROUPS = {
+    "digit": {"address", "zip_code", "date_mmddyyyy", "date_text", "phone", "fax", "ssn", "account_number", "ip_address"},
+    "word": {"mrn", "health_plan_id", "license", "device_serial", "biometric", "unique_id"},
+    "title": {"name"},
+    "at": {"email"},
+    "scheme": {"url"},
+    "underscore": {"photo_file"},
+}
+
+
 def _any_case(pattern: str) -> Column:
     return F.lit(f"(?i){pattern}")
 
 
+def _triggers(text: Column) -> Column:
+    """A struct of booleans: which groups' patterns may match."""
+    plain = {"at", "scheme", "underscore"}
+    return F.struct(*((F.contains(text, F.lit(t)) if g in plain else F.rlike(text, F.lit(t))).alias(g) for g, t in TRIGGERS.items()))
+
+
+def _may_match(name: str, triggers: Column) -> Column:
+    """Whether the pattern may match a text of such triggers. A group without a trigger always may."""
+    group = next((g for g, names in GROUPS.items() if name in names), None)
+    return triggers[group] if group else F.lit(True)
+
+
 def pii_counts(text: Column) -> Column:
     """map<name, matches in the original text>, of the patterns that match."""
-    counts = F.map_from_arrays(F.array(*(F.lit(n) for n, _, _ in PATTERNS)), F.array(*(F.regexp_count(text, _any_case(p)) for _, p, _ in PATTERNS)))
-    return F.map_filter(F.coalesce(counts, F.create_map().cast("map<string,int>")), lambda _, n: n > 0)
+
+    def counted(s: Column) -> Column:
+        each = F.array(*(F.struct(F.lit(n).alias("name"), F.when(_may_match(n, s["g"]), F.regexp_count(s["t"], _any_case(p))).otherwise(0).alias("n")) for n, p, _ in PATTERNS))
+        return F.map_from_entries(F.filter(each, lambda e: e["n"] > 0))
+
+    return F.transform(F.array(F.struct(text.alias("t"), _triggers(text).alias("g"))), counted)[0]
 
 
 def pii_matches(text: Column) -> Column:
@@ -75,12 +110,17 @@ def pii_spans(text: Column) -> Column:
 
 def _fold(text: Column) -> Column:
     """Struct t, n: the text after all patterns in turn, and the names of those that matched. Each step binds the state
-    once, so that expressions don't double."""
+    once, so that expressions don't double. Triggers of the original text g hold until something is replaced; from then on
+    every pattern is tried on what has become of it."""
 
     def step(name: str, pattern: str, put: str):
-        return lambda s: F.struct(F.regexp_replace(s["t"], _any_case(pattern), F.lit(put)).alias("t"), F.when(F.rlike(s["t"], _any_case(pattern)), F.array_append(s["n"], F.lit(name))).otherwise(s["n"]).alias("n"))
+        def run(s: Column) -> Column:
+            hit = ((F.size(s["n"]) > 0) | _may_match(name, s["g"])) & F.rlike(s["t"], _any_case(pattern))
+            return F.when(hit, F.struct(F.regexp_replace(s["t"], _any_case(pattern), F.lit(put)).alias("t"), F.array_append(s["n"], F.lit(name)).alias("n"), s["g"].alias("g"))).otherwise(s)
+
+        return run
 
-    state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("n"))
+    state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("n"), _triggers(text).alias("g"))
     for one in PATTERNS:
         state = F.transform(F.array(state), step(*one))[0]
     return state

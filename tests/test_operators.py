@@ -414,3 +414,26 @@ def test_quantiles_in_the_plan(spark):
     assert np.allclose(logs, [math.lgamma(a) for a in shapes], rtol=1e-13, atol=1e-13)
     plan = rows.select(quantiles.gamma_quantile(0.5, F.col("a")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_triggers_leave_no_match_out(spark):
+    """Redaction and counts equal the patterns tried one by one, on texts put together from pieces."""
+    import random
+    import re
+
+    pieces = ["Dr. Jane Doe", "12 Oak Hill Road", "12345-6789", "01/15/2024", "January 5, 2024", "(555) 123-4567", "fax: 555-123-4567", "a.b@c.org", "123-45-6789", "MRN: AB12345", "Medical Record No: 1234567", "Member ID: XK99201", "Acct No: 12345678"]
+    pieces += ["License No: CA-77812", "cert # ABCDE", "1HGCM82633A004352", "ABCDEFGHJKLMNPRST", "Serial No: SN-00912", "https://x.org/p?q=1", "192.168.1.100", "a retina scan", "dna sample", "jane_photo.jpg", "Patient ID: P-001", "plain words", "[REDACTED_ID]", "ms"]
+    rng, texts = random.Random(4), [None, ""]
+    texts += pieces + [rng.choice([" ", "", "\n", ", "]).join(rng.choices(pieces, k=rng.randint(2, 5))) for _ in range(150)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = privacy.strip_pii(rows, "t", "clean", "types").withColumn("counts", privacy.pii_counts(F.col("t"))).orderBy("k").collect()
+    for r, text in zip(got, texts, strict=True):
+        counts, types, now = {}, [], text
+        for name, pattern, put in privacy.PATTERNS if text is not None else ():
+            own = re.compile(pattern, re.IGNORECASE | re.ASCII)
+            if n := len(own.findall(text)):
+                counts[name] = n
+            if own.search(now):
+                types.append(name)
+                now = own.sub(put, now)
+        assert (r.clean, r.types, r.counts) == (now, sorted(types), counts)
