@@ -54,9 +54,9 @@ ALIASES = {"covid": "covid-19", "flu": "influenza"}
 DEFAULT_PATHOGEN = "covid-19"
 
 
-def series(df: DataFrame | None = None, partitioned: bool = True):
+def series():
     """The window of a series in record order; the same everywhere, so that one exchange serves all."""
-    return Window.partitionBy(*KEYS).orderBy(ORDER) if partitioned else Window.partitionBy().orderBy(ORDER)
+    return Window.partitionBy(*KEYS).orderBy(ORDER)
 
 
 def serial_interval(mean: float, std: float, max_days: int = 20) -> list[float]:

@@ -72,7 +72,14 @@ CHECKS = [
     ("warning", "date", "day > DATE '2024-01-25'"), ("error", "date", "date <> '' AND day IS NULL"), ("error", "date", "date IS NULL OR date = ''"), ("warning", "new_cases", "p_cases > 0 AND new_cases / p_cases > 3.0"),
     ("warning", "cumulative_cases", "cumulative_cases < p_cum"), ("warning", "cumulative_deaths", "cumulative_deaths < p_dead"), ("warning", "date", "day < p_day"),
 ]
-ISSUES = MESSY + ", i AS (\n  " + "\n  UNION ALL ".join(f"SELECT region, pathogen, record_index, {k} AS check_seq, '{s}' AS severity, '{f}' AS field FROM x WHERE {t}" for k, (s, f, t) in enumerate(CHECKS)) + "\n)"
+
+
+def _issues(messy: str, first: int = 0) -> str:
+    return messy + ", i AS (\n  " + "\n  UNION ALL ".join(f"SELECT region, pathogen, record_index, {k} AS check_seq, '{s}' AS severity, '{f}' AS field FROM x WHERE {t}" for k, (s, f, t) in enumerate(CHECKS) if k >= first) + "\n)"
+
+
+ISSUES = _issues(MESSY)
+_LIST = MESSY.replace("y AS (\n  SELECT *,", "y AS (\n  SELECT * REPLACE (record_index * 1000 + substr(region, 2, 1)::BIGINT * 100 + ascii(pathogen) AS record_index),").replace("FROM y WINDOW w AS (PARTITION BY region, pathogen ORDER", "FROM y WINDOW w AS (ORDER")
 
 
 def _score(by: str) -> str:
@@ -229,6 +236,7 @@ SQL = {
     "growth_rate": f"WITH {GROWTH} SELECT region, pathogen, n, round(rate, 7) AS growth_rate, round(se, 7) AS se, round(rate - {Z} * se, 7) AS growth_lower, round(rate + {Z} * se, 7) AS growth_upper FROM w",
     "doubling_time": f"WITH {GROWTH} SELECT region, pathogen, round(CASE WHEN rate > 1e-12 THEN ln(2) / rate END, 4) AS doubling_time FROM w",
     "quality_issues": f"WITH {ISSUES} SELECT * FROM i",
+    "list_issues": f"WITH {_issues(_LIST, 11)} SELECT * FROM i",
     "quality_score": _score("region, pathogen") + SCORED.format(keys="region, pathogen, "),
     "quality_overall": _score("") + SCORED.format(keys=""),
     "valid_records": f"WITH {ISSUES} SELECT region, pathogen, record_index, date, new_cases, population FROM m ANTI JOIN (SELECT * FROM i WHERE severity = 'error') e USING (region, pathogen, record_index)",

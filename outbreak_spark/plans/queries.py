@@ -142,6 +142,14 @@ def _score(x: DataFrame) -> DataFrame:
     return rounded(x.select("total_records", "valid_records", "errors", "warnings", "completeness", "quality_score", "is_acceptable", "gate", *(c for c in KEYS if c in x.columns)))
 
 
+def list_issues(spark, path):
+    """Checks that look back, over one list of all records in the order of date and series."""
+    place = F.col(ORDER) * 1000 + F.substring("region", 2, 1).cast("long") * 100 + F.ascii("pathogen")
+    x = messy(spark, path).withColumn(ORDER, place)
+    found = quality.issues(x, as_of=AS_OF, partitioned=False).where("check_seq >= 11")
+    return found.select(*KEYS, ORDER, "check_seq", "severity", "field")
+
+
 def quality_score(spark, path):
     return _score(quality.report(messy(spark, path), messy_issues(spark, path), by=tuple(KEYS)))
 
@@ -329,7 +337,7 @@ def situation_reports(spark, path):
 #: Rows only: no SQL for these.
 ITERATIVE = [changepoint_runlength, seir_curve, seir_summary, seir_fit, synthetic_epidemic, multi_wave, forecasts, ensemble_forecast, shap_drivers, situation_reports]
 RELATIONAL = [
-    rt_credible, epi_metrics, incidence_interval, surveillance_daily, cumulative_counts, calendar_fill, rt_infectiousness, rt_posterior, rt_current, alert_levels, cfr_wilson, attack_rate, wilson_edges, incidence_rate, growth_rate, doubling_time, quality_issues, quality_score, quality_overall, valid_records, spikes, monotonicity, completeness, pii_detect_counts,
+    rt_credible, epi_metrics, incidence_interval, surveillance_daily, cumulative_counts, calendar_fill, rt_infectiousness, rt_posterior, rt_current, alert_levels, cfr_wilson, attack_rate, wilson_edges, incidence_rate, growth_rate, doubling_time, quality_issues, list_issues, quality_score, quality_overall, valid_records, spikes, monotonicity, completeness, pii_detect_counts,
     pii_redact_docs, pii_types, pii_audit, dataset_hash, lag_features, rolling_curve, top_days, dataset_summary, peak_day, epiweek_dates, fluview_records, population_join, pathogen_profiles, serial_interval_pmf, changepoint_prob, changepoint_summary, rt_by_pathogen, dataset_contents, first_issues, dataset_issues, ensemble_weights, shap_time_buckets, top_drivers, driver_trends,
 ]
 

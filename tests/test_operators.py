@@ -9,7 +9,7 @@ from outbreak_spark.kernels import epidemic
 from outbreak_spark.kernels.gamma import chi2_quantile, gamma_cdf, gamma_quantile
 from outbreak_spark.kernels.trees import Booster
 from outbreak_spark.model import RECORD, serial_interval
-from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, quality, report, rt, seir
+from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, ordered, quality, report, rt, seir
 from outbreak_spark.sources import records, synthetic, tables
 from pyspark.sql import functions as F
 
@@ -437,3 +437,23 @@ def test_triggers_leave_no_match_out(spark):
                 types.append(name)
                 now = own.sub(put, now)
         assert (r.clean, r.types, r.counts) == (now, sorted(types), counts)
+
+
+def test_looking_back_over_one_list(spark):
+    """Against a plain loop, over blocks of all sizes, with gaps and nulls; and no exchange into one partition but of blocks."""
+    rng = np.random.default_rng(8)
+    at = np.sort(rng.choice(400, 120, replace=False))
+    rows = [(int(k), None if rng.random() < 0.2 else int(rng.integers(-5, 50)), f"s{k % 3}") for k in at]
+    table = spark.createDataFrame(rows, "record_index long, v long, name string").repartition(5)
+    for size in (1, 3, 50, 1000):
+        out = ordered.with_running_sum(ordered.with_previous(table, ["v", "name"], size=size), ["v"], size=size).orderBy("record_index").collect()
+        before, total = (None, None), 0
+        for r, (k, v, name) in zip(out, rows, strict=True):
+            total += v or 0
+            assert (r.record_index, r.v, r.name, r["__v"], r["__name"], r.sum_v) == (k, v, name, *before, total)
+            before = v, name
+    assert ordered.with_previous(table.limit(0), ["v"]).count() == 0
+    nulls = spark.createDataFrame([(None, 1), (None, 2), (5, 3)], "record_index long, v long")
+    assert sorted((r.v, r["__v"]) for r in ordered.with_previous(nulls, ["v"]).collect()) == [(1, None), (2, None), (3, None)]
+    plan = ordered.with_previous(table, ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange SinglePartition") == 1 and "hashpartitioning(__b" in plan
