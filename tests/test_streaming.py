@@ -44,3 +44,26 @@ def test_counts_rt_and_changepoints(spark, tmp_path):
     want = {r.date: r.rt_mean for r in rt.posterior(batch, rt.weights_of("flu")).collect()}
     assert set(got) == set(want) and len(got) == 33 and all(abs(got[d] - want[d]) < 1e-9 for d in got)
     assert len(run(spark, online.stream_changepoints(source()), "gapped_changes")) == 40
+
+
+def test_late_days_go_aside_and_restarts_go_on(spark, tmp_path):
+    """Files come one by one, the second with days of the first; the stream is started anew from its checkpoint for each."""
+    day = lambda d: datetime.date(2024, 1, 1) + datetime.timedelta(days=d)
+    schema = "region string, pathogen string, day date, new_cases long"
+    rows = [("r0", "click", day(d), 10 + d) for d in range(40)]
+    late = [("r0", "click", day(3), 99), ("r0", "click", day(19), 99)]
+    for name, build in (("rt", lambda s: online.stream_rt(s, rt.weights_of("flu"))), ("changes", online.stream_changepoints)):
+        at, out = str(tmp_path / f"{name}-in"), str(tmp_path / f"{name}-out")
+        for part in (rows[:20], late, rows[20:]):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(at)
+            q = build(spark.readStream.schema(schema).parquet(at)).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-seen").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = spark.read.parquet(out)
+        assert sorted(r.day for r in got.where("late").collect()) == [day(3), day(19)]
+        if name == "rt":
+            batch = tables.cumulative(spark.createDataFrame(rows, schema).selectExpr(*KEYS, "day as date", "new_cases", "0L as new_deaths", "1L as population"))
+            want = {r.date: r.rt_mean for r in rt.posterior(batch, rt.weights_of("flu")).collect()}
+            mine = {r.day: r.rt_mean for r in got.where("not late").collect()}
+            assert set(mine) == set(want) and all(abs(mine[d] - want[d]) < 1e-9 for d in want)
+        else:
+            assert got.where("not late").count() == 40
