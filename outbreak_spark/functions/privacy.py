@@ -176,22 +176,52 @@ def python_hash(rows: list[dict]) -> str:
     return hashlib.sha256(json.dumps(rows, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def multiset_hash(columns: list[str]) -> list[Column]:
+    """Aggregates n, s0 .. s3 of which hash_text() makes a hash of records in any order, with repeats: sums of quarters of
+    each record's digest. For provenance, not against forgers."""
+    digest = F.sha2(canonical(columns), 256)
+    quarter = lambda k: F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")
+    return [F.count("*").alias("n"), *(F.coalesce(F.sum(quarter(k)), F.lit(0)).cast("string").alias(f"s{k}") for k in range(4))]
+
+
+def redact_to(df: DataFrame, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Writes the table with its text columns redacted, and returns one row about it: records, pii_detected, pii_types_found
+    (sorted), items_redacted (patterns per field, summed), data_hash (of the originals, by `columns`; default: all). All of
+    it is observed while the rows are written: one scan, nothing is read twice. An empty table is written as such."""
+    import hashlib
+
+    from pyspark.sql import Observation
+
+    seen = Observation("redaction")
+    names = [n for n, _, _ in PATTERNS]
+    hashed = df.withColumn("__digest", F.struct(*(F.col(c) for c in columns or df.columns)))
+    clean = strip_records(hashed.select(*df.columns, "__digest"))
+    cells = multiset_hash([f"__digest.{c}" for c in columns or df.columns])
+    found = [F.coalesce(F.sum(F.array_contains("pii_types", n).cast("int")), F.lit(0)).alias(f"has_{n}") for n in names]
+    clean.observe(seen, *cells, F.coalesce(F.sum("items_redacted"), F.lit(0)).alias("items"), *found).select(*df.columns).write.mode("overwrite").parquet(path)
+    got = seen.get
+    digest = hashlib.sha256(":".join(str(got.get(k, 0)) for k in ("n", "s0", "s1", "s2", "s3")).encode()).hexdigest()
+    types = sorted(n for n in names if got.get(f"has_{n}", 0))
+    row = (got.get("n", 0), bool(types), types, got.get("items", 0), digest)
+    return df.sparkSession.createDataFrame([row], "records long, pii_detected boolean, pii_types_found array<string>, items_redacted long, data_hash string")
+
+
 REQUIRED = {"date": "string", "region": "string", "pathogen": "string", "new_cases": "number", "population": "number"}
 OPTIONAL = {"cumulative_cases": "number", "new_deaths": "number", "cumulative_deaths": "number", "source": "string", "metadata": "object"}
 
 
 def schema_errors(raw: Column, index: Column, strict: bool = False) -> Column:
-    """array<string>: a message for each field of a JSON record that is missing or of another type. A boolean passes as
-    a number unless strict, which also checks optional fields if present."""
+    """array<string>: code, record and field for each field of a JSON record that is missing or of another type. A boolean
+    passes as a number unless strict, which also checks optional fields if present."""
     v = F.try_parse_json(raw)
     checks = []
     for name, want in {**REQUIRED, **(OPTIONAL if strict else {})}.items():
         kind = F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
         kinds = {"string": r"^STRING$", "number": r"^(BIGINT|DOUBLE|DECIMAL.*" + ("" if strict else "|BOOLEAN") + ")$", "object": r"^OBJECT.*$"}[want]
-        missing = F.format_string(f"Record %d: missing required field '{name}'", index) if name in REQUIRED else F.lit(None).cast("string")
-        wrong = F.format_string(f"Record %d: field '{name}' expected {want}", index)
+        missing = F.format_string(f"absent: {name} (record %d)", index) if name in REQUIRED else F.lit(None).cast("string")
+        wrong = F.format_string(f"type: {name} isn't a {want} (record %d)", index)
         checks.append(F.when(kind.isNull(), missing).when(~F.rlike(kind, F.lit(kinds)), wrong))
-    bad = F.array(F.format_string("Record %d: expected an object", index))
+    bad = F.array(F.format_string("shape: not an object (record %d)", index))
     return F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), bad).otherwise(F.array_compact(F.array(*checks)))
 
 

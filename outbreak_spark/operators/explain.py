@@ -54,6 +54,16 @@ def drivers(phi: DataFrame, k: int = 10) -> DataFrame:
     return mean.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("label", label(F.col("feature")))
 
 
+def importance_drivers(series: DataFrame, weights: dict[str, float], k: int = 10) -> DataFrame:
+    """drivers() where there are no Shapley values: a model's importances, alike for each series it serves; ties in order of
+    name. Without weights, no rows."""
+    top = sorted(weights.items(), key=lambda w: (-w[1], w[0]))[:k]
+    rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(float(v)).alias("importance"), F.lit(rank).alias("rank")) for rank, (f, v) in enumerate(top, 1)))
+    if not top:
+        rows = F.array().cast("array<struct<feature:string,importance:double,rank:int>>")
+    return series.select(*KEYS).distinct().select(*KEYS, F.explode(rows).alias("r")).select(*KEYS, "r.*").withColumn("label", label(F.col("feature")))
+
+
 def time_buckets(phi: DataFrame, buckets: int = 4, least: int = 20) -> DataFrame:
     """Mean absolute phi by feature and quarter of the rows (what is left over goes to the last), of series with at
     least so many rows."""

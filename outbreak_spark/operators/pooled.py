@@ -293,7 +293,7 @@ def forecast(df: DataFrame, horizon: int = 14, n_lags: int = 14, test_size: int
     rolled = roll_forward(ends.join(errors, KEYS), forest, horizon, n_lags).select("*", F.posexplode("path").alias("k", "predicted"))
     band = 1.96 * F.col("deviation")
     out = rolled.select(
-        *KEYS, F.lit("pooled").alias("model"), (F.col("k") + 1).alias("step"), F.date_add("last_date", F.col("k") + 1).alias("date"), "predicted", F.greatest(F.lit(0.0), F.col("predicted") - band).alias("lower"), (F.col("predicted") + band).alias("upper"), "rmse", "mae"
+        *KEYS, F.lit("pooled").alias("model"), (F.col("k") + 1).alias("step"), F.date_add("last_date", F.col("k") + 1).alias("date"), "predicted", F.greatest(F.lit(0.0), F.col("predicted") - band).alias("lower"), (F.col("predicted") + band).alias("upper"), "rmse", "mae", F.from_json(F.lit(json.dumps(forest.importance())), "map<string,double>").alias("importance")
     )
     return out, forest
 

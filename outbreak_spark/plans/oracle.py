@@ -247,6 +247,11 @@ SQL = {
     "pii_redact_docs": _redact(),
     "pii_types": f"WITH {COUNTS} SELECT type, CAST(sum(n) AS BIGINT) AS matches, count(*) AS texts FROM n WHERE n > 0 GROUP BY 1",
     "pii_audit": f"WITH {COUNTS} SELECT count(*) > 0 AS pii_detected, string_agg(DISTINCT type, ',' ORDER BY type) AS pii_types_found, CAST(sum(n) AS BIGINT) AS matches FROM n WHERE n > 0",
+    "redaction_report": _redact().replace("\nSELECT id, text AS clean", ", done AS (SELECT id, text AS clean", 1) + f"""), h AS (SELECT sha256({_canonical("id", "text")}) AS h FROM x), q AS (
+  SELECT count(*) AS n, {", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * k}, 15))::BIGINT), 0)::VARCHAR AS s{k}" for k in range(4))} FROM h
+), t AS (SELECT unnest(string_split(types, ',')) AS type FROM done WHERE types <> '')
+SELECT n AS records, (SELECT count(*) > 0 FROM t) AS pii_detected, (SELECT coalesce(string_agg(DISTINCT type, ',' ORDER BY type), '') FROM t) AS pii_types_found, (SELECT count(*) FROM t) AS items_redacted,
+  sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS data_hash FROM q""",
     "dataset_hash": f"""WITH {EV}, a AS (
   SELECT sha256({_canonical("region", "pathogen", "date", "new_cases", "new_deaths")}) AS h, sha256({_canonical("region", "pathogen", "record_index")}) AS k FROM ev
 ), p AS (SELECT substring(k, 1, 4) AS p, substring(k, 1, 8) AS q, sha256(string_agg(k || h, '' ORDER BY k, h)) AS h, count(*) AS n FROM a GROUP BY 1, 2

@@ -11,7 +11,8 @@ from outbreak_spark import model
 from outbreak_spark.functions import privacy
 from outbreak_spark.functions.expressions import alert_level, seir_rates, wilson
 from outbreak_spark.model import KEYS, ORDER
-from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, quality, report, rt, seir
+from outbreak_spark.operators import changepoint, explain, features, forecast, metrics, pooled, quality, report, rt, seir
+from outbreak_spark.shared import new_folder
 from outbreak_spark.sources import records, synthetic, tables
 
 AS_OF = datetime.date(2024, 1, 25)
@@ -198,6 +199,12 @@ def pii_audit(spark, path):
     return out.select("pii_detected", F.array_join("pii_types_found", ",").alias("pii_types_found"), "matches")
 
 
+def redaction_report(spark, path):
+    """What redacting all texts found, observed while the redacted table is written."""
+    out = privacy.redact_to(pii_texts(spark, path), new_folder(spark, "redacted"))
+    return out.withColumn("pii_types_found", F.array_join("pii_types_found", ","))
+
+
 def dataset_hash(spark, path):
     return privacy.dataset_hash(tables.from_events(spark, path), [*KEYS, "date", "new_cases", "new_deaths"], [*KEYS, ORDER])
 
@@ -299,6 +306,13 @@ def ensemble_forecast(spark, path):
     return rounded(day(forecast.ensemble(forecast.forecast(tables.from_shipments(spark, path)))), 4)
 
 
+def pooled_forecast(spark, path):
+    """By one model of all series: 40 trees of depth 5, as each level of a tree is a job; its features that matter most."""
+    out, _ = pooled.forecast(tables.from_shipments(spark, path), trees=40, depth=5, rate=0.2)
+    best = F.slice(F.transform(F.array_sort(F.transform(F.map_entries("importance"), lambda e: F.struct((-e["value"]).alias("w"), e["key"].alias("f")))), lambda e: e["f"]), 1, 3)
+    return rounded(day(out.withColumn("importance", F.array_join(best, ",")).withColumnRenamed("importance", "top_features")), 4)
+
+
 def ensemble_weights(spark, path):
     t = metrics.totals(tables.from_events(spark, path))
     rows = t.select(*KEYS, F.explode(F.array(F.struct(F.lit("m1").alias("model"), (F.col("cases") % 7).cast("double").alias("rmse")), F.struct(F.lit("m2").alias("model"), (F.col("cases") % 5 + 0.5).cast("double").alias("rmse")), F.struct(F.lit("m3").alias("model"), F.lit(None).cast("double").alias("rmse")))).alias("m")).select(*KEYS, "m.model", "m.rmse")
@@ -335,10 +349,10 @@ def situation_reports(spark, path):
 
 
 #: Rows only: no SQL for these.
-ITERATIVE = [changepoint_runlength, seir_curve, seir_summary, seir_fit, synthetic_epidemic, multi_wave, forecasts, ensemble_forecast, shap_drivers, situation_reports]
+ITERATIVE = [changepoint_runlength, seir_curve, seir_summary, seir_fit, synthetic_epidemic, multi_wave, forecasts, ensemble_forecast, pooled_forecast, shap_drivers, situation_reports]
 RELATIONAL = [
     rt_credible, epi_metrics, incidence_interval, surveillance_daily, cumulative_counts, calendar_fill, rt_infectiousness, rt_posterior, rt_current, alert_levels, cfr_wilson, attack_rate, wilson_edges, incidence_rate, growth_rate, doubling_time, quality_issues, list_issues, quality_score, quality_overall, valid_records, spikes, monotonicity, completeness, pii_detect_counts,
-    pii_redact_docs, pii_types, pii_audit, dataset_hash, lag_features, rolling_curve, top_days, dataset_summary, peak_day, epiweek_dates, fluview_records, population_join, pathogen_profiles, serial_interval_pmf, changepoint_prob, changepoint_summary, rt_by_pathogen, dataset_contents, first_issues, dataset_issues, ensemble_weights, shap_time_buckets, top_drivers, driver_trends,
+    pii_redact_docs, pii_types, pii_audit, redaction_report, dataset_hash, lag_features, rolling_curve, top_days, dataset_summary, peak_day, epiweek_dates, fluview_records, population_join, pathogen_profiles, serial_interval_pmf, changepoint_prob, changepoint_summary, rt_by_pathogen, dataset_contents, first_issues, dataset_issues, ensemble_weights, shap_time_buckets, top_drivers, driver_trends,
 ]
 
 QUERIES = {f.__name__: f for f in RELATIONAL + ITERATIVE}

@@ -457,3 +457,25 @@ def test_looking_back_over_one_list(spark):
     assert sorted((r.v, r["__v"]) for r in ordered.with_previous(nulls, ["v"]).collect()) == [(1, None), (2, None), (3, None)]
     plan = ordered.with_previous(table, ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange SinglePartition") == 1 and "hashpartitioning(__b" in plan
+
+
+def test_redaction_is_reported_as_it_is_written(spark, tmp_path):
+    rows = [("1", "call 555-123-4567", 5), ("2", "a.b@c.org and x.y@z.org, 192.168.1.100", None), ("2", "a.b@c.org and x.y@z.org, 192.168.1.100", None), ("3", None, 0)]
+    df = spark.createDataFrame(rows, "id string, text string, n int").repartition(2)
+    got = privacy.redact_to(df, str(tmp_path / "a")).first()
+    assert (got.records, got.pii_detected, got.pii_types_found, got.items_redacted) == (4, True, ["email", "ip_address", "phone"], 5)
+    want = privacy.strip_records(df).select("id", "text", "n")
+    assert sorted(map(repr, spark.read.parquet(str(tmp_path / "a")).collect())) == sorted(map(repr, want.collect()))
+    again = privacy.redact_to(df.orderBy("id").coalesce(1), str(tmp_path / "b")).first()
+    assert again.data_hash == got.data_hash  # in any order
+    other = {privacy.redact_to(x, str(tmp_path / "c")).first().data_hash for x in (df.dropDuplicates(), df.fillna(""), df.fillna(1))}
+    assert len(other | {got.data_hash}) == 4
+    none = privacy.redact_to(df.limit(0), str(tmp_path / "d")).first()
+    assert (none.records, none.pii_detected, none.pii_types_found, none.items_redacted) == (0, False, [], 0) and spark.read.parquet(str(tmp_path / "d")).count() == 0
+
+
+def test_importances_stand_in_for_shapley_values(spark):
+    series = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p")], "region string, pathogen string")
+    got = explain.importance_drivers(series, {"lag_2": 0.3, "lag_1": 0.3, "month": 0.4}, 2).orderBy("region", "rank").collect()
+    assert [(r.region, r.feature, r.rank, r.label) for r in got] == [(s, f, k, t) for s in "ab" for f, k, t in (("month", 1, "calendar month"), ("lag_1", 2, "new cases 1 day earlier"))]
+    assert explain.importance_drivers(series, {}).count() == 0

@@ -5,7 +5,7 @@ import datetime
 import numpy as np
 import pytest
 from outbreak_spark.model import KEYS
-from outbreak_spark.operators import pooled
+from outbreak_spark.operators import forecast, pooled
 from outbreak_spark.operators.features import feature_names
 from outbreak_spark.operators.forecast import next_row
 
@@ -136,3 +136,11 @@ def test_plan_of_the_roll_forward_is_narrow(spark, daily):
 def test_nothing_to_train_on(spark, daily):
     out, forest = pooled.forecast(daily.where("region = 'short'"), trees=2, depth=2)
     assert out.count() == 0 and forest.trees == [] and len(set(forest.importance().values())) == 1
+
+
+def test_ensemble_takes_the_pooled_model(spark, daily):
+    one = daily.where("region = 'r1'")
+    out, _ = pooled.forecast(daily, horizon=3, trees=2, depth=2)
+    both = forecast.forecast(one, horizon=3, models=("weekly",)).unionByName(out.where("region = 'r1'"))
+    got = forecast.ensemble(both).orderBy("step").collect()
+    assert [r.step for r in got] == [1, 2, 3] and {r.model for r in got} == {"Ensemble (pooled + weekly)"} and all(r.predicted >= 0 for r in got)
