@@ -194,6 +194,7 @@ def _interval(k: str, n: str, name: str) -> str:
     return _wilson(k, n).replace(" AS value", f" AS {name}").replace("lower_ci", f"{name}_lower").replace("upper_ci", f"{name}_upper").replace(", 9)", ", 6)")
 
 
+_ASKED = "(SELECT n_name, (['influenza', 'COVID', 'Measles', 'Flu', 'covid-19', 'ebola'])[n_nationkey % 6 + 1] AS asked FROM nation) AS a"
 _TEXTS = "x AS (SELECT 'document' AS kind, coalesce(source, 'none') AS part, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'conversation', coalesce(role, 'none'), conv_id || '-' || turn, text FROM conversations)"
 DEIDENTIFIED = _redact(_TEXTS, "kind, part, id").replace("SELECT kind, part, id, text AS clean", "SELECT kind, part, id, length(text)::BIGINT AS n_chars, text AS clean")
 SURVEILLANCE = f"""WITH RECURSIVE {RT_CREDIBLE}, {INCIDENCE.removeprefix(EV + ", ")}, {GROWTH.removeprefix(EV + ", ")}, sp AS (
@@ -231,7 +232,8 @@ SQL = {
     "alert_levels": f"WITH {RT}, n AS (SELECT region, pathogen, arg_max(shape * scale, record_index) AS r FROM rt WHERE sl > 0 GROUP BY 1, 2) SELECT region, pathogen, CASE WHEN r < 0.8 THEN 'GREEN' WHEN r < 1.0 THEN 'YELLOW' WHEN r < 1.5 THEN 'ORANGE' ELSE 'RED' END AS alert_level FROM n",
     "cfr_wilson": f"WITH {TOTALS} SELECT region, pathogen, cases, deaths, {_wilson('deaths', 'cases')} FROM t",
     "attack_rate": f"WITH {TOTALS} SELECT region, pathogen, cases, population, {_wilson('cases', 'population')} FROM t",
-    "wilson_edges": f"SELECT deaths::BIGINT AS deaths, cases::BIGINT AS cases, {_wilson('deaths', 'cases')} FROM (VALUES (0, 0), (11, 10), (101, 100), (1, 10000), (99, 100), (0, 50), (50, 50)) AS v(deaths, cases)",
+    "wilson_edges": f"""SELECT s_suppkey, deaths, cases, {_wilson("deaths", "cases")} FROM (
+  SELECT s_suppkey, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 47) AS deaths, count(*) FILTER (l_quantity > 49) AS cases FROM supplier LEFT JOIN lineitem ON s_suppkey = l_suppkey GROUP BY 1) AS c""",
     "incidence_rate": f"WITH {TOTALS} SELECT region, pathogen, round(cases / population::DOUBLE * 100000, 6) AS value FROM t",
     "growth_rate": f"WITH {GROWTH} SELECT region, pathogen, n, round(rate, 7) AS growth_rate, round(se, 7) AS se, round(rate - {Z} * se, 7) AS growth_lower, round(rate + {Z} * se, 7) AS growth_upper FROM w",
     "doubling_time": f"WITH {GROWTH} SELECT region, pathogen, round(CASE WHEN rate > 1e-12 THEN ln(2) / rate END, 4) AS doubling_time FROM w",
@@ -262,12 +264,15 @@ SELECT sha256(string_agg(h, '' ORDER BY p)) AS data_hash, CAST(sum(n) AS BIGINT)
     "top_days": f"WITH {EV}, z AS (SELECT region, pathogen, CAST(date AS VARCHAR) AS date, new_cases, row_number() OVER (PARTITION BY region, pathogen ORDER BY new_cases DESC, record_index)::INT AS rank FROM ev) SELECT * FROM z WHERE rank <= 5",
     "dataset_summary": f"WITH {TOTALS} SELECT region, pathogen, records, cases, deaths, population, CAST(first_date AS VARCHAR) AS first_date, CAST(last_date AS VARCHAR) AS last_date, CAST(peak_date AS VARCHAR) AS peak_date, peak_cases FROM t",
     "peak_day": f"WITH {SHIP} SELECT region, count(*) AS records, CAST(sum(new_cases) AS BIGINT) AS cases, CAST(arg_max(date, new_cases * 1000000 - record_index) AS VARCHAR) AS peak_date, max(new_cases) AS peak_cases FROM ship GROUP BY 1",
-    "epiweek_dates": """WITH w AS (SELECT y, w, make_date(y::INT, 1, 4) AS f FROM generate_series(1998, 2030) AS a(y), generate_series(1, 52) AS b(w))
-SELECT y * 100 + w AS epiweek, CAST(f - (dayofweek(f))::INT + ((w - 1) * 7 + 6)::INT AS VARCHAR) AS date, CAST(f - (isodow(f))::INT + ((w - 1) * 7 + 6)::INT AS VARCHAR) AS legacy_date FROM w""",
-    "fluview_records": "SELECT * FROM (VALUES (0::BIGINT, '2023-01-07', 'nat', 'influenza', 5::BIGINT, 330000000::BIGINT, 'cdc_fluview'), (1, '2015-01-10', 'hhs1', 'influenza', 0, 33000000, 'cdc_fluview')) AS v(record_index, date, region, pathogen, new_cases, population, source)",
+    "epiweek_dates": """WITH w AS (SELECT DISTINCT year(o_orderdate) AS y, (dayofyear(o_orderdate) - 1) // 7 + 1 AS w FROM orders), f AS (SELECT *, make_date(y, 1, 4) AS f FROM w)
+SELECT y * 100 + w AS epiweek, CAST(f - (dayofweek(f))::INT + ((w - 1) * 7 + 6)::INT AS VARCHAR) AS date, CAST(f - (isodow(f))::INT + ((w - 1) * 7 + 6)::INT AS VARCHAR) AS legacy_date FROM f""",
+    "fluview_records": """WITH e AS (SELECT CASE user_id % 5 WHEN 0 THEN 'nat' ELSE 'hhs' || user_id % 5 END AS region, year(ts) AS y, (dayofyear(ts) - 1) // 7 + 1 AS w, event_type FROM events),
+g AS (SELECT region, y, w, make_date(y, 1, 4) AS f, count(*) FILTER (event_type = 'click') AS n FROM e GROUP BY 1, 2, 3)
+SELECT row_number() OVER (PARTITION BY region ORDER BY y, w) - 1 AS record_index, CAST(f - (dayofweek(f))::INT + ((w - 1) * 7 + 6)::INT AS VARCHAR) AS date, region, 'influenza' AS pathogen,
+  CASE WHEN (y * 100 + w) % 2 = 1 THEN n ELSE 0 END AS new_cases, CASE region WHEN 'nat' THEN 330000000 ELSE 33000000 END::BIGINT AS population, 'cdc_fluview' AS source FROM g""",
     "population_join": "WITH p(region, population) AS (VALUES " + ", ".join(f"('{r}', {n}::BIGINT)" for r, n in POPULATION.items()) + "), a AS (SELECT n_name, 'HHS' || CAST(n_nationkey % 12 AS VARCHAR) AS asked FROM nation) SELECT n_name, asked, population FROM a LEFT JOIN p ON lower(asked) = p.region",
-    "pathogen_profiles": "WITH v(name, pathogen, r0, latent, infectious, cfr, population) AS (VALUES " + ", ".join(f"('{a}', '{n}', {r!r}::DOUBLE, {x!r}::DOUBLE, {i!r}::DOUBLE, {c!r}::DOUBLE, {p}::BIGINT)" for a, n in [*((n, n) for n in PROFILES), ("covid", "covid-19"), ("flu", "influenza")] for r, x, i, c, p in [PROFILES[n]]) + ") SELECT name, pathogen, r0, cfr, population, round(r0 * (1 / infectious), 9) AS beta, round(1 / latent, 9) AS sigma, round(1 / infectious, 9) AS gamma FROM v",
-    "serial_interval_pmf": "SELECT pathogen, day, round(weight, 9) AS weight FROM (VALUES " + ", ".join(f"('{n}', {d}, {w!r}::DOUBLE)" for n, si in SERIAL_INTERVALS.items() for d, w in enumerate(serial_interval(*si))) + ") AS v(pathogen, day, weight)",
+    "pathogen_profiles": "WITH v(name, pathogen, r0, latent, infectious, cfr, population) AS (VALUES " + ", ".join(f"('{a}', '{n}', {r!r}::DOUBLE, {x!r}::DOUBLE, {i!r}::DOUBLE, {c!r}::DOUBLE, {p}::BIGINT)" for a, n in [*((n, n) for n in PROFILES), ("covid", "covid-19"), ("flu", "influenza")] for r, x, i, c, p in [PROFILES[n]]) + f") SELECT n_name, asked, pathogen, r0, cfr, population, round(r0 * (1 / infectious), 9) AS beta, round(1 / latent, 9) AS sigma, round(1 / infectious, 9) AS gamma FROM {_ASKED} LEFT JOIN v ON lower(asked) = name",
+    "serial_interval_pmf": "WITH v(pathogen, day, weight) AS (VALUES " + ", ".join(f"('{n}', {d}, {w!r}::DOUBLE)" for n, si in SERIAL_INTERVALS.items() for d, w in enumerate(serial_interval(*si))) + f") SELECT n_name, pathogen, day, round(weight, 9) AS weight FROM {_ASKED} JOIN v ON pathogen = CASE lower(asked) WHEN 'flu' THEN 'influenza' WHEN 'influenza' THEN 'influenza' WHEN 'measles' THEN 'measles' ELSE 'covid-19' END",
     "changepoint_prob": f"WITH {EV} SELECT region, pathogen, record_index, round(1.0 / 100, 6)::DOUBLE AS changepoint_prob, false AS is_changepoint FROM ev",
     "ensemble_weights": f"WITH {TOTALS}, m AS (SELECT region, pathogen, 'm1' AS model, (cases % 7)::DOUBLE AS rmse FROM t UNION ALL SELECT region, pathogen, 'm2', (cases % 5 + 0.5)::DOUBLE FROM t UNION ALL SELECT region, pathogen, 'm3', NULL FROM t), w AS (SELECT *, 1.0 / CASE WHEN rmse > 0 THEN rmse ELSE 1e6 END AS inv FROM m) SELECT region, pathogen, model, round(rmse, 9) AS rmse, round(inv / sum(inv) OVER (PARTITION BY region, pathogen), 9) AS weight FROM w",
     "shap_time_buckets": f"WITH {PHI} SELECT region, pathogen, bucket, feature, round(importance, 6) AS importance FROM bk",

@@ -109,10 +109,12 @@ def attack_rate(spark, path):
 
 
 def wilson_edges(spark, path):
-    """Counts where the interval is degenerate."""
-    rows = spark.createDataFrame([(0, 0), (11, 10), (101, 100), (1, 10_000), (99, 100), (0, 50), (50, 50)], "deaths long, cases long")
+    """Counts where the interval is degenerate: suppliers with few trials, none, or more successes than trials."""
+    lines = spark.read.parquet(f"{path}/lineitem.parquet").select("l_suppkey", (F.col("l_returnflag") == "R").alias("back"), "l_quantity")
+    rows = spark.read.parquet(f"{path}/supplier.parquet").select("s_suppkey").join(lines, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    rows = rows.groupBy("s_suppkey").agg(F.count_if(F.col("back") & (F.col("l_quantity") > 47)).alias("deaths"), F.count_if(F.col("l_quantity") > 49).alias("cases"))
     w = wilson(F.col("deaths"), F.col("cases"))
-    return rows.select("deaths", "cases", *(F.round(w[c], 9).alias(c) for c in ("value", "lower_ci", "upper_ci")))
+    return rows.select("s_suppkey", "deaths", "cases", *(F.round(w[c], 9).alias(c) for c in ("value", "lower_ci", "upper_ci")))
 
 
 def incidence_rate(spark, path):
@@ -230,13 +232,21 @@ def peak_day(spark, path):
 
 
 def epiweek_dates(spark, path):
-    weeks = spark.range(1998, 2031).select(F.explode(F.sequence(F.lit(1), F.lit(52))).alias("w"), F.col("id").alias("y")).select((F.col("y") * 100 + F.col("w")).alias("epiweek"))
+    """The weeks in which orders were placed, 53rd ones included."""
+    at = F.col("o_orderdate")
+    weeks = spark.read.parquet(f"{path}/orders.parquet").select((F.year(at) * 100 + F.floor((F.dayofyear(at) - 1) / 7) + 1).cast("long").alias("epiweek")).distinct()
     return day(weeks.select("epiweek", records.epiweek_to_date(F.col("epiweek")).alias("date"), records.epiweek_to_date(F.col("epiweek"), legacy=True).alias("legacy_date")), "date", "legacy_date")
 
 
 def fluview_records(spark, path):
-    body = '{"result":1,"message":"success","epidata":[{"epiweek":202301,"region":"nat","num_ili":5,"num_patients":90},{"epiweek":201501,"region":"hhs1","num_ili":null,"num_patients":3}]}'
-    payload = spark.createDataFrame([(body,)], "b string").select(F.from_json("b", records.PAYLOAD).alias("p")).select("p.*")
+    """Records of payloads, one per region, that are made of the events as the service would send them: JSON texts, with
+    unknown counts."""
+    events = spark.read.parquet(f"{path}/events.parquet").select((F.col("user_id") % 5).alias("k"), (F.year("ts") * 100 + F.floor((F.dayofyear("ts") - 1) / 7) + 1).cast("int").alias("epiweek"), "event_type")
+    name = F.when(F.col("k") == 0, "nat").otherwise(F.concat(F.lit("hhs"), F.col("k")))
+    weeks = events.groupBy(name.alias("region"), "epiweek").agg(F.count_if(F.col("event_type") == "click").alias("n"), F.count("*").alias("num_patients"))
+    one = F.struct("epiweek", "region", F.when(F.col("epiweek") % 2 == 1, F.col("n")).alias("num_ili"), "num_patients")
+    bodies = weeks.groupBy("region").agg(F.array_sort(F.collect_list(one)).alias("epidata")).select(F.to_json(F.struct(F.lit(1).alias("result"), F.lit("success").alias("message"), "epidata")).alias("b"))
+    payload = bodies.select(F.from_json("b", records.PAYLOAD).alias("p")).select("p.*")
     return records.from_payload(payload).select(ORDER, "date", "region", "pathogen", "new_cases", "population", "source")
 
 
@@ -245,14 +255,27 @@ def population_join(spark, path):
     return asked.join(F.broadcast(model.population_table(spark)), F.lower("asked") == F.col("region"), "left").select("n_name", "asked", "population")  # 13 fixed rows
 
 
+def _asked(spark, path):
+    """Nations, and the name by which each asks for a pathogen: names in any case, other names, unknown ones."""
+    names = F.array(*map(F.lit, ("influenza", "COVID", "Measles", "Flu", "covid-19", "ebola")))
+    return spark.read.parquet(f"{path}/nation.parquet").select("n_nationkey", "n_name", names[F.col("n_nationkey") % 6].alias("asked"))
+
+
 def pathogen_profiles(spark, path):
-    t = model.profile_table(spark)
+    t = F.broadcast(model.profile_table(spark))  # 5 fixed rows
     r = seir_rates(F.col("r0"), F.col("latent_days"), F.col("infectious_days"))
-    return rounded(t.select("name", "pathogen", "r0", "cfr", "population", *(r[c].alias(c) for c in ("beta", "sigma", "gamma"))), 9)
+    x = _asked(spark, path).join(t, F.lower("asked") == F.col("name"), "left")
+    return rounded(x.select("n_name", "asked", "pathogen", "r0", "cfr", "population", *(r[c].alias(c) for c in ("beta", "sigma", "gamma"))), 9)
 
 
 def serial_interval_pmf(spark, path):
-    return rounded(model.serial_interval_table(spark), 9)
+    """Weights by day of the pathogen that each nation asks for; unknown ones have the default pathogen's."""
+    t = F.broadcast(model.serial_interval_table(spark))  # 63 fixed rows
+    name = F.lower("asked")
+    for other, own in model.ALIASES.items():
+        name = F.when(name == other, own).otherwise(name)
+    known = F.when(name.isin(list(model.SERIAL_INTERVALS)), name).otherwise(model.DEFAULT_PATHOGEN)
+    return rounded(_asked(spark, path).select("n_name", known.alias("pathogen")).join(t, "pathogen").select("n_name", "pathogen", "day", "weight"), 9)
 
 
 def changepoint_prob(spark, path):
@@ -268,34 +291,41 @@ def changepoint_runlength(spark, path):
     return rounded(changepoint.changepoints(tables.from_shipments(spark, path)).select("region", ORDER, "map_run_length", "expected_run_length", "run_dropped"))
 
 
-def _scenarios(spark):
-    rows = [("covid", 2.5, 5.2, 2.9, 1e6, 10.0, 180), ("flu", 1.3, 2.0, 3.0, 1e6, 10.0, 120), ("measles", 12.0, 10.0, 8.0, 1e6, 10.0, 180), ("none", 5.0, 5.0, 3.0, 1e5, 0.0, 60)]
-    return spark.createDataFrame(rows, "scenario_id string, r0 double, latent_days double, infectious_days double, population double, initial_infected double, t_max int")
+def _scenarios(spark, path):
+    """A scenario per nation: as many people as its customers stand for, and periods by its key; one without infected."""
+    nations = spark.read.parquet(f"{path}/nation.parquet").select("n_nationkey", "n_name")
+    people = spark.read.parquet(f"{path}/customer.parquet").groupBy("c_nationkey").agg((F.count("*") * 10_000).alias("people"))
+    k = F.col("n_nationkey")
+    cols = [(1.2 + k * 0.3).alias("r0"), (2.0 + k % 5).alias("latent_days"), (3.0 + k % 4).alias("infectious_days"), F.coalesce("people", F.lit(10_000)).cast("double").alias("population"), F.when(k == 3, 0.0).otherwise(10.0).alias("initial_infected")]
+    return nations.join(people, k == F.col("c_nationkey"), "left").select(F.col("n_name").alias("scenario_id"), *cols, F.lit(120).alias("t_max"))
 
 
 def seir_curve(spark, path):
-    return rounded(seir.seir_curves(_scenarios(spark)), 3)
+    return rounded(seir.seir_curves(_scenarios(spark, path)), 3)
 
 
 def seir_summary(spark, path):
-    return rounded(seir.seir_summary(seir.seir_curves(_scenarios(spark))), 3)
+    return rounded(seir.seir_summary(seir.seir_curves(_scenarios(spark, path))), 3)
 
 
 def seir_fit(spark, path):
     return rounded(seir.fit_seir(tables.from_events(spark, path)), 4)
 
 
-def _epidemics(spark):
-    start = datetime.date(2024, 1, 1)
-    return synthetic.scenarios(spark, [{"pathogen": p, "duration_days": d, "start_date": start} for p, d in (("covid-19", 180), ("influenza", 120), ("measles", 180))])
+def _epidemics(spark, path):
+    """A seeded epidemic per nation, of its scenario."""
+    x = _scenarios(spark, path)
+    fixed = {"cfr": F.lit(0.01), "duration_days": F.lit(90), "noise_level": F.lit(0.1), "start_date": F.lit(datetime.date(2024, 1, 1))}
+    x = x.select(F.col("scenario_id").alias("region"), F.lit("covid-19").alias("pathogen"), "r0", "latent_days", "infectious_days", F.col("population").cast("long").alias("population"), F.col("initial_infected").cast("int").alias("initial_infected"), F.crc32(F.col("scenario_id").cast("binary")).alias("seed"), *(c.alias(n) for n, c in fixed.items()))
+    return x.select([c.split()[0] for c in synthetic.SCENARIO.split(", ")])
 
 
 def synthetic_epidemic(spark, path):
-    return day(synthetic.generate_epidemic(_epidemics(spark)).drop("metadata"))
+    return day(synthetic.generate_epidemic(_epidemics(spark, path)).drop("metadata"))
 
 
 def multi_wave(spark, path):
-    return day(synthetic.generate_multi_wave(_epidemics(spark)).drop("metadata"))
+    return day(synthetic.generate_multi_wave(_epidemics(spark, path)).drop("metadata"))
 
 
 def forecasts(spark, path):
