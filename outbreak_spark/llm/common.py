@@ -64,6 +64,15 @@ def short_batches(spark: SparkSession):
             spark.conf.set(ARROW_ROWS, had)
 
 
+def sliced(batches, rows: int = 512):
+    """Batches of a plan that runs with the session's own limit, a few rows at a time: what a task makes of whole texts
+    is then never a copy of a whole batch."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+    release()
+
+
 _ROOTS: list[Workspace] = []
 
 

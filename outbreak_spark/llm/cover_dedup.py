@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, RANGES, SENT, Exchange, WordHashes, Workspace, doc_ranges, flushes, keyed, keys_blob, keys_of, one_per_key, runs, text_bytes, window_hashes
+from outbreak_spark.llm.common import KEY, RANGES, SENT, Exchange, WordHashes, Workspace, doc_ranges, flushes, keyed, keys_blob, keys_of, one_per_key, runs, sliced, text_bytes, window_hashes
 
 #: Perfect difference sets, each with its modulus.
 DIFFERENCE_SETS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
@@ -116,7 +116,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 35, most_buckets: int
     found = repeated_ranges(docs, window, work, most_buckets)
 
     def kept(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, total, gone = [], [], []
             for text, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 words = text.split()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import U64, fresh, mix, plain, rebuilt, release
+from outbreak_spark.llm.common import U64, fresh, mix, plain, rebuilt, release, sliced
 
 ORDER = 5
 LETTERS = re.compile(r"[^\W\d_]+")  # and numbers such as one half, which aren't decimal digits: taken out below
@@ -273,7 +273,7 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
         fresh()
         own = Model(KneserNey.rebuilt(shared.value[0]), shared.value[1]) if shared.value else None
         scorer = Scorer(own.lm) if own else None
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             n = len(texts)
             if own:

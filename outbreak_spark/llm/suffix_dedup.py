@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from outbreak_spark.llm.common import KEY, SENT, U64, Exchange, Workspace, buckets_for, doc_ranges, flush_key, flushes, keyed, keys_blob, keys_of, mix, one_per_key, parts, release, sent, text_bytes
+from outbreak_spark.llm.common import KEY, SENT, U64, Exchange, Workspace, buckets_for, doc_ranges, flush_key, flushes, keyed, keys_blob, keys_of, mix, one_per_key, parts, release, sent, sliced, text_bytes
 
 #: Start positions that are hashed at a time.
 CHUNK = 1 << 19
@@ -228,7 +228,7 @@ def remove_repeated_bytes(docs: DataFrame, window: int = 200, *columns: str, mos
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns).schema
 
     def kept(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             left, total, gone, spans = [], [], [], []
             for text, r in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 total.append(len(text))
