@@ -19,7 +19,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the character models reject go: no letters, or letters in no learned language's order."""
-    Workspace(spark, "languages")  # sets the session's limit of rows per Arrow batch
     model = langid.train(docs.where(F.col("doc_id").isNotNull()))
     return langid.identify(docs, model, *COLUMNS[1:]).where(~F.col("rejected")).select(*COLUMNS)
 
