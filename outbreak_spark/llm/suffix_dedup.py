@@ -25,7 +25,7 @@ from outbreak_spark.llm.common import KEY, SENT, U64, Exchange, Workspace, bucke
 #: Start positions that are hashed at a time.
 CHUNK = 1 << 19
 #: Text bytes of a flush: segments of one are held at once.
-FLUSH = 10 << 20
+FLUSH = 5 << 20
 MARKS = f"{KEY} binary, marks binary"
 
 
