@@ -27,8 +27,14 @@ def envelope(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def model_overlay(daily: DataFrame, curve: DataFrame, days: int = 60) -> DataFrame:
-    """Observed and modelled cases by day of the model's first days."""
-    return daily.join(curve.where(F.col("day") < days), F.col(ORDER) == F.col("day")).select(*KEYS, "date", "new_cases", F.col("incidence").alias("modelled"))
+    """Observed and modelled cases by day of the model's first days. The curve is of one scenario, or has the series' keys,
+    by which each series then meets its own; several scenarios without keys are an error."""
+    first = curve.where(F.col("day") < days).select(*(c for c in KEYS if c in curve.columns), F.col("day").cast("long").alias(ORDER), F.col("incidence").alias("modelled"))
+    own = [c for c in KEYS if c in first.columns]
+    if not own:
+        first = first.groupBy(ORDER).agg(F.count("*").alias("n"), F.max("modelled").alias("modelled"))
+        first = first.withColumn("modelled", F.when(F.col("n") == 1, F.col("modelled")).otherwise(F.raise_error(F.lit("several scenarios have this day: the curve needs region and pathogen")).cast("double")))
+    return daily.join(first, [*own, ORDER]).select(*KEYS, "date", "new_cases", "modelled")
 
 
 def forecast_panel(daily: DataFrame, forecasts: DataFrame, history: int = 60) -> DataFrame:

@@ -479,3 +479,13 @@ def test_importances_stand_in_for_shapley_values(spark):
     got = explain.importance_drivers(series, {"lag_2": 0.3, "lag_1": 0.3, "month": 0.4}, 2).orderBy("region", "rank").collect()
     assert [(r.region, r.feature, r.rank, r.label) for r in got] == [(s, f, k, t) for s in "ab" for f, k, t in (("month", 1, "calendar month"), ("lag_1", 2, "new cases 1 day earlier"))]
     assert explain.importance_drivers(series, {}).count() == 0
+
+
+def test_overlay_meets_its_own_curve(spark):
+    daily = frame(spark, [1, 2, 3]).unionByName(frame(spark, [4, 5, 6], "s"))
+    one = spark.createDataFrame([("x", 0, 0.5), ("x", 1, 1.5), ("x", 70, 9.0)], "scenario_id string, day int, incidence double")
+    assert sorted((r.region, r.new_cases, r.modelled) for r in report.model_overlay(daily, one).collect()) == [("r", 1, 0.5), ("r", 2, 1.5), ("s", 4, 0.5), ("s", 5, 1.5)]
+    keyed = spark.createDataFrame([("r", "p", 0, 0.5), ("s", "p", 0, 7.0)], "region string, pathogen string, day int, incidence double")
+    assert sorted((r.region, r.modelled) for r in report.model_overlay(daily, keyed).collect()) == [("r", 0.5), ("s", 7.0)]
+    with pytest.raises(Exception, match="several scenarios"):
+        report.model_overlay(daily, one.unionByName(one.withColumn("scenario_id", F.lit("y")))).collect()
