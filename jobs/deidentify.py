@@ -33,9 +33,9 @@ DEFAULTS = {
 
 
 def texts_of(rows: DataFrame, table: dict) -> DataFrame:
-    """kind, part, id and text. A null part is one of its own; a null text stays null."""
+    """kind, part, id and text. A null or empty part is named none; a null text stays null."""
     name = F.concat_ws("-", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in table["id"]))
-    return rows.select(F.lit(table["kind"]).alias("kind"), F.coalesce(F.col(table["part"]).cast("string"), F.lit("none")).alias("part"), name.alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.select(F.lit(table["kind"]).alias("kind"), F.coalesce(F.nullif(F.col(table["part"]).cast("string"), F.lit("")), F.lit("none")).alias("part"), name.alias("id"), F.col("text").cast("string").alias("text"))
 
 
 def redacted(texts: DataFrame, tasks_per_part: int) -> DataFrame:
@@ -56,11 +56,11 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
         # As a pattern, since a table may be a folder or one file, of which a stream takes no plain path.
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["max_files_per_trigger"]).option("maxFileAge", config["max_file_age"]).parquet(f"{source}/{{{name}.parquet}}")
         parts.append(texts_of(stream, table))
-    texts = parts[0]
+    rows = parts[0]
     for more in parts[1:]:
-        texts = texts.unionByName(more)
+        rows = rows.unionByName(more)
     found = F.size("types") > 0
-    seen = redacted(texts, config["tasks_per_part"]).observe(
+    seen = redacted(rows, config["tasks_per_part"]).observe(
         "written", F.count("*").alias("texts"), F.coalesce(F.sum(F.when(found, 1)), F.lit(0)).alias("with_identifiers"), F.coalesce(F.sum(F.size("types")), F.lit(0)).alias("types"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("characters")
     )
     writer = seen.writeStream.format("parquet").partitionBy("kind", "part").option("path", output).option("checkpointLocation", checkpoint)
@@ -75,10 +75,15 @@ def run(spark: SparkSession, source: str, output: str, checkpoint: str, config:
     return batches
 
 
+def texts(spark: SparkSession, output: str) -> DataFrame:
+    """The output, whose parts' names are texts even if they look like numbers."""
+    return spark.read.schema("id string, clean string, types array<string>, n_chars long, kind string, part string").parquet(output)
+
+
 def findings(spark: SparkSession, output: str) -> DataFrame:
     """kind, part, type, texts: in how many texts of the output each type of identifier was found, by batch-independent
     aggregation of what is there."""
-    return spark.read.parquet(output).select("kind", "part", F.explode("types").alias("type")).groupBy("kind", "part", "type").agg(F.count("*").alias("texts"))
+    return texts(spark, output).select("kind", "part", F.explode("types").alias("type")).groupBy("kind", "part", "type").agg(F.count("*").alias("texts"))
 
 
 def main(args: list[str]) -> None:

@@ -16,7 +16,7 @@ def job1_deidentify(spark: SparkSession, path: str) -> DataFrame:
     at = new_folder(spark, "deidentify")
     for _ in range(2):
         deidentify.run(spark, path, f"{at}/texts", f"{at}/checkpoint")
-    return spark.read.parquet(f"{at}/texts").select("kind", F.col("part").cast("string").alias("part"), "id", "clean", F.array_join("types", ",").alias("types"), "n_chars")
+    return deidentify.texts(spark, f"{at}/texts").select("kind", "part", "id", "clean", F.array_join("types", ",").alias("types"), "n_chars")
 
 
 def job2_surveillance(spark: SparkSession, path: str) -> DataFrame:

@@ -195,7 +195,7 @@ def _interval(k: str, n: str, name: str) -> str:
 
 
 _ASKED = "(SELECT n_name, (['influenza', 'COVID', 'Measles', 'Flu', 'covid-19', 'ebola'])[n_nationkey % 6 + 1] AS asked FROM nation) AS a"
-_TEXTS = "x AS (SELECT 'document' AS kind, coalesce(source, 'none') AS part, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'conversation', coalesce(role, 'none'), conv_id || '-' || turn, text FROM conversations)"
+_TEXTS = "x AS (SELECT 'document' AS kind, coalesce(nullif(source, ''), 'none') AS part, doc_id::VARCHAR AS id, text FROM documents UNION ALL SELECT 'conversation', coalesce(nullif(role, ''), 'none'), conv_id || '-' || turn, text FROM conversations)"
 DEIDENTIFIED = _redact(_TEXTS, "kind, part, id").replace("SELECT kind, part, id, text AS clean", "SELECT kind, part, id, length(text)::BIGINT AS n_chars, text AS clean")
 SURVEILLANCE = f"""WITH RECURSIVE {RT_CREDIBLE}, {INCIDENCE.removeprefix(EV + ", ")}, {GROWTH.removeprefix(EV + ", ")}, sp AS (
   SELECT region, pathogen, count(*) FILTER (before > 0 AND new_cases / before > 3.0) AS spikes FROM (SELECT *, lag(new_cases) OVER (PARTITION BY region, pathogen ORDER BY record_index) AS before FROM ev) GROUP BY 1, 2
