@@ -57,8 +57,19 @@ def test_model_query(spark, texts):
 def test_packing_query(spark, texts):
     tokenizer, pieces = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), {}
     tokenizer.encode_special_tokens = True
+    windows = {}
     for r in QUERIES["op5_pack_sum_of_squares"](spark, DATA).collect():
         pieces.setdefault(r.doc_id, []).append(r)
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    filled = 0
+    for own in windows.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 1024 and (at == 1024 or at & (at - 1) == 0)  # full, or a power of two: no padding
+        filled += at == 1024
+    assert filled >= 0.9 * len(windows)
     for k, t in texts.items():
         ids, at = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4"), 0
         for r in sorted(pieces[k], key=lambda r: r.start):
