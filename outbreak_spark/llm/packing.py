@@ -23,7 +23,7 @@ from outbreak_spark.llm.tokens import Encoder, drop_shared, shared_encoder, text
 NAMES = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Tasks whose open windows meet.
-FAN_IN = 16
+FAN_IN = 8
 
 
 class SumOfSquares:
@@ -181,7 +181,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, mos
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     pieces = work.write(rows.mapInArrow(packed, PIECES + ", group long"), "pieces")
-    last = pieces.where("group is not null").groupBy("group").applyInArrow(closed, PIECES)
+    # Written, as only then are the batches short.
+    last = work.write(pieces.where("group is not null").groupBy("group").applyInArrow(closed, PIECES), "last")
     return pieces.where("group is null").drop("group").unionByName(last)
 
 
