@@ -6,7 +6,9 @@ import math
 
 import numpy as np
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(a: np.ndarray) -> np.ndarray:
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(a), float)  # made anew, as it can't be sent to tasks
 
 
 def gamma_cdf(a: np.ndarray, x: np.ndarray) -> np.ndarray:
