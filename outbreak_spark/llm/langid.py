@@ -139,9 +139,9 @@ class KneserNey:
 
 
 class Scorer:
-    """Cross-entropies of texts; each distinct word is scored once."""
+    """Cross-entropies of texts; each distinct word is scored once, so many new ones at a time."""
 
-    MOST = 150_000
+    MOST, AT_ONCE = 150_000, 4096
 
     def __init__(self, model: KneserNey):
         self.model, self.known = model, {}
@@ -162,7 +162,7 @@ class Scorer:
                     new.append(w)
                 at.append(k)
         if new:
-            self.rows = np.concatenate([self.rows, self.model.score(new)])
+            self.rows = np.concatenate([self.rows, *(self.model.score(new[k : k + self.AT_ONCE]) for k in range(0, len(new), self.AT_ONCE))])
         count = np.array([len(p) for p in parts])
         out = np.zeros((len(texts), self.rows.shape[1]))
         full = np.flatnonzero(count)
@@ -225,6 +225,7 @@ def train(docs: DataFrame, per_language: int = 1000, calibration: int = 300, lim
 
     def calibrate(batches):
         fresh()
+        release()
         scorer, rng = Scorer(KneserNey.rebuilt(shared.value)), random.Random(1)
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -271,6 +272,7 @@ def identify(docs: DataFrame, model: Model | None, *columns: str) -> DataFrame:
 
     def run(batches):
         fresh()
+        release()
         own = Model(KneserNey.rebuilt(shared.value[0]), shared.value[1]) if shared.value else None
         scorer = Scorer(own.lm) if own else None
         for batch in sliced(batches):
