@@ -10,6 +10,7 @@ are caches: they are emptied when they grow.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from itertools import chain
@@ -52,6 +53,8 @@ class Encoder:
     MOST_PIECES = 500_000
 
     def __init__(self, path: str, special_as_text: bool = True):
+        # A task has one core; threads of the library would each keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
