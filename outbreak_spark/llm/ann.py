@@ -4,14 +4,15 @@ An error of a vector's approximation along the vector changes the inner products
 it, more than an error across it. So codes and codebooks minimise |r|^2 + (eta - 1) <r, x/|x|>^2 of the residual r,
 eta > 1: codes by coordinate descent over the subspaces, codebooks by their normal equations. Each subspace of two
 dimensions has 16 centres, 4 bits; a query scans codes by tables of its products with the centres (two codes, one byte,
-at a time). Only codes travel to the scans; the best of each query by them, over all blocks, are then joined with their
-original vectors and scored again exactly.
+at a time). Each task scans the codes of a block of rows, scores those rows exactly, on their original vectors, that may
+be among a query's best by what codes are seen to be off, and hands on the best of its block.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from outbreak_spark.llm.vectors import dealt, every, matrix, queries_of, ranked,
 CENTRES = 16
 #: Codes of a block of candidates, and queries, that one task holds.
 CANDIDATES, QUERIES = 1 << 16, 1 << 14
+#: Rows of a block that show how far codes are off; how many standard deviations count; what float32 sums lose.
+SAMPLE, DEVIATIONS, ROUNDING = 1024, 3.5, 1e-5
 
 
 class Codebook:
@@ -80,9 +83,9 @@ class Codebook:
     def pack(self, codes: np.ndarray) -> np.ndarray:
         return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """(bytes of a code, 256, queries): what each byte adds to each query's score."""
-        one = np.einsum("qmd,mcd->mcq", self._split(queries), self.centres)
+    def tables(self, queries: np.ndarray, scale: float = 1.0) -> np.ndarray:
+        """(bytes of a code, 256, queries): what each byte adds to each query's score, times scale."""
+        one = np.einsum("qmd,mcd->mcq", self._split(queries), self.centres * scale)
         low, high = one[0::2], one[1::2]
         return (high[:, :, None, :] + low[:, None, :, :]).reshape(len(low), 256, len(queries)).astype(np.float32)
 
@@ -107,60 +110,112 @@ def index(vectors: DataFrame, sample_rows: int = 8192) -> tuple[DataFrame, Codeb
     return vectors.mapInArrow(encode, "vec_id long, embedding array<double>, code binary"), book
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 400, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
+class Block:
+    """Coded rows that one task holds, for searches among them.
+
+    A code's score is scaled by |x|^2 / <x, its approximation>, so that it is right for a query along x, whatever the
+    row's length; what is left over, rest, is at right angles to x. A row counts for a query if its score may be off by so
+    much of |rest| that it belongs to the best: by the largest share that the query's other rows show, those of a sample
+    and the best by codes, and by DEVIATIONS times the root of the mean square of the sample. So rows that codes don't tell
+    apart, as near copies, or don't fit, as rows unlike the codebook's sample, are all scored exactly.
+    """
+
+    def __init__(self, book: Codebook, codes: np.ndarray, x: np.ndarray, ids: np.ndarray):
+        self.book, self.codes, self.ids, self.x = book, codes, ids, x
+        self.unit = float(np.abs(x).max(initial=0.0)) or 1.0  # so that products stay finite
+        both = np.stack([codes & 15, codes >> 4], 2).reshape(len(x), -1)
+        share, rest, near = np.zeros(len(x), np.float32), np.empty(len(x), np.float32), book.centres / self.unit
+        picked = np.linspace(0, len(x) - 1, min(SAMPLE, len(x))).astype(int)
+        self.sample = np.zeros((len(picked), x.shape[1]))
+        for i in range(0, len(x), 4096):
+            own = x[i : i + 4096] / self.unit
+            like = near[np.arange(book.parts), both[i : i + 4096]].reshape(len(own), -1)[:, : x.shape[1]]
+            square, product = (own**2).sum(1), (own * like).sum(1)
+            fits = product > 0.1 * np.sqrt(square * (like**2).sum(1))
+            factor = np.where(fits, square / np.where(fits, product, 1.0), 0.0)
+            left = own - factor[:, None] * like
+            share[i : i + 4096], rest[i : i + 4096] = factor, np.where(fits, np.sqrt((left**2).sum(1)), np.inf)
+            here = (picked >= i) & (picked < i + 4096)
+            length = np.sqrt((left**2).sum(1, keepdims=True))
+            self.sample[here] = (left / np.maximum(length, 1e-300))[picked[here] - i] * fits[picked[here] - i, None]
+        self.share, self.rest = share, rest
+
+    def best(self, queries: np.ndarray, query_ids: np.ndarray, k: int, least: int):
+        """For each query the places of its k best rows and their scores; `least` rows at least are scored exactly."""
+        top = max(k, least) + 1
+        for i in range(0, len(queries), 64):
+            some = queries[i : i + 64]
+            length = np.maximum(np.abs(some).max(1, keepdims=True), 1e-300)
+            q = some / length
+            tables = self.book.tables(q, 1 / self.unit)
+            scores = np.zeros((len(self.x), tables.shape[2]), np.float32)
+            for m in range(self.codes.shape[1]):
+                scores += tables[m][self.codes[:, m]]
+            scores = np.ascontiguousarray((scores * self.share[:, None]).T)
+            off = DEVIATIONS * np.sqrt(((q @ self.sample.T) ** 2).mean(1))
+            for r, near in enumerate(scores):
+                yield self._best_of(some[r], q[r], near, off[r], self.ids != query_ids[i + r], k, top)
+
+    def _best_of(self, query, q, near, off, others, k: int, top: int):
+        if len(near) > top:
+            first = np.argpartition(near, len(near) - top)[len(near) - top :]
+            first = first[others[first]]
+            exact = (self.x[first] / self.unit) @ q
+            rest = self.rest[first]
+            fits = np.isfinite(rest) & (rest > 1e-6)
+            shown = (exact - near[first])[fits] / rest[fits]
+            off = max(off, float(np.abs(shown).max(initial=0.0)))
+            reach = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+            rest = np.minimum(self.rest, 1e30)
+            chosen = near + (off * rest + ROUNDING * np.abs(q).sum()) >= reach
+            chosen[first] = True
+            chosen = np.flatnonzero(chosen & others)
+        else:
+            chosen = np.flatnonzero(others)
+        score = np.empty(len(chosen))
+        for j in range(0, len(chosen), 1 << 14):
+            score[j : j + (1 << 14)] = (self.x[chosen[j : j + (1 << 14)]] * query).sum(1)
+        order = np.lexsort((self.ids[chosen], -score))[:k]
+        return chosen[order], score[order]
+
+
+def nearest(table: DataFrame, is_query, k: int = 20, rerank: int = 200, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: about the k largest inner products of each query, scored in double precision.
 
-    table needs vec_id and embedding; is_query is a condition on vec_id. rerank: how many candidates of a query are scored
-    exactly. Null, empty, zero and ragged vectors, those with null or non-finite components and rows with null vec_id
-    take no part. Rows that share a vec_id are each a candidate for others, and never for their own query. An empty table
-    gives an empty result. candidates, queries: rows that one task holds of each.
+    table needs vec_id and embedding; is_query is a condition on vec_id. rerank: how many candidates of a query each block
+    scores exactly at least; more where codes leave it open which rows are the best. Null, empty, zero and ragged vectors,
+    those with null or non-finite components and rows with null vec_id take no part. Rows that share a vec_id are each a
+    candidate for others, and never for their own query. An empty table gives an empty result. candidates, queries: rows
+    that one task holds of each, fewer if they have more than 64 components.
     """
     work = Workspace(table.sparkSession, "ann")
     base = work.write(valid(table, zero=False), "valid")
     coded, book = index(base)
-    # A row's number, as written, tells rows of one vec_id apart.
+    # A row's number, as written, deals rows of one vec_id out.
     coded = work.write(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
     asked = work.write(queries_of(coded.select("vec_id", "embedding"), is_query), "queries")
     n, nq = coded.count(), asked.count()
+    wide = max(1, (book.dims if book else 1) // 64)
+    candidates, queries = max(1, candidates // wide), max(1, queries // wide)
     spread = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cb, qb = max(1, -(-n // candidates), min(spread, -(-n // 16384))), max(1, -(-nq // queries))
-    left = coded.select(dealt(cb, "row").alias("cb"), every(qb).alias("qb"), "vec_id", "row", "code", F.lit(None).cast("array<double>").alias("embedding"))
-    right = asked.select(every(cb).alias("cb"), dealt(qb, "vec_id").alias("qb"), "vec_id", F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("code"), "embedding")
-
-    block_best = min(rerank, 2 * -(-rerank // cb) + 32)  # blocks are dealt by hash: a query's best are spread evenly
+    left = coded.select(dealt(cb, "row").alias("cb"), every(qb).alias("qb"), "vec_id", "code", "embedding")
+    right = asked.select(every(cb).alias("cb"), dealt(qb, "vec_id").alias("qb"), "vec_id", F.lit(None).cast("binary").alias("code"), "embedding")
 
     def scan(key, table):
-        is_code = np.array(table.column("row").is_valid().to_numpy(), bool)
-        a, b = table.filter(pa.array(is_code)), table.filter(pa.array(~is_code))
-        ids, rows, query_ids = (t.column(c).to_numpy() for t, c in ((a, "vec_id"), (a, "row"), (b, "vec_id")))
-        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))]
+        is_code = table.column("code").is_valid()
+        a, b = table.filter(is_code), table.filter(pc.invert(is_code))
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if len(a) and len(b):
             codes = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(a), -1)
-            q, keep = matrix(b.column("embedding")), min(block_best + 1, len(a))
-            for i in range(0, len(q), 64):
-                tables = book.tables(q[i : i + 64])
-                scores = np.zeros((len(a), tables.shape[2]), np.float32)
-                for m in range(codes.shape[1]):
-                    scores += tables[m][codes[:, m]]
-                scores = np.ascontiguousarray(scores.T)
-                best = np.argpartition(scores, len(a) - keep, axis=1)[:, len(a) - keep :]
-                for r, near in enumerate(best):
-                    near = near[ids[near] != query_ids[i + r]]
-                    out.append((np.full(len(near), query_ids[i + r]), rows[near], scores[r, near]))
-        who, row, score = (np.concatenate(c) for c in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(who), "row": pa.array(row), "near": pa.array(score)})
-
-    found = left.unionByName(right).groupBy("cb", "qb").applyInArrow(scan, "query_id long, row long, near float")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "row"))
-    found = found.withColumn("at", best).where(F.col("at") <= rerank).select("query_id", "row")
-    found = found.join(coded.select("row", "vec_id", "embedding"), "row").join(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), "query_id")
-
-    def exact(batches):
-        for batch in batches:
-            score = (matrix(batch.column("embedding")) * matrix(batch.column("query"))).sum(1) if len(batch) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    return ranked(found.select("query_id", "vec_id", "embedding", "query").mapInArrow(exact, "query_id long, vec_id long, score double"), k)
+            ids, query_ids = (t.column("vec_id").to_numpy() for t in (a, b))
+            block = Block(book, codes, matrix(a.column("embedding")), ids)
+            for who, (at, score) in zip(query_ids, block.best(matrix(b.column("embedding")), query_ids, k, rerank), strict=True):
+                out.append((np.full(len(at), who), ids[at], score))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+    found = left.unionByName(right).groupBy("cb", "qb").applyInArrow(scan, "query_id long, vec_id long, score double")
+    return ranked(found, k)
 
 
 def op8_anisotropic_ann(spark, sf_dir: str) -> DataFrame:

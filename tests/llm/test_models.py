@@ -1,7 +1,8 @@
 """Numerical cores of the operators without SQL against brute force; no session."""
 
 import numpy as np
-from outbreak_spark.llm.ann import Codebook
+import pytest
+from outbreak_spark.llm.ann import Block, Codebook
 from outbreak_spark.llm.langid import ORDER, PAD, KneserNey, words_of
 
 
@@ -74,3 +75,29 @@ def test_codes_find_the_nearest_of_many():
     for q in range(len(queries)):
         hits += len(np.intersect1d(np.argsort(-exact[:, q])[:20], np.argsort(-scores[:, q])[:400]))
     assert hits >= 0.9 * 20 * len(queries)
+
+
+@pytest.mark.parametrize("kind", ["near copies", "lengths", "scales", "unlike the sample", "huge"])
+def test_search_finds_the_nearest_of_rows_that_codes_confuse(kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "near copies":
+        x = x[rng.integers(0, 3, 6000)] + 1e-4 * rng.normal(size=x.shape)
+    elif kind == "lengths":
+        x *= np.exp(1.5 * rng.normal(size=(6000, 1)))
+    elif kind == "scales":
+        x *= np.exp(-np.arange(32) / 4)
+    elif kind == "unlike the sample":
+        x[4000:] = 40 * x[0] + x[4000:]
+    else:
+        x *= 1e150
+    book = Codebook(x[:4000])
+    block, at = Block(book, book.pack(book.encode(x)), x, np.arange(6000)), np.arange(0, 6000, 60)
+    hits = 0
+    for q, (found, score) in zip(at, block.best(x[at], at, 20, 200), strict=True):
+        true = x @ x[q]
+        assert np.allclose(score, true[found], rtol=1e-12) and q not in found
+        true[q] = -np.inf
+        hits += (score >= np.sort(true)[-20] * (1 - 1e-12)).sum()
+    assert hits >= 0.99 * 20 * len(at)
