@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,8 +37,8 @@ PATTERNS = [
 #: What a text must hold if any pattern of a group is to match: few texts pass, and one look serves the group.
 TRIGGERS = {
     "digit": "[0-9]",
-    "word": r"(?i)\b(?:MRN|Medical|Health|Beneficiary|Member|License|Cert|Serial|Device|fingerprint|retina|voice|facial|dna|Patient|Subject|Participant)",
-    "title": r"(?i)\b(?:Mr|Mrs|Ms|Dr|Prof)\b",
+    "word": r"\b(?:MRN|Medical|Health|Beneficiary|Member|License|Cert|Serial|Device|fingerprint|retina|voice|facial|dna|Patient|Subject|Participant)",
+    "title": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\b",
     "at": "@",
     "scheme": "://",
     "underscore": "_",
@@ -52,14 +53,61 @@ GROUPS = {
 }
 
 
+WORD = "0-9A-Za-z_"
+#: What the JVM takes otherwise than RE2, in which the patterns' results are defined: there words are of ASCII letters, also
+#: beside letters with accents; a vertical tab is no space; and s and k have a third case each, the long s and the kelvin.
+SPACES, THIRD = r"\t\n\f\r ", {"s": "\\u017f", "k": "\\u212a"}
+EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+
+
+def in_jvm(pattern: str) -> str:
+    """The pattern, in any case, as the JVM finds with it what RE2 finds."""
+    out, rest, listed = [], pattern, None  # listed: what the open list of characters holds
+    while rest:
+        size = 2 if rest[0] == "\\" else 3 if listed is not None and re.match(r"\w-\w", rest) else 1
+        one, rest = rest[:size], rest[size:]
+        if listed is not None:
+            if one == "]":
+                out.append("".join(third for c, third in THIRD.items() if re.search(f"[{listed}]", c, re.I)) + one)
+                listed = None
+                continue
+            listed += one
+            out.append(SPACES if one == r"\s" else one)
+        elif one == "[":
+            listed = ""
+            if rest[0] == "^":
+                one, rest = "[^", rest[1:]
+            out.append(one)
+        else:
+            special = {r"\b": EDGE, r"\s": f"[{SPACES}]", r"\w": f"[{WORD}{''.join(THIRD.values())}]"}
+            out.append(special.get(one) or (f"[{one}{THIRD[one.lower()]}]" if one.lower() in THIRD else one))
+    return "(?i)" + "".join(out)
+
+
 def _any_case(pattern: str) -> Column:
-    return F.lit(f"(?i){pattern}")
+    return F.lit(in_jvm(pattern))
+
+
+def _seen(text: Column) -> list[Column]:
+    """Fields m and o for quick looks: the text with what isn't ASCII, and vertical tabs, as a sign that is in no word, in
+    which the JVM's own edges of words are RE2's; and whether it holds a long s or a kelvin, which only in_jvm() knows."""
+    return [F.regexp_replace(text, F.lit(r"[^\x00-\x0a\x0c-\x7f]+"), F.lit("\u00a4")).alias("m"), F.rlike(text, F.lit(r"[\u017f\u212a]")).alias("o")]
 
 
-def _triggers(text: Column) -> Column:
+def _found(s: Column, pattern: str) -> Column:
+    return F.when(s["o"], F.rlike(s["t"], _any_case(pattern))).otherwise(F.rlike(s["m"], F.lit(f"(?i){pattern}")))
+
+
+def _triggers(s: Column) -> Column:
     """A struct of booleans: which groups' patterns may match."""
     plain = {"at", "scheme", "underscore"}
-    return F.struct(*((F.contains(text, F.lit(t)) if g in plain else F.rlike(text, F.lit(t))).alias(g) for g, t in TRIGGERS.items()))
+    return F.struct(*((F.contains(s["t"], F.lit(t)) if g in plain else _found(s, t)).alias(g) for g, t in TRIGGERS.items()))
+
+
+def _state(text: Column, *more: Column) -> Column:
+    """Struct t, m, o, g (triggers) and more."""
+    of = lambda s: F.struct(s["t"].alias("t"), s["m"].alias("m"), s["o"].alias("o"), _triggers(s).alias("g"), *more)
+    return F.transform(F.array(F.struct(text.alias("t"), *_seen(text))), of)[0]
 
 
 def _may_match(name: str, triggers: Column) -> Column:
@@ -72,10 +120,10 @@ def pii_counts(text: Column) -> Column:
     """map<name, matches in the original text>, of the patterns that match."""
 
     def counted(s: Column) -> Column:
-        each = F.array(*(F.struct(F.lit(n).alias("name"), F.when(_may_match(n, s["g"]), F.regexp_count(s["t"], _any_case(p))).otherwise(0).alias("n")) for n, p, _ in PATTERNS))
+        each = F.array(*(F.struct(F.lit(n).alias("name"), F.when(_may_match(n, s["g"]), F.when(s["o"], F.regexp_count(s["t"], _any_case(p))).otherwise(F.regexp_count(s["m"], F.lit(f"(?i){p}")))).otherwise(0).alias("n")) for n, p, _ in PATTERNS))
         return F.map_from_entries(F.filter(each, lambda e: e["n"] > 0))
 
-    return F.transform(F.array(F.struct(text.alias("t"), _triggers(text).alias("g"))), counted)[0]
+    return F.transform(F.array(_state(text)), counted)[0]
 
 
 def pii_matches(text: Column) -> Column:
@@ -115,12 +163,13 @@ def _fold(text: Column) -> Column:
 
     def step(name: str, pattern: str, put: str):
         def run(s: Column) -> Column:
-            hit = ((F.size(s["n"]) > 0) | _may_match(name, s["g"])) & F.rlike(s["t"], _any_case(pattern))
-            return F.when(hit, F.struct(F.regexp_replace(s["t"], _any_case(pattern), F.lit(put)).alias("t"), F.array_append(s["n"], F.lit(name)).alias("n"), s["g"].alias("g"))).otherwise(s)
+            hit = ((F.size(s["n"]) > 0) | _may_match(name, s["g"])) & _found(s, pattern)
+            left = lambda t: F.struct(t.alias("t"), *_seen(t), s["g"].alias("g"), F.array_append(s["n"], F.lit(name)).alias("n"))
+            return F.when(hit, F.transform(F.array(F.regexp_replace(s["t"], _any_case(pattern), F.lit(put))), left)[0]).otherwise(s)
 
         return run
 
-    state = F.struct(text.alias("t"), F.array().cast("array<string>").alias("n"), _triggers(text).alias("g"))
+    state = _state(text, F.array().cast("array<string>").alias("n"))
     for one in PATTERNS:
         state = F.transform(F.array(state), step(*one))[0]
     return state
