@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobs import deidentify, surveillance
+from outbreak_spark.functions.expressions import rounded
 from outbreak_spark.model import KEYS
 from outbreak_spark.plans import oracle
 from outbreak_spark.shared import new_folder
@@ -27,7 +28,7 @@ def job2_surveillance(spark: SparkSession, path: str) -> DataFrame:
     days, series = (spark.read.parquet(f"{at}/{name}") for name in ("reproduction", "summary"))
     series = series.select(*KEYS, *(F.col(c).alias(f"series_{c}") for c in series.columns if c not in KEYS))
     out = series.join(days, KEYS, "left")
-    out = out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in out.dtypes))
+    out = out.select(*(rounded(F.col(c), 6).alias(c) if t == "double" else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in out.dtypes))
     return out
 
 

@@ -12,6 +12,12 @@ def z_of(confidence: float) -> float:
     return NormalDist().inv_cdf(1 - (1 - confidence) / 2)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL engines round binary fractions: the product with 10^digits, to a whole number. F.round() takes the decimal
+    text instead, which is half way more often."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def iso_date(text: Column) -> Column:
     """The date of an ISO 8601 text (extended or basic; a time may follow), null if it isn't one."""
     long = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$")

@@ -510,3 +510,23 @@ def test_overlay_meets_its_own_curve(spark):
     assert sorted((r.region, r.modelled) for r in report.model_overlay(daily, keyed).collect()) == [("r", 0.5), ("s", 7.0)]
     with pytest.raises(Exception, match="several scenarios"):
         report.model_overlay(daily, one.unionByName(one.withColumn("scenario_id", F.lit("y")))).collect()
+
+
+def test_rounding_half_way_as_sql(spark):
+    import duckdb
+    from outbreak_spark.functions.expressions import rounded
+
+    values = [k / 2_000_000 for k in range(1, 12001, 2)] + [-0.0009855, 403.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(rounded(F.col("v"), 6)).collect()]
+    want = [r[0] for r in duckdb.sql(f"SELECT round(v, 6) FROM (SELECT unnest({values!r}::DOUBLE[]) AS v)").fetchall()]
+    assert got == want and any(g != r[0] for g, r in zip(got, spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(F.round("v", 6)).collect(), strict=True))
+
+
+def test_upper_quantiles_of_large_shapes(spark):
+    """Against Poisson sums over all terms that count: the power series of the plans' SQL is cut before them there."""
+    import math
+
+    for a in (700.0, 4031.0, 25_000.0):
+        x = spark.range(1).select(quantiles.gamma_quantile(0.975, F.lit(a))).first()[0]
+        share = math.fsum(math.exp((a + n) * math.log(x) - x - math.lgamma(a + n + 1)) for n in range(int(20 * math.sqrt(a)) + 200))
+        assert abs(share - 0.975) < 1e-7 and x < a + 3 * math.sqrt(a)
